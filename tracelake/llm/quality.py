@@ -31,7 +31,7 @@ COMMON = (
 _BLANK = r"[\s\p{Z}\p{Cf}]"
 _MARK = r"^\s*(?:[-*•·◦‣+–]\s+(?:\[[ xX]?\]\s*)?|\[[ xX]?\]\s+|\(?(?:\d{1,4}|[A-Za-zа-яА-Я]|[ivxlc]{1,5})[.)]\s+)"
 
-_SHAPE = "words int, letters int, common int, top2 double, top3 double, odd_chunks int, chunks int, top_words double, vowelless int, hex_words int, long_words int, distinct_words int, foreign int, placeholders int"
+_SHAPE = T.StructType([T.StructField(name, T.DoubleType() if name in ("top2", "top3", "top_words") else T.LongType()) for name in "words letters common top2 top3 odd_chunks chunks top_words vowelless hex_words long_words distinct_words foreign placeholders".split()])
 
 
 def _lines(text: Column) -> Column:
@@ -51,7 +51,7 @@ _VOWEL = re.compile(r"[aeiouyаеёиоуыэюяáéíóúüäöåàèìòùâ
 _SLOT = re.compile(r"\{\{[^{}\n]*\}\}|\{%[^{}\n]*%\}|%\{[^{}\n]*\}%?|<%[^\n]*?%>|\$\{?\(?\w+\)?\}?|&#?\w+;")
 
 
-@F.pandas_udf(T.StructType.fromDDL(_SHAPE))
+@F.pandas_udf(_SHAPE)
 def word_shape(texts: pd.Series) -> pd.DataFrame:
     """Word statistics of whole texts, the n-gram coverages among them."""
     common = frozenset(COMMON.split())
@@ -86,7 +86,7 @@ def word_shape(texts: pd.Series) -> pd.DataFrame:
                 sum(len(m) for m in _SLOT.findall(text)),
             )
         )
-    return pd.DataFrame(rows, columns=[f.split()[0] for f in _SHAPE.split(", ")])
+    return pd.DataFrame(rows, columns=_SHAPE.names)
 
 
 def _mode_share(counts: Column) -> tuple[Column, Column]:
