@@ -2,47 +2,27 @@
 
 from __future__ import annotations
 
+import importlib
+import pkgutil
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracelake.operators import hierarchy
+from tracelake import registry
 
-FLAGSHIP = "p4_found"
+FLAGSHIP = "v02_visible_events"
 
 
-def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
-
-
-def p4_found(spark, d):
-    found = hierarchy.roots_and_depths(_read(spark, d, "branches"))
-    return found.selectExpr("node AS branch_id", "root AS root_id", "depth")
-
-
-def p4_paths(spark, d):
-    tree = hierarchy.hierarchy(_read(spark, d, "branches"))
-    return hierarchy.paths(tree).where("listed").selectExpr("node AS branch_id", "kind", "root AS root_id", "depth", "n_descendants", "path")
-
-
-def p4_descendants(spark, d):
-    tree = hierarchy.hierarchy(_read(spark, d, "branches"))
-    return hierarchy.descendants(tree).selectExpr("ancestor AS branch_id", "descendant AS descendant_id", "distance")
+def _load() -> None:
+    for module in pkgutil.iter_modules(registry.__path__):
+        importlib.import_module(f"{registry.__name__}.{module.name}")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p4_found, p4_paths, p4_descendants)}
-
-
-_P4 = """
-  WITH RECURSIVE links AS (
-    SELECT lower(trim(id)) AS node, max(nullif(lower(trim(parent_id)), '')) AS parent FROM branches WHERE trim(id) <> '' GROUP BY 1),
-  walk(node, at, depth) AS (
-    SELECT node, node, 0 FROM links
-    UNION ALL
-    SELECT w.node, l.parent, w.depth + 1 FROM walk w JOIN links l ON l.node = w.at WHERE l.parent IS NOT NULL AND w.depth < (SELECT count(*) FROM links WHERE parent IS NOT NULL) AND w.depth < 2000)
-"""
+    _load()
+    return dict(registry.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    _load()
+    return dict(registry.SQL)

@@ -1,0 +1,219 @@
+"""Text, JSON and hash functions over events, facts and documents (f..)."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tracelake.functions import text as X
+from tracelake.registry import query
+from tracelake.sources.tables import SQL_LOG, SQL_MEMORIES, log, memories, read
+
+QUERY = "the retrieval order of the packet"
+
+_TERM = r"[\p{L}\p{N}_./:-]+"
+
+
+def terms_sql(column: str) -> str:
+    return f"list_distinct(list_filter(regexp_extract_all(lower({column}), '{_TERM}'), lambda t: length(t) > 1))"
+
+
+@query("f01_terms", f"SELECT doc_id, len({terms_sql('text')}) AS n_terms FROM documents")
+def f01(spark, d):
+    return read(spark, d, "documents").select("doc_id", F.size(X.terms(F.col("text"))).alias("n_terms"))
+
+
+_WANTED = "['" + "', '".join(dict.fromkeys(QUERY.split())) + "']"
+_OWN = terms_sql('content')
+
+
+@query(
+    "f03_lexical_relevance",
+    f"""WITH {SQL_LOG}, t AS (SELECT id, lower(content) AS low, {_OWN} AS own FROM log WHERE content IS NOT NULL), o AS (SELECT *, len(list_filter({_WANTED}, lambda x: list_contains(own, x))) AS n FROM t)
+SELECT id, round(least(1.0, 0.7 * n / {len(set(QUERY.split()))} + 0.15 * sqrt(n / greatest(len(own), 1)) + CASE WHEN contains(low, '{QUERY}') THEN 0.15 ELSE 0 END), 6) AS score FROM o""",
+)
+def f03(spark, d):
+    return log(spark, d).where("content is not null").select("id", F.round(X.lexical_relevance(QUERY, F.col("content")), 6).alias("score"))
+
+
+@query("f04_freshness", f"WITH {SQL_LOG} SELECT id, round(exp(-ln(2) * greatest((epoch_us(TIMESTAMP '2024-02-01 00:00:00') - epoch_us(created_at)) / 86400000000.0, 0) / 30.0), 6) AS freshness FROM log")
+def f04(spark, d):
+    age = (F.expr("unix_micros(timestamp'2024-02-01 00:00:00Z')") - F.expr("unix_micros(cast(created_at as timestamp))")) / 86400000000.0
+    return log(spark, d).select("id", F.round(X.freshness(age, 30.0), 6).alias("freshness"))
+
+
+@query("f05_exact_identifiers")
+def f05(spark, d):
+    found = X.exact_identifiers(F.col("content"))
+    return log(spark, d).where(F.size(found) > 0).select("id", F.array_join(found, " ").alias("identifiers"))
+
+
+@query("f06_holds_identifiers", "SELECT DISTINCT q.id FROM finalization_quarantine q WHERE contains(lower(q.id || chr(10) || q.source_event_id), lower(q.source_event_id)) AND contains(lower(q.source_event_id), 'a')")
+def f06(spark, d):
+    hay = F.lower(F.concat_ws("\n", "id", "source_event_id"))
+    wanted = F.array(F.lower("source_event_id"), F.lit("a"))
+    rows = read(spark, d, "finalization_quarantine").where("source_event_id is not null").where(F.forall(wanted, lambda x: F.contains(hay, x)) & F.contains(F.lower("source_event_id"), F.lit("a")))
+    return rows.select("id").distinct()
+
+
+@query("f07_token_estimate", rf"SELECT doc_id, CASE WHEN length(text) = 0 THEN 0 ELSE CAST(greatest(ceil(strlen(text) / 3), ceil(len(list_filter(string_split_regex(text, '\s+'), lambda w: w <> '')) * CAST(1.35 AS DOUBLE)), 1) AS BIGINT) END AS tokens FROM documents WHERE text IS NOT NULL")
+def f07(spark, d):
+    return read(spark, d, "documents").where("text is not null").select("doc_id", X.token_estimate(F.col("text")).alias("tokens"))
+
+
+@query("f08_signals", f"WITH {SQL_LOG} SELECT id, monthname(created_at) || ' ' || day(created_at) || ' ' || year(created_at) AS day_words, files[1] AS first_file FROM log")
+def f08(spark, d):
+    words = F.array_join(F.slice(F.split(X.date_signals(F.col("created_at")), " "), 1, 3), " ")
+    return log(spark, d).select("id", words.alias("day_words"), F.try_element_at("files", F.lit(1)).alias("first_file"))
+
+
+def _sql_redacted(column: str) -> str:
+    for name, pattern, by in X.SECRET_RULES:
+        column = f"regexp_replace({column}, '{pattern}', '{by.replace('$1', chr(92) + '1')}', 'g')"
+    return column
+
+
+@query("f09_redacted_secrets", f"SELECT doc_id, md5({_sql_redacted('text')}) AS digest FROM documents")
+def f09(spark, d):
+    return read(spark, d, "documents").select("doc_id", F.md5(X.redact_secrets(F.col("text"))).alias("digest"))
+
+
+@query("f13_redaction_counts", f"SELECT sum(len(regexp_extract_all(text, '{X.SECRET_RULES[4][1]}'))) AS assigned, count(*) AS n FROM documents")
+def f13(spark, d):
+    counts = X.secret_counts(F.col("text"))
+    return read(spark, d, "documents").select(counts["assigned_secret"].alias("assigned")).agg(F.sum("assigned").alias("assigned"), F.count(F.lit(1)).alias("n"))
+
+
+@query("f12_framed_untrusted", f"WITH {SQL_LOG} SELECT id, md5('<untrusted>' || chr(10) || replace(content, '</untrusted>', '&lt;/untrusted&gt;') || chr(10) || '</untrusted>') AS digest FROM log WHERE kind = 'tool_output' AND content IS NOT NULL")
+def f12(spark, d):
+    return log(spark, d).where("kind = 'tool_output' and content is not null").select("id", F.md5(X.escape_untrusted(F.col("content"))).alias("digest"))
+
+
+@query("f14_row_digests", f"WITH {SQL_LOG} SELECT seq, sha256(concat_ws(chr(31), id, branch_id, kind, coalesce(content, ''))) AS digest FROM log")
+def f14(spark, d):
+    return log(spark, d).select("seq", F.sha2(F.concat_ws("\x1f", "id", "branch_id", "kind", F.coalesce("content", F.lit(""))), 256).alias("digest"))
+
+
+@query("f15_normalized_keys", rf"WITH {SQL_MEMORIES} SELECT lower(trim(regexp_replace(content, '[\s\p{{Z}}]+', ' ', 'g'))) AS key, count(*) AS n FROM mem GROUP BY 1")
+def f15(spark, d):
+    return memories(spark, d).groupBy(X.normalized_key(F.col("content")).alias("key")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("f16_previews", r"SELECT doc_id, substr(trim(regexp_replace(text, '[\s\p{Z}]+', ' ', 'g')), 1, 140) AS preview FROM documents")
+def f16(spark, d):
+    return read(spark, d, "documents").select("doc_id", X.preview(F.col("text"), 140).alias("preview"))
+
+
+@query("f17_list_lines", r"SELECT doc_id, regexp_replace(trim(line), '^- ', '') AS entry FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) WHERE starts_with(trim(line), '- ')")
+def f17(spark, d):
+    lines = read(spark, d, "documents").select("doc_id", F.explode(F.split("text", "\n")).alias("line"))
+    return lines.where(F.trim("line").startswith("- ")).select("doc_id", F.regexp_replace(F.trim("line"), "^- ", "").alias("entry"))
+
+
+@query("f18_path_suffix", f"WITH {SQL_LOG} SELECT id, f.file FROM (SELECT id, unnest(files) AS file FROM log) f WHERE ends_with('/' || f.file, '.py') AND starts_with(f.file, 'src/')")
+def f18(spark, d):
+    return log(spark, d).select("id", F.explode("files").alias("file")).where(F.concat(F.lit("/"), "file").endswith(".py") & F.col("file").startswith("src/"))
+
+
+@query("f19_commands", f"WITH {SQL_LOG} SELECT content AS command, count(*) AS n FROM log WHERE kind = 'tool_call' AND (content = 'shell' OR starts_with(content, 'read_')) GROUP BY 1")
+def f19(spark, d):
+    hit = (F.col("content") == "shell") | F.col("content").startswith("read_")
+    return log(spark, d).where((F.col("kind") == "tool_call") & hit).groupBy(F.col("content").alias("command")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("f20_first_failure", rf"WITH {SQL_LOG} SELECT id, substr(list_filter(list_transform(string_split_regex(content, '\r\n?|\n'), lambda l: trim(regexp_replace(l, '[\s\p{{Z}}]+', ' ', 'g'))), lambda l: regexp_matches(l, '{X.FAILURE}'))[1], 1, 240) AS line FROM log WHERE kind = 'tool_output' AND content IS NOT NULL")
+def f20(spark, d):
+    return log(spark, d).where("kind = 'tool_output' and content is not null").select("id", X.first_failure_line(F.col("content")).alias("line"))
+
+
+@query("f21_low_information", rf"WITH {SQL_LOG} SELECT id FROM log WHERE kind = 'tool_output' AND regexp_matches(content, '{X.FAILURE}') AND length(trim(content)) < 60")
+def f21(spark, d):
+    """Failures that say nothing but that something failed."""
+    return log(spark, d).where((F.col("kind") == "tool_output") & F.col("content").rlike(X.FAILURE) & (F.length(F.trim("content")) < 60)).select("id")
+
+
+_SQL_FAMILY = "CASE " + " ".join(f"WHEN regexp_matches(lower(content), '{'|'.join(w)}') THEN '{n}'" for n, w in X.FAMILIES) + " ELSE 'generic' END"
+
+
+@query("f22_tool_family", f"WITH {SQL_LOG} SELECT {_SQL_FAMILY} AS family, count(*) AS n FROM log WHERE kind = 'tool_call' AND content IS NOT NULL GROUP BY 1")
+def f22(spark, d):
+    return log(spark, d).where("kind = 'tool_call' and content is not null").groupBy(X.family(F.col("content")).alias("family")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("f23_critical_signals")
+def f23(spark, d):
+    outputs = log(spark, d).where("kind = 'tool_output' and content is not null")
+    return outputs.select("id", F.explode(X.critical_signals(F.col("content"), True)).alias("signal"))
+
+
+@query("f25_located_evidence", "SELECT DISTINCT c.id, strpos(e.current, c.evidence_quote) AS at, CAST((length(e.current) - length(replace(e.current, c.evidence_quote, ''))) / length(c.evidence_quote) AS BIGINT) AS times FROM candidates c JOIN extraction_examples e ON e.id = c.example_id WHERE length(c.evidence_quote) > 0")
+def f25(spark, d):
+    texts = read(spark, d, "extraction_examples").select(F.col("id").alias("example_id"), "current")
+    rows = read(spark, d, "candidates").where(F.length("evidence_quote") > 0).select("id", "example_id", "evidence_quote").distinct().join(texts, "example_id")
+    return rows.select("id", F.expr("instr(current, evidence_quote)").alias("at"), X.occurrences(F.col("current"), F.col("evidence_quote")).alias("times")).distinct()
+
+
+@query("f26_questions", rf"WITH {SQL_LOG} SELECT id FROM log WHERE kind = 'message' AND regexp_matches(content, '[?？][\s\p{{Z}})\]*]*$')")
+def f26(spark, d):
+    return log(spark, d).where((F.col("kind") == "message") & F.col("content").rlike(r"[?？][\s\p{Z})\]*]*$")).select("id")
+
+
+_MARKER = r"(?i)^\s*(goal|constraint|decision|task|todo|fact|preference|failed|failure|lesson|next step|done)\s*:\s*(\S.*)$"
+
+
+@query("f27_marker_lines", rf"WITH {SQL_LOG}, l AS (SELECT id, unnest(string_split(content, chr(10))) AS line FROM log WHERE content IS NOT NULL) SELECT id, lower(regexp_extract(line, '{_MARKER}', 1)) AS marker, regexp_extract(line, '{_MARKER}', 2) AS said FROM l WHERE regexp_matches(line, '{_MARKER}')")
+def f27(spark, d):
+    rows = log(spark, d).where("content is not null").select("id", F.explode(F.split("content", "\n")).alias("line")).where(F.col("line").rlike(_MARKER))
+    return rows.select("id", F.lower(F.regexp_extract("line", _MARKER, 1)).alias("marker"), F.regexp_extract("line", _MARKER, 2).alias("said"))
+
+
+_TAG = r"^<finalize type=\"?([A-Za-z-]+)\"?>"
+
+
+@query("f28_finalization_tags", rf"SELECT q.id, lower(regexp_extract(q.raw_content, '{_TAG.replace(chr(92) + chr(34), chr(34))}', 1)) AS tag, contains(q.raw_content, '</finalize>') AS closed FROM (SELECT DISTINCT id, raw_content FROM finalization_quarantine) q")
+def f28(spark, d):
+    rows = read(spark, d, "finalization_quarantine").select("id", "raw_content").distinct()
+    return rows.select("id", F.lower(F.regexp_extract("raw_content", _TAG.replace('\\"', '"'), 1)).alias("tag"), F.contains("raw_content", F.lit("</finalize>")).alias("closed"))
+
+
+@query("f31_fingerprints", f"WITH {SQL_MEMORIES} SELECT id, sha256(concat_ws(chr(0), id, memory_type, content)) AS fingerprint FROM mem")
+def f31(spark, d):
+    return memories(spark, d).select("id", F.sha2(F.concat_ws("\x00", "id", "memory_type", "content"), 256).alias("fingerprint"))
+
+
+@query("f33_containment", f"WITH {SQL_MEMORIES}, p AS (SELECT id, content, lag(content) OVER (PARTITION BY example_id ORDER BY ord, id) AS before FROM mem), t AS (SELECT id, {terms_sql('content')} AS a, {terms_sql('before')} AS b FROM p WHERE before IS NOT NULL) SELECT id, round(CASE WHEN least(len(a), len(b)) > 0 THEN len(list_filter(a, lambda x: list_contains(b, x))) / least(len(a), len(b)) ELSE 0 END, 6) AS contained FROM t")
+def f33(spark, d):
+    from pyspark.sql import Window
+
+    before = F.lag("content").over(Window.partitionBy("example_id").orderBy("ord", "id"))
+    rows = memories(spark, d).withColumn("before", before).where("before is not null")
+    return rows.select("id", F.round(X.containment(F.col("content"), F.col("before")), 6).alias("contained"))
+
+
+@query("f36_answer_variants", "SELECT DISTINCT question_id, contains(lower(model_answer), lower(gold_answer_or_rubric)) AS extractive FROM rejudge_rows WHERE model_answer IS NOT NULL")
+def f36(spark, d):
+    rows = read(spark, d, "rejudge_rows").where("model_answer is not null")
+    return rows.select("question_id", F.contains(F.lower("model_answer"), F.lower("gold_answer_or_rubric")).alias("extractive")).distinct()
+
+
+@query("f38_model_cost", f"WITH {SQL_LOG} SELECT session_id, round(sum(strlen(content) * 3.0 / 1000000), 6) AS cost FROM log WHERE content IS NOT NULL AND role = 'assistant' GROUP BY 1")
+def f38(spark, d):
+    cost = F.sum(F.octet_length("content") * F.lit(3.0) / 1000000)
+    return log(spark, d).where("content is not null and role = 'assistant'").groupBy("session_id").agg(F.round(cost, 6).alias("cost"))
+
+
+@query("f39_trust", f"WITH {SQL_LOG} SELECT CASE WHEN origin_channel = 'hook' AND role = 'user' THEN 'host_logical_user' WHEN origin_channel = 'hook' AND role = 'assistant' AND origin_adapter IS NOT NULL THEN 'host_assistant' WHEN origin_channel = 'host' THEN 'local_operator' ELSE 'external_untrusted' END AS trust, count(*) AS n FROM log GROUP BY 1")
+def f39(spark, d):
+    trust = (
+        F.when((F.col("origin_channel") == "hook") & (F.col("role") == "user"), "host_logical_user")
+        .when((F.col("origin_channel") == "hook") & (F.col("role") == "assistant") & F.col("origin_adapter").isNotNull(), "host_assistant")
+        .when(F.col("origin_channel") == "host", "local_operator")
+        .otherwise("external_untrusted")
+    )
+    return log(spark, d).groupBy(trust.alias("trust")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("f42_accuracy_interval", "WITH r AS (SELECT DISTINCT question_id, question_type, original_correct FROM rejudge_rows WHERE original_correct IS NOT NULL), a AS (SELECT question_type, avg(CAST(original_correct AS INT)) AS p, count(*) AS n FROM r GROUP BY 1) SELECT question_type, n, round(p, 4) AS accuracy, round(1.96 * sqrt(p * (1 - p) / n), 4) AS ci95 FROM a")
+def f42(spark, d):
+    rows = read(spark, d, "rejudge_rows").where("original_correct is not null").select("question_id", "question_type", "original_correct").distinct()
+    stats = rows.groupBy("question_type").agg(F.avg(F.col("original_correct").cast("int")).alias("p"), F.count(F.lit(1)).alias("n"))
+    return stats.select("question_type", "n", F.round("p", 4).alias("accuracy"), F.round(1.96 * F.sqrt(F.col("p") * (1 - F.col("p")) / F.col("n")), 4).alias("ci95"))
