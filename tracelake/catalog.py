@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tracelake import registry
 
-FLAGSHIP = "v02_visible_events"
+FLAGSHIP = "r09_hybrid_search"
 
 
 def _load() -> None:
