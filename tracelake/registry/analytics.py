@@ -6,12 +6,10 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tracelake.functions import text as X
+from tracelake.plans import ordered as O
 from tracelake.registry import query
 from tracelake.sources.tables import SQL_LOG, SQL_MEMORIES, log, memories, read
 
-#: Positions of one session are summed inside ranges of this width first.
-SEQ_RANGE = 50_000
-
 _SQL_TOKENS = r"CASE WHEN content IS NULL OR length(content) = 0 THEN 0 ELSE CAST(greatest(ceil(strlen(content) / 3), ceil(len(list_filter(string_split_regex(content, '\s+'), lambda w: w <> '')) * CAST(1.35 AS DOUBLE)), 1) AS BIGINT) END"
 _SQL_USE = SQL_LOG + f", u AS (SELECT seq, id, branch_id, session_id, kind AS operation, {_SQL_TOKENS} AS tokens, coalesce(strlen(content), 0) AS raw_bytes, created_at FROM log)"
 
@@ -218,13 +216,9 @@ def w02(spark, d):
 
 
 def running_tokens(spark, d):
-    """(session_id, id, seq, tokens, cumulative): the running sum per session, in ranges of seq with carried totals."""
-    rows = usage(spark, d).where("session_id is not null").withColumn("part", F.expr(f"seq div {SEQ_RANGE}"))
-    parts = rows.groupBy("session_id", "part").agg(F.sum("tokens").alias("sum"))
-    before = F.coalesce(F.sum("sum").over(Window.partitionBy("session_id").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    inside = F.sum("tokens").over(Window.partitionBy("session_id", "part").orderBy("seq"))
-    carried = parts.select("session_id", "part", before.alias("before"))
-    return rows.withColumn("inside", inside).join(carried, ["session_id", "part"]).select("session_id", "id", "seq", "tokens", (F.col("before") + F.col("inside")).alias("cumulative"))
+    """(session_id, id, tokens, cumulative): the running sum per session."""
+    rows = usage(spark, d).where("session_id is not null").select("session_id", "id", "seq", "tokens")
+    return O.with_running_sum(rows, ["session_id"], "seq", F.col("tokens"), "cumulative")
 
 
 @query("w03_running_total", f"WITH {_SQL_USE} SELECT id, CAST(sum(tokens) OVER (PARTITION BY session_id ORDER BY seq) AS BIGINT) AS cumulative FROM u WHERE session_id IS NOT NULL")
@@ -248,10 +242,9 @@ def w12(spark, d):
 @query("w13_repeat_collapse", f"WITH {SQL_LOG}, s AS (SELECT session_id, seq, content, CASE WHEN content = lag(content) OVER (PARTITION BY session_id ORDER BY seq) THEN 0 ELSE 1 END AS fresh FROM log WHERE kind = 'tool_call' AND session_id IS NOT NULL AND content IS NOT NULL), g AS (SELECT *, sum(fresh) OVER (PARTITION BY session_id ORDER BY seq) AS island FROM s) SELECT session_id, content, min(seq) AS first_seq, count(*) AS times FROM g GROUP BY session_id, island, content")
 def w13(spark, d):
     """Consecutive equal tool calls of a session as one row with a count."""
-    w = Window.partitionBy("session_id").orderBy("seq")
     rows = log(spark, d).where("kind = 'tool_call' and session_id is not null and content is not null").select("session_id", "seq", "content")
-    fresh = F.when(F.col("content") == F.lag("content").over(w), 0).otherwise(1)
-    islands = rows.withColumn("fresh", fresh).withColumn("island", F.sum("fresh").over(w))
+    rows = O.with_previous(rows, ["session_id"], "seq", "content", "before")
+    islands = O.with_running_sum(rows, ["session_id"], "seq", F.when(F.col("content") == F.col("before"), 0).otherwise(1), "island")
     return islands.groupBy("session_id", "island", "content").agg(F.min("seq").alias("first_seq"), F.count(F.lit(1)).alias("times")).drop("island")
 
 
@@ -264,8 +257,9 @@ def w14(spark, d):
 
 @query("w15_rate_limit_gaps", f"WITH {SQL_LOG}, g AS (SELECT id, seq - lag(seq) OVER (PARTITION BY branch_id ORDER BY seq) AS gap FROM log WHERE kind = 'memory_block') SELECT id, gap, coalesce(gap >= 20, true) AS allowed FROM g")
 def w15(spark, d):
-    gap = F.col("seq") - F.lag("seq").over(Window.partitionBy("branch_id").orderBy("seq"))
-    return log(spark, d).where("kind = 'memory_block'").select("id", gap.alias("gap")).select("id", "gap", F.coalesce(F.col("gap") >= 20, F.lit(True)).alias("allowed"))
+    rows = log(spark, d).where("kind = 'memory_block'").select("branch_id", "id", "seq")
+    rows = O.with_previous(rows, ["branch_id"], "seq", "seq", "before").withColumn("gap", F.col("seq") - F.col("before"))
+    return rows.select("id", "gap", F.coalesce(F.col("gap") >= 20, F.lit(True)).alias("allowed"))
 
 
 @query("w17_fanout_cap", f"WITH {SQL_MEMORIES}, r AS (SELECT memory_type, id, row_number() OVER (PARTITION BY memory_type ORDER BY confidence DESC, id) AS place FROM mem) SELECT memory_type, id FROM r WHERE place <= 20")
@@ -306,10 +300,9 @@ def j14(spark, d):
 
 @query("j15_first_evidence", f"WITH {SQL_LOG} SELECT id, next_output FROM (SELECT id, kind, min(CASE WHEN kind = 'tool_output' THEN seq END) OVER (PARTITION BY session_id ORDER BY seq ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS next_output FROM log WHERE session_id IS NOT NULL) WHERE kind = 'tool_call'")
 def j15(spark, d):
-    """The first tool result after each call of a session, by one sort instead of a range join."""
-    w = Window.partitionBy("session_id").orderBy(F.desc("seq")).rowsBetween(Window.unboundedPreceding, -1)
-    at = F.min(F.when(F.col("kind") == "tool_output", F.col("seq"))).over(w)
-    return log(spark, d).where("session_id is not null").select("id", "kind", at.alias("next_output")).where("kind = 'tool_call'").select("id", "next_output")
+    """The first tool result after each call of a session, by sorts instead of a range join."""
+    rows = log(spark, d).where("session_id is not null").select("session_id", "id", "kind", "seq")
+    return O.with_next_where(rows, ["session_id"], "seq", F.col("kind") == "tool_output", "next_output").where("kind = 'tool_call'").select("id", "next_output")
 
 
 @query("j16_gold_matches", f"WITH {_SQL_MATCH} SELECT gold, said, count(*) AS n FROM m GROUP BY 1, 2")

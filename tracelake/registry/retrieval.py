@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tracelake.functions import text as X
 from tracelake.operators import lineage as L
 from tracelake.operators import retrieval as R
+from tracelake.plans import ordered as O
 from tracelake.registry import query
 from tracelake.registry.texts import terms_sql
 from tracelake.sources.tables import SQL_LOG, SQL_MEMORIES, log, memories, read
@@ -176,8 +177,9 @@ def r16(spark, d):
 def r17(spark, d):
     """Tool results by how often their files were touched afterwards: counted by rank, not by pairs."""
     rows = log(spark, d).where("kind = 'tool_output'").select("id", "seq", F.explode("files").alias("file"))
-    later = F.count(F.lit(1)).over(Window.partitionBy("file").orderBy(F.desc("seq")).rowsBetween(Window.unboundedPreceding, -1))
-    per = rows.withColumn("changes", later).groupBy("id").agg(F.max("changes").alias("changes"))
+    through = O.with_running_sum(rows, ["file"], "seq", F.lit(1), "through")
+    totals = rows.groupBy("file").agg(F.count(F.lit(1)).alias("total"))
+    per = through.join(totals, "file").groupBy("id").agg(F.max(F.col("total") - F.col("through")).alias("changes"))
     return per.select("id", "changes", F.when(F.col("changes") >= 3, "possibly_stale").otherwise("current").alias("status"))
 
 

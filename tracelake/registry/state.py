@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tracelake.functions import text as X
 from tracelake.operators import assembly as A
 from tracelake.operators import chain
+from tracelake.plans import ordered as O
 from tracelake.registry import query
 from tracelake.registry.analytics import _SQL_TOKENS, _SQL_USE, usage
 from tracelake.sources.tables import SQL_LOG, SQL_MEMORIES, log, memories, read
@@ -58,9 +59,10 @@ def pack07(spark, d):
 @query("pack10_compaction", f"WITH {SQL_LOG}, r AS (SELECT id, session_id, seq, row_number() OVER (PARTITION BY session_id ORDER BY seq DESC) AS back FROM log WHERE session_id IS NOT NULL AND coalesce(role, '') <> 'assistant') SELECT session_id, count(*) AS n, min(seq) AS first_seq, max(seq) AS last_seq FROM r WHERE back > 8 GROUP BY 1")
 def pack10(spark, d):
     """What a compaction takes of each session: all but the last eight rows, without assistant messages."""
-    back = F.row_number().over(Window.partitionBy("session_id").orderBy(F.desc("seq")))
-    rows = log(spark, d).where("session_id is not null and coalesce(role, '') <> 'assistant'").select("session_id", "seq", back.alias("back"))
-    return rows.where("back > 8").groupBy("session_id").agg(F.count(F.lit(1)).alias("n"), F.min("seq").alias("first_seq"), F.max("seq").alias("last_seq"))
+    rows = log(spark, d).where("session_id is not null and coalesce(role, '') <> 'assistant'").select("session_id", "seq")
+    ninth = O.last_of_each(rows, ["session_id"], "seq", 9).where("back = 9").select("session_id", F.col("seq").alias("last_seq"))
+    whole = rows.groupBy("session_id").agg((F.count(F.lit(1)) - 8).alias("n"), F.min("seq").alias("first_seq"))
+    return whole.join(ninth, "session_id").select("session_id", "n", "first_seq", "last_seq")
 
 
 @query("pack11_without_assistant", f"WITH {SQL_MEMORIES} SELECT m.id FROM mem m JOIN log l ON l.id = m.source_event_id WHERE coalesce(l.role, '') <> 'assistant'")
