@@ -9,8 +9,9 @@ document gives about two hashes for nine words. Documents and items that share a
 hash are candidates and are verified by exact shingle containment: a run of
 shingles in the same order in both.
 
-Texts are compared as words: lower case, in the one form for look-alike text,
-without punctuation, markup and line breaks.
+Texts are compared as words: in capitals, where the look-alike letters of all
+scripts take their Latin shape, without invisible characters, punctuation, markup
+and line breaks.
 
 Defined results: null and empty texts and items of fewer words than a passage
 match nothing; repeated ids count once per id.
@@ -19,7 +20,9 @@ match nothing; repeated ids count once per id.
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -27,53 +30,89 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracelake.llm.textform import canonical
+from tracelake.llm.textform import CYRILLIC_LIKE, GREEK_LIKE, char_table, skeleton
 
 SHINGLE = 5
 PASSAGE = 12
+#: Texts are hashed together up to this many characters.
+TOGETHER = 1_000_000
 
 _MARKUP = re.compile(r"<[^<>]{1,200}>|&(?:[a-z]{2,8}|#\d+);|!?\[([^\[\]]*)\]\([^()\s]*\)", re.I)
-_WORD = re.compile(r"[^\W_]+(?:['’][^\W_]+)*")
-_HYPHEN_BREAK = re.compile(r"(?<=[^\W\d_])-\s*\n\s*(?=[^\W\d_])")
+_HYPHEN_BREAK = re.compile(r"(?<=[^\W\d_])-[ \t\r]*\n\s*(?=[^\W\d_])")
+
+
+_MARKS = re.compile("[\u0300-\u036f]")
+_ASCII = "".join(c if c.isalnum() else " " for c in map(chr, range(128)))
+_LIKE = frozenset((CYRILLIC_LIKE + GREEK_LIKE).upper())
+
+
+class _Capitals(dict):
+    """What characters of a text in capitals become; filled as characters turn up."""
+
+    def __missing__(self, point: int) -> str:
+        c = chr(point)
+        out = char_table().get(point, c)
+        if c in _LIKE or unicodedata.decomposition(c):
+            out = skeleton(c)
+        if len(out) == 1 and not out.isalnum() and not _MARKS.match(out):
+            out = " "
+        self[point] = out.upper()
+        return self[point]
+
+
+_CAPITALS = _Capitals()
 
 
 def words(text: str | None) -> list[str]:
     """The words of a text as they are compared."""
     if not text:
         return []
-    text = canonical(text)
     if "<" in text or "&" in text or "](" in text:
         text = _MARKUP.sub(lambda m: m[1] or " ", text)
-    if "-" in text and "\n" in text:
+    if "-\n" in text or "-\r" in text:
         text = _HYPHEN_BREAK.sub("", text)
-    return [w.replace("’", "'") for w in _WORD.findall(text.lower())]
+    text = text.replace("'", "").replace("’", "").upper()
+    if text.isascii():
+        return text.translate(_ASCII).split()
+    text = text.translate(_CAPITALS)
+    if _MARKS.search(text):
+        text = unicodedata.normalize("NFC", text)
+    return text.split()
 
 
+#: Hashes of the words that this process has met lately.
+_KNOWN: dict[str, int] = {}
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
-def shingle_hashes(tokens: list[str]) -> np.ndarray:
-    """One 64-bit hash per run of ``SHINGLE`` words."""
-    n = len(tokens) - SHINGLE + 1
-    if n <= 0:
-        return np.empty(0, np.uint64)
-    known: dict[str, int] = {}
-    base = np.fromiter((known.get(w) or known.setdefault(w, xxhash.xxh64_intdigest(w)) for w in tokens), np.uint64, len(tokens))
-    h = np.zeros(n, np.uint64)
+def passage_marks(texts: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
+    """(text number, MinHash) of all passages of ``PASSAGE`` words, neighbours with the same hash once."""
+    if len(_KNOWN) > 200_000:
+        _KNOWN.clear()
+    for tokens in texts:
+        for w in set(tokens).difference(_KNOWN):
+            _KNOWN[w] = xxhash.xxh64_intdigest(w)
+    lengths = np.array([len(t) for t in texts], np.int64)
+    total = int(lengths.sum())
+    if total < PASSAGE:
+        return np.empty(0, np.int64), np.empty(0, np.uint64)
+    base = np.fromiter(map(_KNOWN.__getitem__, chain.from_iterable(texts)), np.uint64, total)
+    owner = np.repeat(np.arange(len(texts)), lengths)
+    n = total - SHINGLE + 1
+    shingles = np.zeros(n, np.uint64)
     with np.errstate(over="ignore"):
         for k in range(SHINGLE):
-            h = (h ^ base[k : k + n]) * _MIX
-            h ^= h >> np.uint64(29)
-    return h
-
-
-def passage_minima(tokens: list[str]) -> np.ndarray:
-    """The distinct MinHashes of all passages of ``PASSAGE`` words."""
-    h = shingle_hashes(tokens)
-    width = PASSAGE - SHINGLE + 1
-    if len(h) < width:
-        return np.empty(0, np.uint64)
-    return np.unique(np.lib.stride_tricks.sliding_window_view(h, width).min(axis=1))
+            shingles = (shingles ^ base[k : k + n]) * _MIX
+            shingles ^= shingles >> np.uint64(29)
+    n = total - PASSAGE + 1
+    low = shingles[:n].copy()
+    for k in range(1, PASSAGE - SHINGLE + 1):
+        np.minimum(low, shingles[k : k + n], out=low)
+    inside = owner[:n] == owner[PASSAGE - 1 :]
+    low, owner = low[inside], owner[:n][inside]
+    fresh = np.ones(len(low), bool)
+    fresh[1:] = (low[1:] != low[:-1]) | (owner[1:] != owner[:-1])
+    return owner[fresh], low[fresh]
 
 
 def longest_run(document: list[str], item: list[str]) -> int:
@@ -98,8 +137,14 @@ def _minima(rows: DataFrame, key: str, text: str) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            marks = [passage_minima(words(t)).view(np.int64) for t in batch["text"]]
-            yield pd.DataFrame({"key": np.repeat(batch["key"].to_numpy(), [len(m) for m in marks]), "mark": np.concatenate(marks) if marks else np.empty(0, np.int64)})
+            keys, texts = batch["key"].to_numpy(), batch["text"].tolist()
+            start, size = 0, 0
+            for end, t in enumerate(texts, 1):
+                size += len(t)
+                if size >= TOGETHER or end == len(texts):
+                    owner, marks = passage_marks([words(t) for t in texts[start:end]])
+                    yield pd.DataFrame({"key": keys[start:end][owner], "mark": marks.view(np.int64)})
+                    start, size = end, 0
 
     return rows.select(F.col(key).alias("key"), F.col(text).alias("text")).where("key is not null and text is not null").mapInPandas(run, "key bigint, mark bigint")
 
