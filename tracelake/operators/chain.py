@@ -8,10 +8,15 @@ pieces of bounded length: a piece is hashed from the stored end of the one befor
 
 from __future__ import annotations
 
+import hashlib
+
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 SEQ_RANGE = 50_000
+#: Positions of one piece of a built chain.
+PIECE = 1_000
 
 
 def verify(events: DataFrame) -> DataFrame:
@@ -30,3 +35,20 @@ def verify(events: DataFrame) -> DataFrame:
     body = F.sha2(F.concat(F.coalesce("previous_hash", F.lit("")), "content_hash"), 256) != F.col("chain_hash")
     fault = F.when(link, "broken_link").when(body & F.col("previous_hash").isNotNull(), "broken_hash")
     return linked.select("seq", "id", fault.alias("fault")).where("fault is not null")
+
+
+def build(events: DataFrame, key: str) -> DataFrame:
+    """(chain, piece, n, digest): each chain's rows folded in order of seq, piece by piece.
+
+    A piece starts from its own number, so that pieces are built side by side; the list of a chain's
+    digests, in order of piece, vouches for the whole chain. Null content counts as empty.
+    """
+    rows = events.select(F.coalesce(key, F.lit("")).alias("chain"), F.floor(F.col("seq") / PIECE).cast("bigint").alias("piece"), "seq", F.sha2(F.coalesce("content", F.lit("")), 256).alias("digest"))
+
+    def fold(group: pd.DataFrame) -> pd.DataFrame:
+        now = str(group["piece"].iloc[0])
+        for digest in group.sort_values("seq")["digest"]:
+            now = hashlib.sha256((now + digest).encode()).hexdigest()
+        return pd.DataFrame({"chain": [group["chain"].iloc[0]], "piece": [group["piece"].iloc[0]], "n": [len(group)], "digest": [now]})
+
+    return rows.groupBy("chain", "piece").applyInPandas(fold, "chain string, piece bigint, n bigint, digest string")
