@@ -13,8 +13,8 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -29,9 +29,8 @@ COMMON = (
 )
 
 _BLANK = r"[\s\p{Z}\p{Cf}]"
-_MARK = r"^\s*(?:[-*•·◦‣+–]\s+(?:\[[ xX]?\]\s*)?|\[[ xX]?\]\s+|\(?(?:\d{1,4}|[A-Za-zа-яА-Я]|[ivxlc]{1,5})[.)]\s+)"
-
-_SHAPE = T.StructType([T.StructField(name, T.DoubleType() if name in ("top2", "top3", "top_words") else T.LongType()) for name in "words letters common top2 top3 odd_chunks chunks top_words vowelless hex_words long_words distinct_words foreign placeholders".split()])
+_INTS = "words letters common vowelless hex_words long_words odd_chunks chunks ink distinct_words foreign placeholders n_plain plain_chars n_marked marked_chars n_bare bare_chars n_body n_rules bar_width bar_lines tab_width tab_lines semicolon_width semicolon_lines comma_width comma_lines gap_width gap_lines"
+_SHAPE = T.StructType([T.StructField(name, T.LongType()) for name in _INTS.split()] + [T.StructField(name, T.DoubleType()) for name in ("top2", "top3", "top_words")])
 
 
 def _lines(text: Column) -> Column:
@@ -43,127 +42,147 @@ def _visible(line: Column) -> Column:
 
 
 _TOKEN = re.compile(r"[^\W_]+(?:['’-][^\W_]+)*")
-_HEX = re.compile(r"[0-9a-f]{4,}$", re.I)
-_INNER_SIGN = re.compile(r"[^\W\d_][\[\]{};<>|\\]+[^\W\d_]")
-_LONG = re.compile(r"[\w+/=-]{40,}$")
+_HEX = re.compile(r"(?<!\S)[0-9a-fA-F]{4,}(?!\S)")
+_LONG = re.compile(r"(?<!\S)[\w+/=-]{40,}(?!\S)")
+_INNER_SIGN = re.compile(r"(?<=[^\W\d_])[\[\]{};<>|\\]+(?=[^\W\d_])")
 _VOWEL = re.compile(r"[aeiouyаеёиоуыэюяáéíóúüäöåàèìòùâêîôûæøœ]", re.I)
+_FOREIGN = re.compile("[\x80-\x9fÐÑÃÂ\ufffd]")
 #: The notations of a slot that a template engine would have filled.
 _SLOT = re.compile(r"\{\{[^{}\n]*\}\}|\{%[^{}\n]*%\}|%\{[^{}\n]*\}%?|<%[^\n]*?%>|\$\{?\(?\w+\)?\}?|&#?\w+;")
+_SPLIT = re.compile("\r\n|\n|\r|\u2028|\x85")
+_NO_INK = re.compile(r"[\s\u200b-\u200f\u2060\ufeff\xad]*$")
+_FENCE = re.compile(r"```.*?(?:```|$)", re.S)
+_MARKED = re.compile(r"\s*(?:[-*•·◦‣+–]\s+(?:\[[ xX]?\]\s*)?|\[[ xX]?\]\s+|\(?(?:\d{1,4}|[A-Za-zа-яА-Я]|[ivxlc]{1,5})[.)]\s+)")
+_SENTENCE_END = re.compile(r"[^\W\d_]{2}[.!?]\s+[^\W\d_]")
+_NOT_BARE = re.compile(r"[.!?:;,]\s*$|\s*#|[|\t]")
+_RULE_LINE = re.compile(r"[\s|+:=_*~.-]+$")
+_DASHES = re.compile(r"[-=_+]{3}")
+_LIMITS = {"semicolon": re.compile(r";(?! |$)"), "comma": re.compile(r",(?! |$)"), "gap": re.compile(r"(?<=\S) {2,}(?=\S)|^ {6,}(?=\S)")}
+_NOTATIONS = (("bar", "|"), ("tab", "\t"), ("semicolon", ";"), ("comma", ","), ("gap", "  "))
+
+
+def _coverage(codes: np.ndarray, sizes: np.ndarray, n: int, kinds: int) -> float:
+    """The part of a text's letters and digits that its most frequent run of ``n`` words covers."""
+    if len(codes) < 2 * n:
+        return 0.0
+    grams = codes[: len(codes) - n + 1].copy()
+    for k in range(1, n):
+        grams = grams * kinds + codes[k : len(codes) - n + 1 + k]
+    ordered = np.sort(grams)
+    ends = np.flatnonzero(np.append(ordered[1:] != ordered[:-1], True))
+    counts = np.diff(ends, prepend=-1)
+    best = counts.argmax()
+    if counts[best] < 2:
+        return 0.0
+    at = (grams == ordered[ends[best]]).argmax()
+    return min(1.0, float(counts[best] * sizes[at : at + n].sum() / sizes.sum()))
+
+
+def _word_counts(text: str, common: frozenset[str]) -> tuple:
+    tokens = _TOKEN.findall(text.lower())
+    counts = Counter(tokens)
+    kinds = {t: i for i, t in enumerate(counts)}
+    codes = np.fromiter(map(kinds.__getitem__, tokens), np.int64, len(tokens))
+    sizes = np.fromiter(map(len, tokens), np.int64, len(tokens))
+    stems: Counter = Counter()
+    for t, n in counts.items():
+        stems[t[:-1] if t.endswith("s") else t] += n
+    size = sum(n * len(t) for t, n in stems.items())
+    chunks = text.split()
+    odd = sum(1 for c in chunks if _INNER_SIGN.search(c)) if _INNER_SIGN.search(text) else 0
+    ints = (
+        len(tokens),
+        sum(n * (len(t) if t.isalpha() else sum(map(str.isalpha, t))) for t, n in counts.items()),
+        sum(n for t, n in counts.items() if t in common),
+        sum(n for t, n in counts.items() if len(t) > 3 and t.isalpha() and not _VOWEL.search(t)),
+        len(_HEX.findall(text)),
+        len(_LONG.findall(text)) if len(max(chunks, key=len, default="")) >= 40 else 0,
+        odd,
+        len(chunks),
+        sum(map(len, chunks)),
+        len(counts),
+        len(_FOREIGN.findall(text)),
+        sum(map(len, _SLOT.findall(text))) if any(x in text for x in "{%$&") else 0,
+    )
+    top = sum(n * len(t) for t, n in stems.most_common(3)) / size if size else 0.0
+    return ints, (_coverage(codes, sizes, 2, len(kinds)), _coverage(codes, sizes, 3, len(kinds)), top)
 
 
-@F.pandas_udf(_SHAPE)
-def word_shape(texts: pd.Series) -> pd.DataFrame:
-    """Word statistics of whole texts, the n-gram coverages among them."""
-    common = frozenset(COMMON.split())
+def _line_counts(text: str, common: frozenset[str]) -> tuple:
+    lines = [x for x in _SPLIT.split(text) if not _NO_INK.match(x)]
+    # code between fences counts as part of the text around it
+    plain = [x for x in _SPLIT.split(_FENCE.sub("", text)) if not _NO_INK.match(x)] if "```" in text else lines
+    marked = marked_chars = bare = bare_chars = 0
+    for x in plain:
+        if _MARKED.match(x):
+            # a marked line of several sentences is a paragraph
+            if len(_SENTENCE_END.findall(x)) < 2:
+                marked, marked_chars = marked + 1, marked_chars + len(x)
+        elif len(x) < 200 and not _NOT_BARE.search(x) and len(x.split(None, 5)) <= 4 and x.lstrip()[:1].isalnum() and not common.intersection(_TOKEN.findall(x.lower())):
+            # up to four words without an end mark or function word: an entry of a list without markers
+            bare, bare_chars = bare + 1, bare_chars + len(x)
+    body = [x for x in lines if not _RULE_LINE.match(x)]
+    rules = sum(1 for x in lines if _RULE_LINE.match(x) and _DASHES.search(x))
+    columns = []
+    for kind, sign in _NOTATIONS:
+        if sign not in text:
+            columns += (0, 0)
+            continue
+        pattern = _LIMITS.get(kind)
+        widths = Counter()
+        for x in body:
+            if sign in x and not _MARKED.match(x):
+                widths[len(pattern.findall(x)) if pattern else x.count(sign)] += 1
+        widths.pop(0, None)
+        width, times = max(widths.items(), key=lambda w: (w[1], w[0]), default=(0, 0))
+        columns += (width, times)
+    return (len(plain), sum(map(len, plain)), marked, marked_chars, bare, bare_chars, len(body), rules, *columns)
 
-    def coverage(tokens: list[str], n: int, size: int) -> float:
-        if len(tokens) < 2 * n or not size:
-            return 0.0
-        gram, count = Counter(zip(*(tokens[k:] for k in range(n)))).most_common(1)[0]
-        return min(1.0, count * sum(map(len, gram)) / size) if count > 1 else 0.0
 
+@F.pandas_udf(_SHAPE)
+def text_shape(texts: pd.Series) -> pd.DataFrame:
+    """Counts over the words and lines of whole texts."""
+    common = frozenset(COMMON.split())
     rows = []
     for text in texts:
-        text = text or ""
-        tokens = _TOKEN.findall(text.lower())
-        size = sum(map(len, tokens))
-        chunks = text.split()
-        rows.append(
-            (
-                len(tokens),
-                sum(c.isalpha() for c in text),
-                sum(t in common for t in tokens),
-                coverage(tokens, 2, size),
-                coverage(tokens, 3, size),
-                sum(1 for c in chunks if _INNER_SIGN.search(c)),
-                len(chunks),
-                sum(n * len(t) for t, n in Counter(t[:-1] if t.endswith("s") else t for t in tokens).most_common(3)) / max(1, sum(len(t) - t.endswith("s") for t in tokens)),
-                sum(1 for t in tokens if len(t) > 3 and t.isalpha() and not _VOWEL.search(t)),
-                sum(1 for c in chunks if _HEX.match(c)),
-                sum(1 for c in chunks if _LONG.match(c)),
-                len(set(tokens)),
-                sum(1 for c in text if "\x80" <= c <= "\x9f" or c in "ÐÑÃÂ�"),
-                sum(len(m) for m in _SLOT.findall(text)),
-            )
-        )
+        ints, ratios = _word_counts(text or "", common)
+        rows.append((*ints, *_line_counts(text or "", common), *ratios))
     return pd.DataFrame(rows, columns=_SHAPE.names)
 
 
-def _mode_share(counts: Column) -> tuple[Column, Column]:
-    """The most frequent value over 0 of an array of counts and the number of entries that have it."""
-    kinds = F.transform(F.array_distinct(F.filter(counts, lambda n: n > 0)), lambda n: F.struct(F.size(F.filter(counts, lambda m: m == n)).alias("times"), n.alias("n")))
-    best = F.array_max(kinds)
-    return F.coalesce(best["n"], F.lit(0)), F.coalesce(best["times"], F.lit(0))
-
-
-def _cells(kind: str):
-    """The number of column breaks of a line in one notation, 0 if it has none."""
-    patterns = {
-        "bar": r"\|",
-        "tab": r"\t",
-        "semicolon": r";(?! |$)",
-        "comma": r",(?! |$)",
-        "gap": r"(?<=\S) {2,}(?=\S)|(?<=^) {6,}(?=\S)",
-    }
-    return lambda line: F.when(line.rlike(_MARK), 0).otherwise(F.regexp_count(line, F.lit(patterns[kind])))
-
-
 def statistics(documents: DataFrame) -> DataFrame:
-    """One row of statistics per document row; the columns are named in ``form_rules``."""
+    """One row of statistics per document row; the columns are those that ``form_rules`` reads, and more."""
     text = F.coalesce("text", F.lit(""))
-    docs = documents.where("doc_id is not null").select("doc_id", text.alias("text"), word_shape(text).alias("w"))
-    docs = docs.withColumn("all", _lines("text")).withColumn("lines", F.filter("all", _visible))
-    # code between fences counts as part of the text around it
-    prose = F.regexp_replace("text", r"(?s)```.*?(?:```|$)", "")
-    docs = docs.withColumn("plain", F.filter(_lines(prose), _visible))
-    n = F.size("lines")
-    total = F.aggregate("plain", F.lit(0), lambda s, x: s + F.length(x))
-    # a marked line of several sentences is a paragraph
-    marked = F.filter("plain", lambda x: x.rlike(_MARK) & (F.regexp_count(x, F.lit(r"\p{L}{2}[.!?]\s+\p{L}")) < 2))
-    # a line of one to four words without an end mark or function word: an entry of a list without markers
-    common = F.array(*[F.lit(w) for w in dict.fromkeys(COMMON.split())])
-    bare = F.filter("plain", lambda x: ~x.rlike(_MARK) & ~x.rlike(r"[.!?:;,]\s*$|^\s*#|[|\t]") & (F.size(F.split(F.trim(x), r"\s+")) <= 4) & ~F.arrays_overlap(F.split(F.lower(F.trim(x)), r"[^\p{L}\p{N}]+"), common) & x.rlike(r"^\s*[\p{L}\p{N}]"))
-    rule = F.filter("lines", lambda x: x.rlike(r"^[\s|+:=_*~.\-]+$") & x.rlike(r"[-=_+]{3}"))
-    body = F.filter("lines", lambda x: ~x.rlike(r"^[\s|+:=_*~.\-]+$"))
-    columns = {}
-    for kind in ("bar", "tab", "semicolon", "comma", "gap"):
-        columns[kind] = F.transform("body", _cells(kind))
-    docs = docs.withColumn("body", body).withColumn("marked", marked).withColumn("bare", bare).withColumn("n_rules", F.size(rule))
-    for kind, counts in columns.items():
-        width, times = _mode_share(counts)
-        docs = docs.withColumn(f"{kind}_width", width).withColumn(f"{kind}_lines", times)
-    paragraphs = F.filter(F.split("text", r"(?:\r?\n[ \t]*){2,}"), _visible)
-    words = F.col("w.words")
+    docs = documents.where("doc_id is not null").select("doc_id", text.alias("text")).select("doc_id", "text", text_shape("text").alias("w"))
+    lines, paragraphs = F.filter(_lines(F.col("text")), _visible), F.filter(F.split("text", r"(?:\r?\n[ \t]*){2,}"), _visible)
+    docs = docs.withColumn("found", F.struct(lines.alias("lines"), paragraphs.alias("paragraphs")))
+    words, n, blocks, ink = F.col("w.words"), F.size("found.lines"), F.size("found.paragraphs"), F.col("w.ink")
     return docs.select(
         "doc_id",
         F.length("text").alias("n_chars"),
         words.alias("n_words"),
         n.alias("n_lines"),
-        F.size("plain").alias("n_plain"),
         F.try_divide(F.col("w.letters"), words).alias("mean_word_length"),
-        F.try_divide(F.length(F.regexp_replace("text", r"[\p{L}\p{N}\s\p{Z}]", "")), F.length("text")).alias("symbol_ratio"),
-        F.try_divide(F.size(F.filter("lines", lambda x: x.rlike(r"[.!?…。:;\"'»”)]\s*$"))), n).alias("punctuated_line_share"),
+        F.try_divide(F.length(F.regexp_replace("text", r"[\p{L}\p{N}\s\p{Z}]+", "")), F.length("text")).alias("symbol_ratio"),
+        F.try_divide(F.size(F.filter("found.lines", lambda x: x.rlike(r"[.!?…。:;\"'»”)]\s*$"))), n).alias("punctuated_line_share"),
         F.try_divide(F.col("w.common"), words).alias("common_word_share"),
-        F.try_divide(n - F.size(F.array_distinct("lines")), n).alias("duplicate_line_share"),
-        F.try_divide(F.size(paragraphs) - F.size(F.array_distinct(paragraphs)), F.size(paragraphs)).alias("duplicate_paragraph_share"),
+        F.try_divide(n - F.size(F.array_distinct("found.lines")), n).alias("duplicate_line_share"),
+        F.try_divide(blocks - F.size(F.array_distinct("found.paragraphs")), blocks).alias("duplicate_paragraph_share"),
         F.col("w.top2").alias("top_bigram_coverage"),
         F.col("w.top3").alias("top_trigram_coverage"),
+        F.col("w.top_words").alias("top_word_coverage"),
         F.try_divide(F.col("w.distinct_words"), words).alias("distinct_word_share"),
-        F.try_divide(F.aggregate("marked", F.lit(0), lambda s, x: s + F.length(x)), total).alias("marked_char_share"),
-        F.size("marked").alias("n_marked"),
-        F.try_divide(F.aggregate("bare", F.lit(0), lambda s, x: s + F.length(x)), total).alias("bare_char_share"),
-        F.size("bare").alias("n_bare"),
-        F.size("body").alias("n_body"),
-        "n_rules",
-        *[F.col(f"{k}_{x}") for k in columns for x in ("width", "lines")],
-        F.try_divide(F.col("w.letters"), F.length(F.regexp_replace("text", r"[\s\p{Z}]", ""))).alias("letter_share"),
+        F.try_divide(F.col("w.marked_chars"), F.col("w.plain_chars")).alias("marked_char_share"),
+        F.try_divide(F.col("w.bare_chars"), F.col("w.plain_chars")).alias("bare_char_share"),
+        *[F.col(f"w.{c}").alias(c) for c in ("n_plain", "n_marked", "n_bare", "n_body", "n_rules")],
+        *[F.col(f"w.{k}_{x}").alias(f"{k}_{x}") for k, _ in _NOTATIONS for x in ("width", "lines")],
+        F.try_divide(F.col("w.letters"), ink).alias("letter_share"),
         F.try_divide(F.col("w.vowelless"), words).alias("vowelless_share"),
         F.try_divide(F.col("w.hex_words"), F.col("w.chunks")).alias("hex_share"),
         F.try_divide(F.col("w.long_words"), F.col("w.chunks")).alias("long_word_share"),
         F.try_divide(F.col("w.odd_chunks"), F.col("w.chunks")).alias("inner_sign_share"),
-        F.col("w.top_words").alias("top_word_coverage"),
         F.try_divide(F.col("w.foreign"), F.length("text")).alias("mojibake_share"),
-        F.try_divide(F.col("w.placeholders"), F.length(F.regexp_replace("text", r"[\s\p{Z}]", ""))).alias("placeholder_share"),
+        F.try_divide(F.col("w.placeholders"), ink).alias("placeholder_share"),
     )
 
 
