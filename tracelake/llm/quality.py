@@ -150,6 +150,10 @@ def text_shape(texts: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=_SHAPE.names)
 
 
+# a filter on what follows from the counts must not run the pass a second time
+text_shape = text_shape.asNondeterministic()
+
+
 def statistics(documents: DataFrame) -> DataFrame:
     """One row of statistics per document row; the columns are those that ``form_rules`` reads, and more."""
     text = F.coalesce("text", F.lit(""))
