@@ -204,9 +204,9 @@ def g22(spark, d):
     return rows.select("id", "source_event_id", F.coalesce("reason_code", F.lit("unclassified")).alias("reason")).distinct()
 
 
-@query("g23_cheapest_placement", f"WITH {SQL_MEMORIES}, c AS (SELECT example_id, id, retrieval_cost * 2 + risk AS cost FROM mem) SELECT example_id, arg_min(id, cost) AS id FROM (SELECT *, row_number() OVER (PARTITION BY example_id ORDER BY cost, id) AS nth FROM c) WHERE nth = 1 GROUP BY 1")
+@query("g23_cheapest_placement", f"WITH {SQL_MEMORIES}, c AS (SELECT example_id, id, round(retrieval_cost * 2 + risk, 6) AS cost FROM mem) SELECT example_id, arg_min(id, cost) AS id FROM (SELECT *, row_number() OVER (PARTITION BY example_id ORDER BY cost, id) AS nth FROM c) WHERE nth = 1 GROUP BY 1")
 def g23(spark, d):
-    cost = F.struct((F.col("retrieval_cost") * 2 + F.col("risk")).alias("cost"), "id")
+    cost = F.struct(F.round(F.col("retrieval_cost") * 2 + F.col("risk"), 6).alias("cost"), "id")
     return memories(spark, d).groupBy("example_id").agg(F.min(cost)["id"].alias("id"))
 
 
