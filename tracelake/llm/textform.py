@@ -27,6 +27,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tracelake.plans.cut import cut
+
 #: Letters that look alike, Cyrillic or Greek over Latin.
 CYRILLIC_LIKE = "аеорсухіјѕһԁԛԝӏАВЕКМНОРСТХІЈЅУԌԚԜ"
 CYRILLIC_AS = "aeopcyxijshdqwlABEKMHOPCTXIJSYGQW"
@@ -131,19 +133,25 @@ def canonical_text(texts: pd.Series) -> pd.Series:
     return texts.map(canonical, na_action="ignore")
 
 
+def _forms(rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, text, form): digests of each text and of its form, made in one pass and kept for all later reads."""
+    forms = rows.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.md5(text_col).alias("text"), F.md5(canonical_text(F.col(text_col))).alias("form"))
+    return cut(forms)
+
+
 def same_look_pairs(rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id_a, id_b): rows whose texts look the same but are not the same string; null texts match nothing."""
-    forms = rows.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), canonical_text(F.col(text_col)).alias("form"))
+    forms = _forms(rows, id_col, text_col)
     # classes with one spelling drop out before any pairing
     mixed = forms.groupBy("form").agg(F.min("text").alias("lo"), F.max("text").alias("hi")).where("lo <> hi").select("form")
-    forms = forms.join(mixed, "form", "left_semi").select("id", F.md5("text").alias("text"), F.md5("form").alias("form")).distinct()
+    forms = forms.join(mixed, "form", "left_semi").distinct()
     other = forms.select(F.col("id").alias("id_b"), F.col("text").alias("text_b"), "form")
     return forms.join(other, "form").where("text <> text_b and id < id_b").select(F.col("id").alias("id_a"), "id_b").distinct()
 
 
 def look_classes(rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, class_id, n_spellings): one row per row with a text; the class is named by its smallest id."""
-    forms = rows.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.md5(text_col).alias("text"), F.md5(canonical_text(F.col(text_col))).alias("form"))
+    forms = _forms(rows, id_col, text_col)
     classes = forms.groupBy("form", "text").agg(F.min("id").alias("low")).groupBy("form").agg(F.min("low").alias("class_id"), F.count(F.lit(1)).alias("n_spellings"))
     return forms.join(classes, "form").select("id", "class_id", "n_spellings")
 
@@ -152,9 +160,8 @@ def requoted_pairs(candidates: DataFrame, examples: DataFrame) -> DataFrame:
     """(id_a, id_b), smaller first: a candidate and its example, if the candidate's quote looks the
     same as an expected quote of the example but is the same string as none of them."""
     quotes = examples.select(F.col("id").alias("example_id"), F.explode("expected.evidence_quote").alias("quote")).where("quote is not null")
-    quotes = quotes.select("example_id", canonical_text("quote").alias("form"), "quote")
+    quotes = cut(quotes.select("example_id", F.md5("quote").alias("text"), F.md5(canonical_text("quote")).alias("form")))
     own = candidates.where("evidence_quote is not null").select("id", "example_id", "evidence_quote").distinct()
-    own = own.withColumn("form", canonical_text("evidence_quote"))
-    hits = own.join(quotes, ["example_id", "form"], "left_semi")
-    hits = hits.join(quotes.select("example_id", F.col("quote").alias("evidence_quote")), ["example_id", "evidence_quote"], "left_anti")
+    own = own.select("id", "example_id", F.md5("evidence_quote").alias("text"), F.md5(canonical_text("evidence_quote")).alias("form"))
+    hits = own.join(quotes, ["example_id", "form"], "left_semi").join(quotes, ["example_id", "text"], "left_anti")
     return hits.select(F.least("id", "example_id").alias("id_a"), F.greatest("id", "example_id").alias("id_b")).distinct()
