@@ -60,6 +60,10 @@ MONTHS = (
     "januar februar märz mai juni juli oktober dezember "
     "enero febrero marzo abril mayo junio julio agosto septiembre octubre noviembre diciembre"
 )
+#: Beginnings of month names, where a text breaks off inside one.
+_MONTH_STARTS = "|".join(sorted({m[:n] for m in MONTHS.split() for n in range(2, len(m))}, key=len, reverse=True))
+# Pairs of words that no complete answer ends with.
+OPEN_PAIRS = ("that you", "which was", "which is", "who was", "in your", "of your", "что ты", "что я", "который был", "в твоих", "dass du", "weil du", "das du", "in deinen", "que tú", "que tu", "porque tú", "en tus")
 _END = r"[.!?…。？！][\"'»”)\]*_`]*\s*$"
 
 
@@ -83,6 +87,7 @@ def mask(unit: Column) -> Column:
     """A unit of text in lower case with signs for numbers, months and names, without its list mark and end mark."""
     unit = F.regexp_replace(unit, r"^(?:[-*•>\s]+|\d+[.)]\s+|[a-z]\)\s+)", "")
     unit = F.concat(F.lower(F.substring(unit, 1, 1)), F.substring(unit, 2, 1 << 30))
+    unit = F.regexp_replace(unit, rf"(?iu)(?:(?<=\d )|(?<=\d\. )|(?<= on ))(?:{_MONTH_STARTS})$", "%")
     unit = F.regexp_replace(unit, r"\d+", "#")
     unit = F.regexp_replace(unit, rf"(?iu)(?<!\p{{L}})(?:{'|'.join(MONTHS.split())})(?!\p{{L}})", "%")
     unit = F.regexp_replace(unit, r"(?<!\p{L})\p{Lu}\p{Ll}+(?!\p{L})", "@")
@@ -135,7 +140,7 @@ def _breaks_off(text: Column) -> Column:
     bold = (F.size(F.split(text, r"\*\*")) - 1) % 2 == 1
     doubled = (F.size(words) > 2) & (last == F.try_element_at(words, F.lit(-2))) & (F.length(last) < 4) & last.rlike(r"^\p{L}+$")
     marked = text.rlike(_END)
-    return (fences % 2 == 1) | bold | (~marked & (brackets | text.rlike(r"[,;(\-–—:]\s*$") | doubled | ((F.size(words) > 3) & F.array_contains(_word_set(OPEN_ENDS), last))))
+    return (fences % 2 == 1) | bold | (~marked & (brackets | text.rlike(r"[,;(\-–—:]\s*$") | doubled | ((F.size(words) > 3) & (F.array_contains(_word_set(OPEN_ENDS), last) | F.concat_ws(" ", F.try_element_at(words, F.lit(-2)), last).isin(*OPEN_PAIRS)))))
 
 
 @F.pandas_udf(T.StringType())
