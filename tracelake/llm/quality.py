@@ -135,6 +135,8 @@ def _line_counts(text: str, common: frozenset[str]) -> tuple:
                 widths[len(pattern.findall(x)) if pattern else x.count(sign)] += 1
         widths.pop(0, None)
         width, times = max(widths.items(), key=lambda w: (w[1], w[0]), default=(0, 0))
+        if kind == "gap" and widths:  # an empty cell of a table in fixed widths joins two gaps
+            width, times = max(widths), sum(widths.values())
         columns += (width, times)
     return (len(plain), sum(map(len, plain)), marked, marked_chars, bare, bare_chars, len(body), rules, *columns)
 
