@@ -21,6 +21,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tracelake.plans.cut import cut
+
 #: In order of precedence.
 DEFECTS = ("empty", "refusal", "copy", "truncated", "language")
 #: Sorted neighbours are compared inside groups that share this many first characters.
@@ -105,10 +107,10 @@ def shortened(rows: DataFrame) -> DataFrame:
 
     ``whole`` lists texts that are complete as they stand, such as gold answers.
     """
-    units = rows.select("key", F.col("text").rlike(_END).alias("ended"), _units("text").alias("units"), "whole")
+    units = cut(rows.select("key", F.col("text").rlike(_END).alias("ended"), _units("text").alias("units"), "whole"))
     size = F.size("units")
     last = units.where(size > 0).select("key", "ended", mask(F.try_element_at("units", F.lit(-1))).alias("unit"))
-    inner = units.select(F.explode(F.slice("units", 1, F.greatest(size - 1, F.lit(0)))).alias("unit")).select(mask(F.col("unit")).alias("unit"))
+    inner = units.select(F.explode(F.slice("units", 1, F.greatest(size - 1, F.lit(0)))).alias("unit")).distinct().select(mask(F.col("unit")).alias("unit"))
     whole = units.select(F.explode("whole").alias("unit")).where("unit is not null").select(mask(F.col("unit")).alias("unit"))
     complete = inner.unionByName(whole).unionByName(last.where("ended").select("unit")).distinct()
     loose = last.where("not ended").join(complete, "unit", "left_anti")
@@ -185,11 +187,11 @@ def defects(rows: DataFrame) -> DataFrame:
     rows = rows.where("question_id is not null").select("question_id", "question", "model_answer", "gold_answer_or_rubric", "created_at")
     rows = rows.withColumn("nth", F.row_number().over(latest)).where("nth = 1")
     raw = F.coalesce("model_answer", F.lit(""))
-    rows = rows.select("question_id", "question", F.col("gold_answer_or_rubric").alias("gold"), raw.alias("raw"), _bare(raw).alias("text"))
+    rows = cut(rows.select("question_id", "question", F.col("gold_answer_or_rubric").alias("gold"), raw.alias("raw"), _bare(raw).alias("text")))
     texts = rows.select(F.col("question_id").alias("key"), "text", F.array("gold", "question").alias("whole"))
-    cut = shortened(texts).distinct().withColumn("cut", F.lit(True))
+    short = shortened(texts).distinct().withColumn("cut", F.lit(True))
     spikes = length_spikes(texts).select("length", F.lit(True).alias("spike"))
-    rows = rows.join(cut, rows["question_id"] == cut["key"], "left").drop("key").withColumn("length", F.length("text"))
+    rows = rows.join(short, rows["question_id"] == short["key"], "left").drop("key").withColumn("length", F.length("text"))
     rows = rows.join(spikes, "length", "left")
 
     plain = _plain(F.regexp_replace("raw", r"\p{Cf}|</?[A-Za-z]+>", ""))
