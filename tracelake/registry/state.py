@@ -206,8 +206,9 @@ def g22(spark, d):
 
 @query("g23_cheapest_placement", f"WITH {SQL_MEMORIES}, c AS (SELECT example_id, id, round(retrieval_cost * 2 + risk, 6) AS cost FROM mem) SELECT example_id, arg_min(id, cost) AS id FROM (SELECT *, row_number() OVER (PARTITION BY example_id ORDER BY cost, id) AS nth FROM c) WHERE nth = 1 GROUP BY 1")
 def g23(spark, d):
-    cost = F.struct(F.round(F.col("retrieval_cost") * 2 + F.col("risk"), 6).alias("cost"), "id")
-    return memories(spark, d).groupBy("example_id").agg(F.min(cost)["id"].alias("id"))
+    """The cheapest fact of each example, the smallest id among equals; null where no fact's cost is known."""
+    cost = F.round(F.col("retrieval_cost") * 2 + F.col("risk"), 6)
+    return memories(spark, d).groupBy("example_id").agg(F.min(F.when(cost.isNotNull(), F.struct(cost.alias("cost"), "id")))["id"].alias("id"))
 
 
 @query("g26_native_failures", f"WITH {SQL_LOG}, c AS (SELECT json_extract_string(payload_json, '$.call_id') AS call_id, * FROM log WHERE kind IN ('tool_call', 'tool_output')) SELECT b.id, a.content AS tool FROM c a JOIN c b ON a.call_id = b.call_id AND a.kind = 'tool_call' AND b.kind = 'tool_output' WHERE regexp_matches(b.content, '{X.FAILURE}')")
