@@ -76,10 +76,10 @@ def pack11(spark, d):
 
 @query("g01_interaction_groups", f"WITH {SQL_LOG} SELECT id, CAST(sum(CASE WHEN kind = 'message' AND role = 'user' THEN 1 ELSE 0 END) OVER (PARTITION BY session_id, seq // 50000 ORDER BY seq) AS BIGINT) AS grp FROM log WHERE session_id IS NOT NULL")
 def g01(spark, d):
-    """Events of a session by the user's message that they follow, inside ranges of seq."""
+    """Events of a session by the user's message that they follow, over the whole session."""
     opens = ((F.col("kind") == "message") & F.coalesce(F.col("role") == "user", F.lit(False))).cast("int")
-    grp = F.sum("opens").over(Window.partitionBy("session_id", "part").orderBy("seq"))
-    return log(spark, d).where("session_id is not null").withColumn("opens", opens).withColumn("part", F.expr("seq div 50000")).select("id", grp.alias("grp"))
+    rows = log(spark, d).where("session_id is not null").select("id", "session_id", "seq", opens.alias("opens"))
+    return O.with_running_sum(rows, ["session_id"], "seq", F.col("opens"), "grp").select("id", "grp")
 
 
 @query("g03_search_places", f"WITH {SQL_LOG}, l AS (SELECT id, unnest(string_split(content, chr(10))) AS line FROM log WHERE kind = 'tool_output' AND content IS NOT NULL) SELECT DISTINCT id, lower(regexp_extract(line, '{X.PATH_LINE}', 1)) || ':' || regexp_extract(line, '{X.PATH_LINE}', 2) AS place FROM l WHERE regexp_matches(line, '{X.PATH_LINE}')")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tracelake.functions import text
 from tracelake.operators import lineage as L
+from tracelake.plans import ordered as O
 from tracelake.registry import query
 from tracelake.sources.tables import SQL_BRANCHES, SQL_LOG, SQL_MEMORIES, branches, log, memories, read
 
@@ -71,10 +72,10 @@ def s05(spark, d):
 
 @query("s06_preceding_events", f"WITH {SQL_LOG}, said AS (SELECT * FROM log WHERE kind = 'message' AND role IN ('user', 'assistant')) SELECT id, lag(id, 1) OVER w AS before_1, lag(id, 2) OVER w AS before_2 FROM said WINDOW w AS (PARTITION BY branch_id, seq // 50000 ORDER BY seq)")
 def s06(spark, d):
-    """The two messages before each message of a branch, inside ranges of seq."""
-    said = log(spark, d).where(F.col("kind").eqNullSafe("message") & F.col("role").isin("user", "assistant")).withColumn("part", F.expr("seq div 50000"))
-    w = Window.partitionBy("branch_id", "part").orderBy("seq")
-    return said.select("id", F.lag("id", 1).over(w).alias("before_1"), F.lag("id", 2).over(w).alias("before_2"))
+    """The two messages before each message of a branch, however far back."""
+    said = log(spark, d).where(F.col("kind").eqNullSafe("message") & F.col("role").isin("user", "assistant")).select("id", "branch_id", "seq")
+    one = O.with_previous(said, ["branch_id"], "seq", "id", "before_1")
+    return O.with_previous(one, ["branch_id"], "seq", "before_1", "before_2").select("id", "before_1", "before_2")
 
 
 @query("s07_timeline", SQL_SEEN + r"SELECT seq, id, kind, substr(trim(regexp_replace(content, '[\s\p{Z}]+', ' ', 'g')), 1, 160) AS preview FROM seen WHERE kind IN ('message', 'artifact')")
