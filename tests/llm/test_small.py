@@ -255,6 +255,28 @@ def test_forms(spark):
     assert quality.forms(frame.limit(0)).count() == 0
 
 
+BLANK = "This page is intentionally left blank."
+REPEATED = [
+    "\n".join([BLANK] * 40),
+    "\n\n".join([BLANK] * 40),
+    " ".join([BLANK] * 40),
+    "\n".join(["Please wait, the page that you asked for is not yet here, and we are at work on it."] * 12),
+    "\n\n".join(["We keep the log and\nwe drop the rest of it."] * 3 + ["Here is a note that says why."]),
+    " ".join(["Мы не нашли то что вы искали на этой странице."] * 20),
+]
+VARIED = [
+    ("list", "\n".join(f"- check the log of the node {chr(97 + i)}{chr(98 + i)}{chr(99 + i)}" for i in range(20))),
+    ("prose", "\n".join(["We decided to keep the snapshot, because the log is cheap to rebuild and nobody reads it.", "It took three attempts until the team had found out why the clock of one node was late."] + ["---"] * 5)),
+    ("prose", BLANK),
+]
+
+
+def test_repeated_sentences_are_junk(spark):
+    rows = [(i, text) for i, text in enumerate([*REPEATED, *(text for _, text in VARIED)])]
+    got = {r.doc_id: r.form for r in quality.forms(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert [got[i] for i in range(len(rows))] == ["junk"] * len(REPEATED) + [form for form, _ in VARIED]
+
+
 def test_statistics_by_hand(spark):
     row = quality.statistics(spark.createDataFrame([(1, "one two.\none two.\n\none two.")], "doc_id bigint, text string")).first()
     assert (row.n_words, row.n_lines, row.punctuated_line_share) == (6, 3, 1.0)

@@ -41,6 +41,12 @@ def _visible(line: Column) -> Column:
     return F.length(F.regexp_replace(line, _BLANK, "")) > 0
 
 
+def _repeated_chars(parts: str) -> Column:
+    """The part of the characters of ``parts`` that stands in a part that came before."""
+    size = F.length(F.array_join(parts, ""))
+    return F.try_divide(size - F.length(F.array_join(F.array_distinct(parts), "")), size)
+
+
 _TOKEN = re.compile(r"[^\W_]+(?:['’-][^\W_]+)*")
 _HEX = re.compile(r"(?<!\S)[0-9a-fA-F]{4,}(?!\S)")
 _LONG = re.compile(r"(?<!\S)[\w+/=-]{40,}(?!\S)")
@@ -174,6 +180,8 @@ def statistics(documents: DataFrame) -> DataFrame:
         F.try_divide(F.col("w.common"), words).alias("common_word_share"),
         F.try_divide(n - F.size(F.array_distinct("found.lines")), n).alias("duplicate_line_share"),
         F.try_divide(blocks - F.size(F.array_distinct("found.paragraphs")), blocks).alias("duplicate_paragraph_share"),
+        _repeated_chars("found.lines").alias("duplicate_line_char_share"),
+        _repeated_chars("found.paragraphs").alias("duplicate_paragraph_char_share"),
         F.col("w.top2").alias("top_bigram_coverage"),
         F.col("w.top3").alias("top_trigram_coverage"),
         F.col("w.top_words").alias("top_word_coverage"),
@@ -197,8 +205,17 @@ def form_rules() -> Column:
     c = F.col
     zero = lambda name: F.coalesce(c(name), F.lit(0.0))
     tabless = c("bar_lines") + c("tab_lines") + c("semicolon_lines") + c("comma_lines") + c("gap_lines") < 2
+    entries, entry_chars = c("n_marked") + c("n_bare"), zero("marked_char_share") + zero("bare_char_share")
+    listed = (c("n_marked") >= 2) & (zero("marked_char_share") >= 0.5) | (entries >= 3) & ((entry_chars >= 0.5) | (entry_chars >= 0.35) & (entries >= 0.75 * c("n_plain")))
+    # lines or paragraphs that mostly repeat others are no content, whatever their words; a table of data may repeat its rows
+    content = tabless | (zero("common_word_share") >= 0.2)
+    repeated = (zero("duplicate_line_share") > 0.5) & (zero("duplicate_line_char_share") > 0.5) | (zero("duplicate_paragraph_share") > 0.5) & (zero("duplicate_paragraph_char_share") > 0.5)
+    # one run of words all over the text; entries of a list may share their words if the lines differ
+    dominant = (zero("top_trigram_coverage") > 0.5) & (c("n_words") >= 10) | (zero("top_trigram_coverage") > 0.1) & (zero("distinct_word_share") < 0.25) & (c("n_words") >= 30)
     junk = (
         (c("n_words") == 0)
+        | repeated & (c("n_lines") >= 4) & content
+        | dominant & content & ~(listed & (zero("duplicate_line_share") <= 0.5))
         | (zero("letter_share") < 0.25) & tabless
         | (zero("mojibake_share") > 0.1)
         | (zero("hex_share") > 0.6) & (c("n_words") >= 4)
@@ -214,8 +231,6 @@ def form_rules() -> Column:
     table = F.lit(False)
     for kind, least in (("bar", 2), ("tab", 1), ("semicolon", 1), ("comma", 1), ("gap", 1)):
         table = table | ((c(f"{kind}_lines") >= 2) & (c(f"{kind}_width") >= least) & (c(f"{kind}_lines") >= 0.6 * c("n_body")))
-    entries, entry_chars = c("n_marked") + c("n_bare"), zero("marked_char_share") + zero("bare_char_share")
-    listed = (c("n_marked") >= 2) & (zero("marked_char_share") >= 0.5) | (entries >= 3) & ((entry_chars >= 0.5) | (entry_chars >= 0.35) & (entries >= 0.75 * c("n_plain")))
     return F.when(junk, "junk").when(table, "table").when(listed, "list").otherwise("prose")
 
 
