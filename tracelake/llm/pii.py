@@ -37,11 +37,14 @@ DIGIT_WORDS = {
 _DIGIT_WORD = "|".join(DIGIT_WORDS)
 _SPELLED = re.compile(rf"(?i)\b(?:{_DIGIT_WORD})(?:[\s,-]+(?:{_DIGIT_WORD})){{4,}}\b")
 _AT = re.compile(r"(?i)\s*[\[({<]\s*(?:at|собака|эт)\s*[\])}>]\s*|(?<=[\w+]) @ (?=[\w-]+\.\w)|(?<=[\w+])\s+(?:at|собака)\s+(?=[\w-]+(?:\s+(?:dot|точка)\s+|\s*[\[({]\s*(?:dot|точка)|\.)\s*\w)")
+_BRACKETED_ET = re.compile(r"(?i)[\[({<]\s*эт")
 _DOT = re.compile(r"(?i)\s*[\[({<]\s*(?:dot|точка)\s*[\])}>]\s*")
 _PLAIN_DOT = re.compile(r"(?i)(?<=[\w-])\s+(?:dot|точка)\s+(?=\w)")
 _ODD = re.compile(r"[^\x00-\x7fЀ-ԯ№«»—–…º]")
 _TWO_SCRIPTS = re.compile(r"[A-Za-z0-9._+-]*[A-Za-z][Ѐ-ԯ]|[Ѐ-ԯ][A-Za-z0-9]")
 _LATIN = {ord(a): b for a, b in zip(CYRILLIC_LIKE + GREEK_LIKE, CYRILLIC_AS + GREEK_AS)}
+#: What (?i) takes for the same letter besides its upper and lower case.
+_SAME_CASE = str.maketrans("ſıİ\u1c80\u1c81\u1c82\u1c83\u1c84\u1c85\u1c86\u1c87", "siiвдосттъѣ")
 _MIXED_WORD = re.compile(r"[^\W_]*(?:[A-Za-z][Ѐ-ԯ]|[Ѐ-ԯ][A-Za-z])[^\W_]*")
 
 
@@ -86,14 +89,19 @@ class Aligned:
         return self.starts[lo], self.ends[hi - 1]
 
 
+def _low(text: str) -> str:
+    """Lower case, for gates: also of the letters that only patterns without case take for another."""
+    return (text.translate(_SAME_CASE) if _ODD.search(text) else text).lower()
+
+
 def normalise(text: str) -> Aligned:
     out = Aligned(text)
     if _ODD.search(text):
         out.characters(char_table())
     if _TWO_SCRIPTS.search(out.text):
         out.rewrite(_MIXED_WORD, lambda m: m.group().translate(_LATIN) if sum("a" <= c.lower() <= "z" for c in m.group()) * 2 >= len(m.group()) else m.group())
-    low = out.text.lower()
-    if "at" in low or "@" in low or "собака" in low or "(эт" in low:
+    low = _low(out.text)
+    if "at" in low or "@" in low or "собака" in low or "эт" in low and _BRACKETED_ET.search(out.text):
         out.rewrite(_AT, lambda m: "@")
         if "@" in out.text:
             out.rewrite(_DOT, lambda m: ".")
@@ -129,10 +137,11 @@ _PHONE = re.compile(
     | 0\d{2,4}[/ ]\d{5,8}
     )(?:[ ]?(?:ext\.?|x|доб\.?)[ ]?\d{1,5})?(?![\w/]|[.-]\d)"""
 )
-_DIGIT_RUN = re.compile(r"\d(?:[ ().+/-]{0,2}\d){8}")
+#: Nine digits, of which some may stand in the extension of a phone number.
+_DIGIT_RUN = re.compile(r"\d(?:[ ().+/-]{0,2}\d){8}|\d(?:[ ().+/-]{0,2}\d){4,7} ?(?:ext|x|доб)")
 _ANY_DIGIT = re.compile(r"\d")
 #: A text without any of these has no keyword of ``_KEY``.
-_KEY_GATE = ("ssn", "social", "passp", "pasap", "паспорт", "снилс", "инн", "national", "id card", "identity", "ausweis", "tax", "steuer", "dni", "nie ", "nif ", "licen", "удостоверен", "права")
+_KEY_GATE = ("ssn", "social", "passp", "pasap", "паспорт", "снилс", "инн", "national", "id card", "identity", "ausweis", "reisepass", "tax", "steuer", "dni", "nie", "nif", "licen", "удостоверен", "права")
 #: Words after bare digits that make them a quantity.
 _QUANTITY = re.compile(r"\s*(?:bytes?|rows?|ms|байт|строк|tokens?|токен|seq|records?)\b", re.I)
 
@@ -148,7 +157,7 @@ _ADDRESS_DE = re.compile(r"(?i)(?<!\w)[A-ZÄÖÜ][\wäöüß-]*(?:weg|straße|st
 _ADDRESS_ES = re.compile(r"(?i)(?<!\w)(?:Calle|Avenida|Avda\.|Plaza|Paseo|Camino|C/) ?(?:de(?: la| los| las)? )?[A-ZÁÉÍÓÚÑ][\w-]+,? \d{1,4}(?:, \d+\.?[ºª] ?[A-Z]?)?(?!\w)")
 #: Each pattern behind a cheap necessary condition.
 _ADDRESSES = (
-    (re.compile(r"\d[a-z]? [A-Z][\w'-]* [A-Z]"), _ADDRESS_EN),
+    (re.compile(r"\d(?i:[a-z])? [A-Z][\w'-]* (?i:[a-z])"), _ADDRESS_EN),
     (re.compile(r"\d[a-z]? [a-z]{5,} [slarc]"), _ADDRESS_EN_LOW),
     (re.compile(r"(?:ул\.|улиц|пр-т|просп|пр\.|пер\.|переул|пл\.|площад|бул|б-р|ш\.|шоссе|наб)", re.I), _ADDRESS_RU),
     (re.compile(r"(?:weg|stra(?:ß|ss)e|str\.|gasse|platz|allee|ring|damm|ufer) \d", re.I), _ADDRESS_DE),
@@ -244,7 +253,7 @@ def detect(text: str, people: People) -> list[tuple[int, int, str]]:
         for m in _EMAIL.finditer(t):
             add(m.start(), m.end(), "email")
     if _ANY_DIGIT.search(t):
-        low = t.lower()
+        low = _low(t)
         if any(map(low.__contains__, _KEY_GATE)):
             for m in _KEYED.finditer(t):
                 if sum(c.isdigit() for c in m["id"]) >= 6:
