@@ -154,6 +154,28 @@ def test_length_spike(spark):
     assert [(r.length, r.n) for r in pairs.length_spikes(spark.createDataFrame(rows, "text string")).collect()] == [(150, 41)]
 
 
+def test_short_last_units(spark):
+    said = {
+        "full": "You left it at Home.\nUnder the stairs it is.",
+        "two": "Under t",
+        "line": "Here is what I found.\nYou le",
+        "word": "Here is what I found.\nUnd",
+        "whole": "Here is what I found.\nYou",
+        "one": "Yo",
+        "number": "Here is what I found.\n18",
+        "numbers": "18 files are there.",
+    }
+    rows = spark.createDataFrame([(k, t, [None]) for k, t in said.items()], "key string, text string, whole array<string>")
+    assert {r.key for r in pairs.shortened(rows).collect()} == {"two", "line", "word"}
+
+
+def test_length_spike_of_few_texts_by_raw_length(spark):
+    rows = [(f"{'x' * 140}{'y' * n}", f"{'*' * (10 - n)}{'x' * 140}{'y' * n}") for n in range(10)] + [("z" * n, "z" * n) for n in (160, 170, 180, 190)]
+    frame = spark.createDataFrame(rows, "text string, raw string")
+    assert [(r.length, r.n) for r in pairs.length_spikes(frame, measured="raw").collect()] == [(150, 10)]
+    assert pairs.length_spikes(frame.limit(0), measured="raw").count() == 0
+
+
 def test_consensus(spark):
     import random
 

@@ -3,7 +3,8 @@
 The last unit (line or sentence) of every answer is masked (numbers, names and
 months give way to signs), so that answers built alike sort side by side. A unit
 without an end mark is a shortened version if it is no complete unit anywhere but
-its neighbour in text order starts with it. Length-limit spikes are lengths that
+its neighbour in text order starts with it; one of a few characters, if it breaks
+off inside a word with which another unit goes on. Length-limit spikes are lengths that
 far more unfinished answers share than their neighbours do. Copy, refusal and
 language rules follow.
 
@@ -25,7 +26,7 @@ from tracelake.plans.cut import cut
 
 #: In order of precedence.
 DEFECTS = ("empty", "refusal", "copy", "truncated", "language")
-#: Sorted neighbours are compared inside groups that share this many first characters.
+#: Sorted neighbours are compared inside groups that share this many first characters; shorter units are looked up among all beginnings.
 PREFIX_KEY = 8
 
 # Stand-ins for an answer, lower case, without marks.
@@ -109,7 +110,7 @@ def shortened(rows: DataFrame) -> DataFrame:
     """
     units = cut(rows.select("key", F.col("text").rlike(_END).alias("ended"), _units("text").alias("units"), "whole"))
     size = F.size("units")
-    last = units.where(size > 0).select("key", "ended", mask(F.try_element_at("units", F.lit(-1))).alias("unit"))
+    last = units.where(size > 0).select("key", "ended", (size > 1).alias("several"), mask(F.try_element_at("units", F.lit(-1))).alias("unit"))
     inner = units.select(F.explode(F.slice("units", 1, F.greatest(size - 1, F.lit(0)))).alias("unit")).distinct().select(mask(F.col("unit")).alias("unit"))
     whole = units.select(F.explode("whole").alias("unit")).where("unit is not null").select(mask(F.col("unit")).alias("unit"))
     complete = inner.unionByName(whole).unionByName(last.where("ended").select("unit")).distinct()
@@ -119,15 +120,20 @@ def shortened(rows: DataFrame) -> DataFrame:
     every = every.groupBy("unit").agg(F.min("open").alias("open")).withColumn("head", F.substring("unit", 1, PREFIX_KEY))
     after = F.lead("unit").over(Window.partitionBy("head").orderBy("unit"))
     cuts = every.withColumn("after", after).where(F.col("open") & (F.length("unit") >= PREFIX_KEY) & F.col("after").startswith(F.col("unit"))).select("unit")
-    return loose.join(cuts, "unit", "left_semi").select("key")
+    # a whole short word, sign or number may be a whole answer: only a break inside a word counts, and a first word only below other lines
+    short = loose.where((F.length("unit") < PREFIX_KEY) & (F.col("several") | F.contains("unit", F.lit(" "))) & F.col("unit").rlike(r"\p{L}$"))
+    starts = every.select("unit", F.explode(F.sequence(F.lit(1), F.lit(PREFIX_KEY - 1))).alias("n"))
+    starts = starts.where(F.substring("unit", F.col("n"), F.lit(2)).rlike(r"^\p{L}{2}$")).select(F.substring("unit", F.lit(1), F.col("n")).alias("unit")).distinct()
+    return loose.join(cuts, "unit", "left_semi").select("key").unionByName(short.join(starts, "unit", "left_semi").select("key"))
 
 
-def length_spikes(rows: DataFrame, least: int = 20, ratio: float = 8.0) -> DataFrame:
-    """(length, n): lengths of unfinished texts of over 100 characters at which a length limit shows.
+def length_spikes(rows: DataFrame, least: int = 4, ratio: float = 8.0, measured: str = "text") -> DataFrame:
+    """(length, n): lengths of ``measured``, over 100 characters, of unfinished texts at which a length limit shows.
 
-    At least ``least`` texts, and ``ratio`` times the mean of the ten lengths on either side, end there.
+    ``ratio`` times the mean of the ten lengths on either side end there. ``least``: as many that fewer may meet by chance
+    where there are no others near.
     """
-    lengths = rows.where(~F.col("text").rlike(_END)).groupBy(F.length("text").alias("length")).agg(F.count(F.lit(1)).alias("n")).where("length > 100")
+    lengths = rows.where(~F.col("text").rlike(_END)).groupBy(F.length(measured).alias("length")).agg(F.count(F.lit(1)).alias("n")).where("length > 100")
     near = lengths.select(F.explode(F.sequence(F.col("length") - 10, F.col("length") + 10)).alias("length"), F.col("length").alias("at"), F.col("n").alias("m")).where("at <> length")
     around = near.groupBy("length").agg((F.sum("m") / 20).alias("around"))
     return lengths.join(around, "length", "left").where((F.col("n") >= least) & (F.col("n") >= ratio * F.coalesce("around", F.lit(0.0)))).select("length", "n")
@@ -190,8 +196,8 @@ def defects(rows: DataFrame) -> DataFrame:
     rows = cut(rows.select("question_id", "question", F.col("gold_answer_or_rubric").alias("gold"), raw.alias("raw"), _bare(raw).alias("text")))
     texts = rows.select(F.col("question_id").alias("key"), "text", F.array("gold", "question").alias("whole"))
     short = shortened(texts).distinct().withColumn("cut", F.lit(True))
-    spikes = length_spikes(texts).select("length", F.lit(True).alias("spike"))
-    rows = rows.join(short, rows["question_id"] == short["key"], "left").drop("key").withColumn("length", F.length("text"))
+    spikes = length_spikes(rows.select("text", "raw"), measured="raw").select("length", F.lit(True).alias("spike"))
+    rows = rows.join(short, rows["question_id"] == short["key"], "left").drop("key").withColumn("length", F.length("raw"))
     rows = rows.join(spikes, "length", "left")
 
     plain = _plain(F.regexp_replace("raw", r"\p{Cf}|</?[A-Za-z]+>", ""))
