@@ -11,20 +11,21 @@ from tracelake.sources.tables import SQL_LOG, log, read
 
 #: Files and code names, as entities.
 ENTITY = r"[A-Za-z0-9_/-]+\.(?:py|ts|sql|json|toml|md)"
+#: So many entities of an event, in text order of their names, are paired.
 MOST = 12
 
 _SQL_ENTITIES = SQL_LOG + f", en AS (SELECT id, list_sort(list_distinct(regexp_extract_all(lower(content), '{ENTITY.lower()}')))[1:{MOST}] AS es FROM log WHERE content IS NOT NULL), ed AS (SELECT DISTINCT id, a.e AS source, b.e AS target FROM (SELECT id, unnest(es) AS e FROM en) a JOIN (SELECT id, unnest(es) AS e FROM en) b USING (id) WHERE a.e < b.e)"
 
 
 def entities(spark, d):
-    """(id, entity): the first twelve entities of each event, in text order of their names."""
-    found = F.slice(F.array_sort(F.array_distinct(F.regexp_extract_all(F.lower("content"), F.lit(ENTITY.lower()), F.lit(0)))), 1, MOST)
+    """(id, es): all entities of each event, in text order of their names."""
+    found = F.array_sort(F.array_distinct(F.regexp_extract_all(F.lower("content"), F.lit(ENTITY.lower()), F.lit(0))))
     return log(spark, d).where("content is not null").select("id", found.alias("es"))
 
 
 def edges(spark, d):
-    """(id, source, target): pairs of entities of one event, built inside the row; at most 66 per event."""
-    rows = entities(spark, d).where(F.size("es") > 1).select("id", "es", F.explode("es").alias("source"))
+    """(id, source, target): pairs of the first twelve entities of one event, built inside the row; at most 66 per event."""
+    rows = entities(spark, d).withColumn("es", F.slice("es", 1, MOST)).where(F.size("es") > 1).select("id", "es", F.explode("es").alias("source"))
     return rows.select("id", "source", F.explode(F.filter("es", lambda e: e > F.col("source"))).alias("target"))
 
 
