@@ -41,3 +41,13 @@ def test_last_at(spark, monkeypatch):
     events = spark.createDataFrame([("a", s) for s in (3, 14, 15, 40)] + [("b", 7)], "key string, seq bigint")
     points = spark.createDataFrame([(1, "a", 2), (2, "a", 3), (3, "a", 39), (4, "a", 99), (5, "b", 6), (6, "c", 9)], "n int, key string, seq bigint")
     assert {r.n: r.last for r in L.last_at(points, events, "key", "seq").collect()} == {1: None, 2: 3, 3: 15, 4: 40, 5: None, 6: None}
+
+
+def test_following_over_all_rows(spark):
+    values = [f"{a}{b}" for a in "abcab" for b in range(40)] + ["", None]
+    rows = spark.createDataFrame([(v, i) for i, v in enumerate(dict.fromkeys(values))], "word string, n int").repartition(5)
+    got = {r.word: r.after for r in O.with_following(rows, "word", "after").collect()}
+    known = sorted(v for v in got if v is not None)
+    assert len(got) == len(set(values)) and got[None] is None
+    assert [got[v] for v in known] == [*known[1:], None]
+    assert O.with_following(rows.limit(0), "word", "after").count() == 0

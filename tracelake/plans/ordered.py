@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracelake.plans.cut import cut
+
 #: Width of a range of the order column; with unique positions, also the most rows of one sort.
 WIDTH = 50_000
 
@@ -56,3 +58,18 @@ def last_of_each(rows: DataFrame, keys: list[str], order: str, n: int, width: in
     near = cut.withColumn("_back", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc(order)))).where(F.col("_back") <= n)
     back = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(order)))
     return near.withColumn("back", back).where(F.col("back") <= n).select(*rows.columns, "back")
+
+
+def with_following(rows: DataFrame, column: str, name: str) -> DataFrame:
+    """``rows`` with ``name``: the value of ``column`` that comes next in the order of all rows, null for the last and for nulls.
+
+    Rows are cut into ranges of ``column`` of about equal size, so no value's beginning makes a range
+    hot; the last row of a range looks at the first of the range behind it.
+    """
+    parts = cut(rows.where(F.col(column).isNotNull()).repartitionByRange(column).withColumn("_part", F.spark_partition_id()))
+    firsts = parts.groupBy("_part").agg(F.min(column).alias("_first"))
+    # one row per range reaches this window
+    carry = firsts.select("_part", F.lead("_first").over(Window.orderBy("_part")).alias("_carry"))
+    inside = parts.withColumn("_next", F.lead(column).over(Window.partitionBy("_part").orderBy(column)))
+    ordered = inside.join(carry, "_part").select(*rows.columns, F.coalesce("_next", "_carry").alias(name))
+    return ordered.unionByName(rows.where(F.col(column).isNull()).withColumn(name, F.lit(None).cast(dict(rows.dtypes)[column])))
