@@ -311,3 +311,28 @@ def test_huge_text(spark):
     assert quality.forms(rows).first().form == "junk"
     assert packing.token_counts(rows).first().n_tokens > 200_000
     assert pii.redact(text, pii.detect(text, PEOPLE)) == text
+
+
+def test_last_words_that_other_texts_go_on_after(spark):
+    """Whether a text may end in a word is learnt from the other texts, not from a list."""
+    said = {f"k{i}": f"The key is zu der Tür number {i} gegangen. It hangs there." for i in range(5)}
+    said |= {"open": "Nothing else was found.\nMy old tent hangs zu der", "closed": "Nothing else was found.\nMy old tent hangs there", "once": "Nothing else was found.\nMy old tent hangs qux"}
+    rows = spark.createDataFrame([(k, t, [None]) for k, t in said.items()], "key string, text string, whole array<string>")
+    assert {r.key: r.sign for r in pairs.shortened(rows).collect()} == {"open": "tail"}
+
+
+def test_prefixes_of_one_hot_beginning(spark):
+    """All units begin alike; they are compared in text order over all of them."""
+    said = {f"full{i}": f"You said that the plan with the kiln had changed {'very ' * (i % 7)}much on day {'abcdefghij'[i % 10]}{'klmnopqrst'[i // 10 % 10]}." for i in range(100)}
+    said |= {"cut": "You said that the plan with the kiln had cha", "whole": "You said that the plan with the kiln had changed much on day ak"}
+    rows = spark.createDataFrame([(k, t, [None]) for k, t in said.items()], "key string, text string, whole array<string>")
+    assert {r.key: r.sign for r in pairs.shortened(rows).collect()} == {"cut": "prefix"}
+    assert pairs.shortened(rows.limit(0)).count() == 0
+
+
+NEAR = [("Where did I leave key?", "copy"), ("So, where did leave the key", "copy"), ("I did leave the key where?", None), ("Where did I leave the key and the tent?", None), ("the key", None)]
+
+
+def test_copies_with_words_left_out(spark):
+    rows = spark.createDataFrame([(f"q{i}", "Where did I leave the key?", a, "x", None) for i, (a, _) in enumerate(NEAR)], "question_id string, question string, model_answer string, gold_answer_or_rubric string, created_at timestamp_ntz")
+    assert [r.defect_type for r in pairs.defects(rows).orderBy("question_id").collect()] == [want for _, want in NEAR]
