@@ -336,3 +336,44 @@ NEAR = [("Where did I leave key?", "copy"), ("So, where did leave the key", "cop
 def test_copies_with_words_left_out(spark):
     rows = spark.createDataFrame([(f"q{i}", "Where did I leave the key?", a, "x", None) for i, (a, _) in enumerate(NEAR)], "question_id string, question string, model_answer string, gold_answer_or_rubric string, created_at timestamp_ntz")
     assert [r.defect_type for r in pairs.defects(rows).orderBy("question_id").collect()] == [want for _, want in NEAR]
+
+
+def test_reliability_is_the_eigenvector(spark):
+    """Against the dense computation with numpy: the fixed point of the overlap-weighted product without the diagonal."""
+    import random
+
+    import numpy as np
+
+    rng = random.Random(8)
+    rates = [(0.95, 0.05), (0.9, 0.3), (0.99, 0.6), (0.2, 0.8), (0.5, 0.5)]
+    truth = [rng.random() < 0.3 for _ in range(2000)]
+    ballots = [(f"i{i}", f"j{j}", float(rng.random() < rates[j][0 if right else 1])) for i, right in enumerate(truth) for j in range(5) if rng.random() < 0.8]
+    frame = spark.createDataFrame(ballots, "item string, judge string, vote double")
+    judges = consensus.judges_of(frame)
+    got = {r.judge: r.weight for r in consensus.reliability(consensus.agreement(frame, judges)).collect()}
+    votes = np.full((2000, 5), np.nan)
+    for i, j, v in ballots:
+        votes[int(i[1:]), int(j[1:])] = v
+    known = ~np.isnan(votes)
+    z = np.where(known, (np.nan_to_num(votes) - np.nanmean(votes, 0)) / np.nanstd(votes, 0), 0)
+    n = known.T.astype(float) @ known
+    agree = z.T @ z
+    np.fill_diagonal(agree, 0)
+    np.fill_diagonal(n, 0)
+    u = np.ones(5)
+    for _ in range(64):
+        u = agree @ u / (n @ (u * u))
+    u /= np.linalg.norm(u)
+    u *= np.sqrt((u @ agree @ u) / ((u * u) @ n @ (u * u)))
+    assert [got[f"j{j}"] for j in range(5)] == pytest.approx((u * np.sign(u.sum())).tolist(), abs=1e-3)
+    share = consensus.right_share(frame, judges.join(spark.createDataFrame(list(got.items()), "judge string, weight double"), "judge")).first().share
+    assert share == pytest.approx(0.3, abs=0.05)
+
+
+def test_consensus_of_few(spark):
+    schema = "vote_id bigint, question_id string, judge string, tool string, original_correct boolean, rejudge_correct string, rejudged string, created_at timestamp_ntz"
+    one = spark.createDataFrame([(1, "q", "a", "rejudge", None, None, "yes", None)], schema)
+    items, judges = consensus.consensus(one)
+    assert items.count() == 1 and judges.first().weight == 0.0
+    items, judges = consensus.consensus(one.limit(0))
+    assert items.count() == 0 and judges.count() == 0
