@@ -377,3 +377,27 @@ def test_consensus_of_few(spark):
     assert items.count() == 1 and judges.first().weight == 0.0
     items, judges = consensus.consensus(one.limit(0))
     assert items.count() == 0 and judges.count() == 0
+
+
+def test_short_items_inside_long_documents(spark):
+    """Items of five words and more in every size partition, against brute force: those under twelve words as a whole."""
+    import random
+
+    rng = random.Random(12)
+    vocabulary = [f"w{i}" for i in range(12)]
+    items = {i: [rng.choice(vocabulary) for _ in range(3 + i % 14)] for i in range(56)}
+    documents = {}
+    for d in range(80):
+        words = [rng.choice(vocabulary) for _ in range(rng.randint(0, 3000 if d % 9 == 0 else 60))]
+        for _ in range(d % 4):
+            item = items[rng.randrange(56)]
+            words[len(words) // 2 : len(words) // 2] = item[: rng.randint(1, len(item))]
+        documents[d] = words
+    grams = lambda w, n: {tuple(w[k : k + n]) for k in range(len(w) - n + 1)}
+    want = {(d, i) for d, w in documents.items() for i, t in items.items() if len(t) >= 5 and grams(w, min(len(t), 12)) & grams(t, min(len(t), 12))}
+    docs = spark.createDataFrame([(d, " ".join(w)) for d, w in documents.items()], "doc_id bigint, text string")
+    evals = spark.createDataFrame([(i, " ".join(t)) for i, t in items.items()], "item_id bigint, text string")
+    got = leakage.leaks(docs, evals).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == want and {len(items[i]) for _, i in want} >= {5, 8, 12}
+    for r in got:
+        assert grams(documents[r.doc_id], r.run_words) & grams(items[r.item_id], r.run_words) and not grams(documents[r.doc_id], r.run_words + 1) & grams(items[r.item_id], r.run_words + 1)
