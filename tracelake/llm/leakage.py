@@ -18,7 +18,7 @@ scripts take their Latin shape, without invisible characters, punctuation, marku
 and line breaks.
 
 Defined results: an item of ``PASSAGE`` words or more is held where that many consecutive
-words are; a shorter one only as a whole; null and empty texts and items of fewer words
+words are; a shorter one as a whole, where asked for; null and empty texts and items of fewer words
 than a shingle match nothing; repeated ids count once per id.
 """
 
@@ -166,7 +166,7 @@ def _passages(rows: DataFrame, key: str, text: str, sizes: tuple[int, ...], held
                             keep = (held[size][slots >> 6] >> (slots & 63)) & 1 == 1
                             owner, marks, slots, lo, hi = (x[keep] for x in (owner, marks, slots, lo, hi))
                         said = [" ".join(split[o][a:b]) for o, a, b in zip(owner, lo, hi)]
-                        yield pd.DataFrame({"key": own[owner], "size": size, "mark": marks.view(np.int64), "slot": slots, "start": lo, "words": said, "n_words": [len(split[o]) for o in owner]})
+                        yield pd.DataFrame({"key": own[owner], "size": size, "mark": marks.view(np.int64), "slot": slots, "start": lo, "words": pd.Series(said, dtype=object), "n_words": [len(split[o]) for o in owner]})
                     start, weight = end, 0
 
     rows = rows.select(F.col(key).alias("key"), F.col(text).alias("text")).where("key is not null and text is not null")
@@ -182,13 +182,14 @@ def _bitmaps(wanted: DataFrame) -> dict[int, np.ndarray]:
     return out
 
 
-def leaks(documents: DataFrame, items: DataFrame) -> DataFrame:
-    """(doc_id, item_id, run_words, item_words): documents that hold ``PASSAGE`` consecutive words of an item, or a shorter item as a whole."""
+def leaks(documents: DataFrame, items: DataFrame, short: bool = False) -> DataFrame:
+    """(doc_id, item_id, run_words, item_words): documents that hold ``PASSAGE`` consecutive words of an item; with ``short``
+    also those that hold a shorter item, of ``SHINGLE`` words or more, as a whole."""
     items = items.where("item_id is not null and text is not null").groupBy("item_id").agg(F.max("text").alias("item_text"))
-    wanted = _passages(items, "item_id", "item_text", SIZES)
+    wanted = _passages(items, "item_id", "item_text", SIZES if short else (PASSAGE,))
     # an item's partition is the last one whose passages it is long enough for
     partition = F.element_at(F.filter(F.array(*map(F.lit, SIZES)), lambda x: x <= F.col("n_words")), -1)
-    wanted = cut(wanted.where(F.col("size") == partition))
+    wanted = cut(wanted.where(F.col("size") == (partition if short else F.lit(PASSAGE))))
     held = _bitmaps(wanted)
     found = _passages(documents, "doc_id", "text", tuple(sorted(held)), held)
     pairs = found.select(F.col("key").alias("doc_id"), "size", "mark", F.col("start").alias("doc_at"), F.col("words").alias("doc_words")).join(

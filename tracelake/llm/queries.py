@@ -85,14 +85,13 @@ def p7_fill(spark, d):
 
 
 def p8_found(spark, d):
-    """Only runs of twelve words; shorter items that a document holds as a whole are in the report."""
-    return leakage.leaks(_read(spark, d, "documents"), _read(spark, d, "eval_items")).where(F.col("run_words") >= leakage.PASSAGE).select("doc_id", "item_id")
+    return leakage.leaks(_read(spark, d, "documents"), _read(spark, d, "eval_items")).select("doc_id", "item_id")
 
 
 def p8_report(spark, d):
     """Every item with the number of documents that hold a passage of it and the longest passage's share of the item."""
     items = _read(spark, d, "eval_items").where("item_id is not null").select("item_id").distinct()
-    leaks = leakage.leaks(_read(spark, d, "documents"), _read(spark, d, "eval_items"))
+    leaks = leakage.leaks(_read(spark, d, "documents"), _read(spark, d, "eval_items"), short=True)
     per_item = leaks.groupBy("item_id").agg(F.count(F.lit(1)).alias("n_documents"), F.max(F.col("run_words") / F.col("item_words")).alias("most_held"))
     return items.join(per_item, "item_id", "left").select("item_id", F.coalesce("n_documents", F.lit(0)).alias("n_documents"), F.coalesce("most_held", F.lit(0.0)).alias("most_held"))
 
