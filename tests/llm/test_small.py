@@ -401,3 +401,28 @@ def test_short_items_inside_long_documents(spark):
     assert {(r.doc_id, r.item_id) for r in got} == want and {sum(len(items[i]) >= n for n in (5, 8, 12)) for _, i in want} == {1, 2, 3}
     for r in got:
         assert grams(documents[r.doc_id], r.run_words) & grams(items[r.item_id], r.run_words) and not grams(documents[r.doc_id], r.run_words + 1) & grams(items[r.item_id], r.run_words + 1)
+
+
+def test_spliced_segments_equal_a_whole_rewrite():
+    """Whatever the mix of scripts, marks, blanks and invisible characters: only segments are normalised, as if the whole text were."""
+    import random
+
+    rng = random.Random(1)
+    letters = "aeocxyABKnqж и йéёλοαι ОТ\u0301\u0308\u0306\u200b\u00a0\r\n\t1≠ａ\u1100\u1161\u11a8각"
+    for _ in range(20_000):
+        text = "".join(rng.choice(letters) for _ in range(rng.randint(1, 14)))
+        assert textform.canonical(text) == textform._segment(text, "")[0], ascii(text)
+
+
+def test_quick_check_passes_stable_text():
+    check = textform._quick_check()
+    for text in ("so a cat is as good as none", "Обычный текст без единого предлога", "x = 1; y := [2, 3]\n", "naïveté, Größe, señor", "日本語"):
+        assert not check.search(text) or textform.canonical(text) == text
+    assert not check.search("Обычный текст") and not check.search("Größe hier")
+
+
+def test_hot_class_of_equal_copies(spark):
+    """Equal copies never meet: 3000 of one text and one other spelling give 3000 pairs, not millions of comparisons."""
+    rows = spark.range(3001).select(F.concat(F.lit("i"), "id").alias("id"), F.when(F.col("id") == 7, "кoт").otherwise("кот").alias("current"))
+    got = textform.same_look_pairs(rows, "id", "current").collect()
+    assert len(got) == 3000 and all("i7" in (r.id_a, r.id_b) and r.id_a < r.id_b for r in got)

@@ -1,10 +1,13 @@
 """One form for visually identical text.
 
-A quick check by one pattern finds the segments that may be unstable: letters
-that look like letters of another script, full-width forms, unusual blanks,
-invisible characters and combining marks, each with the word around it as its
-boundary context. Only these segments are normalised and spliced into the
-unchanged text.
+ASCII text without control blanks is stable as it is. In other text a quick check finds
+the segments that may be unstable: a run of letters with a character that composition or
+the tables below may change (the properties of Unicode's normalisation quick check: it is
+replaced, it has a combining class, or it may combine with the character before), a word
+of two scripts, and a word of look-alike letters that shows no script. Each segment is normalised with
+its boundary context: all letters and marks that touch it, the character before it if it
+starts with a mark, and the script that the text before it shows. The canonical segments
+are spliced into the text, which is unchanged elsewhere.
 
 Case, accents, digits and words stay different; script, width, kind of blank and
 invisible characters do not count. A look-alike letter is written in the script
@@ -76,16 +79,37 @@ def _ranges(points: list[int]) -> str:
 
 @cache
 def _quick_check() -> re.Pattern:
-    """Matches where a text may be unstable: an odd character, a word of two scripts, or a word of look-alike letters only."""
-    odd = set(char_table())
-    marks = [p for p in range(0x300, 0x370) if p not in odd]
-    # characters that are not stable under composition (singletons and exclusions)
-    exotic = [p for p in range(0x80, 0x30000) if p not in odd and unicodedata.normalize("NFC", chr(p)) != chr(p)]
-    cls = _ranges([*odd, *marks, *exotic, *(ord(c) for c in GREEK_LIKE), 13])
-    mixed = r"[A-Za-z][^\W\d_]*[Ѐ-ԯ]|[Ѐ-ԯ][^\W\d_]*[A-Za-z]"
-    like = re.escape(CYRILLIC_LIKE + CYRILLIC_AS)
-    alone = rf"(?<![^\W\d_])[{like}]+(?![^\W\d_])"
-    return re.compile(f"[{cls}]|{mixed}|{alone}")
+    """Matches the segments of a text that may be unstable."""
+    table = char_table()
+    blanks = [p for p, to in table.items() if to in (" ", "\n")]
+    letters, parts, latin, cyrillic, alike, shown = [], [], [], [], [], []
+    seconds = set()  # characters that may combine with the one before
+    for p in range(0x80, 0x30000):
+        pieces = unicodedata.decomposition(chr(p)).split(" ")
+        if len(pieces) == 2 and pieces[0][:1] != "<":
+            seconds.add(int(pieces[1], 16))
+    seconds |= {*range(0x1161, 0x1176), *range(0x11A8, 0x11C3)}
+    for p in [*range(0x41, 0x30000), *(p for p in table if p >= 0x30000)]:
+        c = chr(p)
+        if 0xD800 <= p < 0xE000 or p in blanks:
+            continue
+        base = unicodedata.normalize("NFD", c)[0]
+        unstable = p in table or p in seconds or unicodedata.combining(c) or c in GREEK_LIKE or base in GREEK_LIKE or not unicodedata.is_normalized("NFC", c)
+        if unstable:
+            (letters if c.isalpha() else parts).append(p)
+        elif c.isalpha() and (base.isascii() or "Ѐ" <= base <= "ԯ"):
+            (latin if base.isascii() else cyrillic).append(p)
+            (alike if base in _TO_LATIN or base in _TO_CYRILLIC else shown).append(p)
+    inner = rf"(?:[^\W\d_]|[{_ranges(parts)}])"
+    start, alone = rf"(?<![^\W\d_])(?<![{_ranges(parts)}])", rf"(?=[^\W\d_]*[{_ranges(alike)}])(?![^\W\d_]*[{_ranges(shown)}])[^\W\d_]+"
+    odd, mixed = rf"(?={inner}*[{_ranges(parts + letters)}]){inner}+", rf"(?=[^\W\d_]*[{_ranges(latin)}])(?=[^\W\d_]*[{_ranges(cyrillic)}])[^\W\d_]+"
+    return re.compile(rf"\r\n?|[{_ranges(blanks)}]|{start}(?:{odd}|{mixed}|{alone})")
+
+
+@cache
+def _shows() -> re.Pattern:
+    """Matches a letter that shows its script."""
+    return re.compile("[" + _ranges([p for p in range(0x41, 0x2000) if chr(p).isalpha() and _script(chr(p))]) + "]")
 
 
 def skeleton(text: str) -> str:
@@ -108,14 +132,10 @@ def _script(word: str) -> str:
     return ""
 
 
-def canonical(text: str | None) -> str | None:
-    """The one form of ``text``."""
-    if text is None or not text:
-        return text
-    if not _quick_check().search(text):
-        return text
+def _segment(text: str, script: str) -> tuple[str, str]:
+    """A segment in its one form, and the script that it or else the text before it shows."""
     base = skeleton(text)
-    out, at, script = [], 0, ""
+    out, at = [], 0
     for m in _WORD.finditer(base):
         word = m.group()
         script = _script(word) or script
@@ -124,7 +144,27 @@ def canonical(text: str | None) -> str | None:
             word = unicodedata.normalize("NFC", "".join(_TO_CYRILLIC.get(c, c) for c in plain))
         out += (base[at : m.start()], word)
         at = m.end()
-    return "".join(out) + base[at:]
+    return "".join(out) + base[at:], script
+
+
+_CONTROL_BLANK = re.compile(r"[\t\r\x0b\x0c]")
+
+
+def canonical(text: str | None) -> str | None:
+    """The one form of ``text``."""
+    if not text or text.isascii() and not _CONTROL_BLANK.search(text):
+        return text
+    out, at, script = [], 0, ""
+    for m in _quick_check().finditer(text):
+        lo, hi = m.span()
+        shown = _shows().findall(text, at, lo)
+        script = _script(shown[-1]) if shown else script
+        if lo > at and (unicodedata.combining(text[lo]) or not text[lo].isalpha()):
+            lo -= 1  # what a mark may combine with
+        form, script = _segment(text[lo:hi], script)
+        out += (text[at:lo], form)
+        at = hi
+    return "".join(out) + text[at:] if out else text
 
 
 @F.pandas_udf(T.StringType())
@@ -140,13 +180,18 @@ def _forms(rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def same_look_pairs(rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id_a, id_b): rows whose texts look the same but are not the same string; null texts match nothing."""
+    """(id_a, id_b): rows whose texts look the same but are not the same string; null texts match nothing.
+
+    Spellings of a form are paired before rows: equal copies never meet, and rows are joined only to what comes out.
+    """
     forms = _forms(rows, id_col, text_col)
     # classes with one spelling drop out before any pairing
     mixed = forms.groupBy("form").agg(F.min("text").alias("lo"), F.max("text").alias("hi")).where("lo <> hi").select("form")
     forms = forms.join(mixed, "form", "left_semi").distinct()
-    other = forms.select(F.col("id").alias("id_b"), F.col("text").alias("text_b"), "form")
-    return forms.join(other, "form").where("text <> text_b and id < id_b").select(F.col("id").alias("id_a"), "id_b").distinct()
+    spellings = forms.select("form", "text").distinct()
+    pairs = spellings.join(spellings.withColumnRenamed("text", "text_b"), "form").where("text < text_b").drop("form")
+    pairs = pairs.join(forms.select("id", "text"), "text").withColumnRenamed("id", "a").join(forms.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "text_b")
+    return pairs.where("a <> b").select(F.least("a", "b").alias("id_a"), F.greatest("a", "b").alias("id_b")).distinct()
 
 
 def look_classes(rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
