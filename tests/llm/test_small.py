@@ -426,3 +426,16 @@ def test_hot_class_of_equal_copies(spark):
     rows = spark.range(3001).select(F.concat(F.lit("i"), "id").alias("id"), F.when(F.col("id") == 7, "кoт").otherwise("кот").alias("current"))
     got = textform.same_look_pairs(rows, "id", "current").collect()
     assert len(got) == 3000 and all("i7" in (r.id_a, r.id_b) and r.id_a < r.id_b for r in got)
+
+
+def test_more_people_than_a_task_takes(spark, monkeypatch):
+    """Above the bound of the table in every task the words are joined with the persons, with the same result."""
+    names = ["Orlin Lane", "Горян Уляркин", "Caspar-Lo Branch", "Лучезар Ярмуский", "Single", None]
+    texts = [t for t, _ in TEXTS] + ["", None, "ask O. Lane; Orlin K. Lane; O.K. Lane", "LANE, ORLIN\u200b и Горяну Уляркину", "Горян Лейн", "lane"]
+    rows = spark.createDataFrame([(f"r{i}", t) for i, t in enumerate([*texts, *texts])], "record_id string, content string")
+    people = spark.createDataFrame([(n, i) for i, n in enumerate(names)], "full_name string, person_id int")
+    plain = lambda: sorted((r.record_id, str(r.content), tuple(r.pii_types)) for r in pii.redacted(rows, people).collect())
+    want = plain()
+    monkeypatch.setattr(pii, "MAX_PEOPLE", 2)
+    assert plain() == want and sum("person" in kinds for _, _, kinds in want) >= 8
+    assert pii.redacted(rows.limit(0), people).count() == 0

@@ -13,19 +13,24 @@ give one row per type.
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracelake.llm.textform import CYRILLIC_AS, CYRILLIC_LIKE, GREEK_AS, GREEK_LIKE, char_table
+from tracelake.plans.cut import cut
 
 #: In order of precedence.
 TYPES = ("email", "id_number", "phone", "address", "person")
 
-#: The table of persons is sent to every task. It may hold this many rows; with more, ``found`` refuses.
-MAX_PEOPLE = 200_000
+#: Up to so many distinct names go to every task; with more, the pairs of words that may be names are joined with the table.
+MAX_PEOPLE = 20_000
+#: The bitmap of surnames that spares those joins most words has two to this power bits, however many names there are.
+FILTER_BITS = 22
 
 # ---- normalisation with offsets
 
@@ -188,58 +193,106 @@ class People:
 
     def __init__(self, names: list[str]):
         self.by_surname: dict[str, list[tuple[frozenset[str], str]]] = {}
-        self.given: set[str] = set()
         for full in names:
-            words = (full or "").split()
-            if len(words) < 2:
-                continue
-            given = frozenset(_forms(words[0]))
-            self.given |= given
-            for form in _forms(words[-1]):
-                self.by_surname.setdefault(form, []).append((given, words[0][0].lower()))
-
-    def spans(self, text: str) -> list[tuple[int, int]]:
-        low = text.lower()
-        words = [(m.start(), m.end(), low[m.start() : m.end()]) for m in _WORD.finditer(text)]
-        out, taken = [], -1
-        for i, (lo, hi, word) in enumerate(words):
-            persons = self.by_surname.get(word)
-            if persons is None:
+            for surname, given, first in _written(full):
+                self.by_surname.setdefault(surname, []).append((given, first))
+
+    def surname(self, word: str) -> bool:
+        return word in self.by_surname
+
+    def given(self, surname: str, word: str) -> bool:
+        return any(word in given for given, _ in self.by_surname[surname])
+
+    def initial(self, surname: str, letter: str) -> bool:
+        return any(letter == first for _, first in self.by_surname[surname])
+
+
+def _written(full: str | None) -> list[tuple[str, frozenset[str], str]]:
+    """(surname, given names, initial) in each written form of a name's surname; nothing for less than two words."""
+    words = (full or "").split()
+    if len(words) < 2:
+        return []
+    given = frozenset(_forms(words[0]))
+    return [(form, given, words[0][0].lower()) for form in sorted(_forms(words[-1]))]
+
+
+class Asked:
+    """Takes down what a text asks of the table of persons; ``bits`` has the surnames, and some other words."""
+
+    def __init__(self, bits: np.ndarray):
+        self.bits, self.seen = bits, set()
+
+    def surname(self, word: str) -> bool:
+        at = zlib.crc32(word.encode()) >> (32 - FILTER_BITS)
+        return bool(self.bits[at >> 6] >> (at & 63) & 1)
+
+    def given(self, surname: str, word: str) -> bool:
+        self.seen.add((surname, word, False))
+        return False
+
+    def initial(self, surname: str, letter: str) -> bool:
+        self.seen.add((surname, letter, True))
+        return False
+
+
+class Answers:
+    """The persons of one text: the pairs that it asked for and the table has."""
+
+    def __init__(self, pairs):
+        self.pairs = {(s, other, short) for s, other, short in pairs}
+        self.surnames = {s for s, _, _ in self.pairs}
+
+    def surname(self, word: str) -> bool:
+        return word in self.surnames
+
+    def given(self, surname: str, word: str) -> bool:
+        return (surname, word, False) in self.pairs
+
+    def initial(self, surname: str, letter: str) -> bool:
+        return (surname, letter, True) in self.pairs
+
+
+def name_spans(text: str, people: People | Asked | Answers) -> list[tuple[int, int]]:
+    low = text.lower()
+    words = [(m.start(), m.end(), low[m.start() : m.end()]) for m in _WORD.finditer(text)]
+    out, taken = [], -1
+    for i, (lo, hi, word) in enumerate(words):
+        if not people.surname(word):
+            continue
+        best = None
+        for j in (i - 1, i + 1):
+            if not 0 <= j < len(words):
                 continue
-            best = None
-            for j in (i - 1, i + 1):
-                if not 0 <= j < len(words):
-                    continue
-                l2, h2, near = words[j]
-                gap = text[h2:lo] if j < i else text[hi:l2]
-                if j < i:
-                    full = re.fullmatch(r",?\s+", gap)
-                    short = re.fullmatch(r"\.\s*", gap)
-                else:
-                    full = short = re.fullmatch(r",?\s+", gap)
-                    short = short and text[h2 : h2 + 1] == "."
-                if full and any(near in given for given, _ in persons):
-                    best = (min(lo, l2), max(hi, h2))
-                    break
-                # a second name's initial between the given name and the surname
-                if short and j < i and len(near) == 1 and i >= 2 and text[words[i - 2][1] : l2].isspace() and any(words[i - 2][2] in given for given, _ in persons):
-                    best = (words[i - 2][0], hi)
-                    break
-                initials = near.split("-")
-                if short and all(len(x) == 1 for x in initials) and text[l2].isupper() and any(initials[0] == first for _, first in persons):
-                    best = (min(lo, l2), max(hi, h2 + (j > i)))
-                    break
-                # two initials before the surname, the nearer one being a second name
-                if short and j < i and len(near) == 1 and i >= 2 and len(words[i - 2][2]) == 1 and text[words[i - 2][1] : l2].strip() == "." and any(words[i - 2][2] == first for _, first in persons):
-                    best = (words[i - 2][0], hi)
-                    break
-            if best and best[0] >= taken:
-                out.append(best)
-                taken = best[1]
-        return out
-
-
-def detect(text: str, people: People) -> list[tuple[int, int, str]]:
+            l2, h2, near = words[j]
+            gap = text[h2:lo] if j < i else text[hi:l2]
+            if j < i:
+                full = re.fullmatch(r",?\s+", gap)
+                short = re.fullmatch(r"\.\s*", gap)
+            else:
+                full = short = re.fullmatch(r",?\s+", gap)
+                short = short and text[h2 : h2 + 1] == "."
+            if full and people.given(word, near):
+                best = (min(lo, l2), max(hi, h2))
+                break
+            # a second name's initial between the given name and the surname
+            if short and j < i and len(near) == 1 and i >= 2 and text[words[i - 2][1] : l2].isspace() and people.given(word, words[i - 2][2]):
+                best = (words[i - 2][0], hi)
+                break
+            initials = near.split("-")
+            if short and all(len(x) == 1 for x in initials) and text[l2].isupper() and people.initial(word, initials[0]):
+                best = (min(lo, l2), max(hi, h2 + (j > i)))
+                break
+            # two initials before the surname, the nearer one being a second name
+            if short and j < i and len(near) == 1 and i >= 2 and len(words[i - 2][2]) == 1 and text[words[i - 2][1] : l2].strip() == "." and people.initial(word, words[i - 2][2]):
+                best = (words[i - 2][0], hi)
+                break
+        if best and best[0] >= taken:
+            out.append(best)
+            taken = best[1]
+    return out
+
+
+def detect(text: str, people: People | Answers) -> list[tuple[int, int, str]]:
     """Spans (start, end, type) in ``text``, in order, without overlap."""
     aligned = normalise(text)
     t = aligned.text
@@ -268,7 +321,7 @@ def detect(text: str, people: People) -> list[tuple[int, int, str]]:
             if gate.search(t):
                 for m in pattern.finditer(t):
                     add(m.start(), m.end(), "address")
-    for lo, hi in people.spans(t):
+    for lo, hi in name_spans(t, people):
         add(lo, hi, "person")
     return sorted((*aligned.source(lo, hi), kind) for lo, hi, kind in found)
 
@@ -284,36 +337,68 @@ def redact(text: str, spans: list[tuple[int, int, str]]) -> str:
 # ---- Spark
 
 
-def _names(people: DataFrame) -> list[str]:
-    rows = people.select("full_name").where("full_name is not null").distinct().limit(MAX_PEOPLE + 1).collect()
-    if len(rows) > MAX_PEOPLE:
-        raise ValueError(f"more than {MAX_PEOPLE} people: too many for one table in every task")
-    return sorted(r[0] for r in rows)
+def _name_pairs(people: DataFrame) -> DataFrame:
+    """(surname, other, short): every written surname with every written given name, and, where ``short``, with the initial."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = [(s, o, short) for full in batch["full_name"] for s, given, first in _written(full) for o, short in [*((g, False) for g in given), (first, True)]]
+            yield pd.DataFrame(rows, columns=["surname", "other", "short"]).astype({"surname": object, "other": object, "short": bool})
+
+    return people.select("full_name").mapInPandas(run, "surname string, other string, short boolean").distinct()
+
+
+def _answers(texts: DataFrame, people: DataFrame) -> DataFrame:
+    """(digest, pairs): of each text that may name persons, the pairs of words that the table of persons has."""
+    pairs = cut(_name_pairs(people))
+    slot = F.shiftright(F.crc32("surname"), 32 - FILTER_BITS)
+    rows = pairs.groupBy(F.shiftright(slot, 6).alias("at")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(shiftright(crc32(surname), {32 - FILTER_BITS}) & 63 as int))")).alias("bits")).collect()
+    bits = np.zeros((1 << FILTER_BITS) // 64, np.int64)  # at most so many rows reach the driver
+    for at, value in rows:
+        bits[at] = value
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for digest, text in zip(batch["digest"], batch["content"]):
+                asked = Asked(bits)
+                name_spans(normalise(text).text, asked)
+                out += [(digest, *pair) for pair in asked.seen]
+            yield pd.DataFrame(out, columns=["digest", "surname", "other", "short"]).astype({"digest": object, "surname": object, "other": object, "short": bool})
+
+    asked = texts.where("content <> ''").select(F.md5("content").alias("digest"), "content").mapInPandas(run, "digest string, surname string, other string, short boolean").distinct()
+    return asked.join(pairs, ["surname", "other", "short"], "left_semi").groupBy("digest").agg(F.collect_list(F.struct("surname", "other", "short")).alias("pairs"))
 
 
 def redacted(texts: DataFrame, people: DataFrame) -> DataFrame:
     """(record_id, content, pii_types) from (record_id, content): placeholders in place, types in ``TYPES`` order."""
-    names = _names(people)
+    rows = people.select("full_name").where("full_name is not null").distinct().limit(MAX_PEOPLE + 1).collect()
+    names = sorted(r[0] for r in rows) if len(rows) <= MAX_PEOPLE else None
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        persons = People(names)
+        persons = People(names) if names is not None else None
         for batch in batches:
             seen: dict[str, tuple[str, list[str]]] = {}  # short texts repeat within a batch
             out, kinds = [], []
-            for text in batch["content"]:
+            pairs = batch["pairs"] if persons is None else [None] * len(batch)
+            for text, own in zip(batch["content"], pairs):
                 if not text:
                     out.append(text)
                     kinds.append([])
                     continue
                 got = seen.get(text)
                 if got is None:
-                    spans = detect(text, persons)
+                    spans = detect(text, persons or Answers(() if own is None else [(p["surname"], p["other"], p["short"]) for p in own]))
                     got = seen[text] = (redact(text, spans) if spans else text, [k for k in TYPES if any(s[2] == k for s in spans)])
                 out.append(got[0])
                 kinds.append(got[1])
             yield pd.DataFrame({"record_id": batch["record_id"], "content": pd.Series(out, index=batch.index, dtype=object), "pii_types": kinds})
 
-    return texts.select("record_id", "content").mapInPandas(run, "record_id string, content string, pii_types array<string>")
+    texts = texts.select("record_id", "content")
+    if names is None:
+        answers = _answers(texts, people)
+        texts = texts.withColumn("digest", F.md5("content")).join(answers, "digest", "left").select("record_id", "content", "pairs")
+    return texts.mapInPandas(run, "record_id string, content string, pii_types array<string>")
 
 
 def found(texts: DataFrame, people: DataFrame) -> DataFrame:
