@@ -200,6 +200,15 @@ def statistics(documents: DataFrame) -> DataFrame:
     )
 
 
+def repetition() -> tuple[Column, Column]:
+    """Whether lines or paragraphs mostly repeat others, and whether one run of words is all over the text; both say that
+    a text is boilerplate and no content, whatever its words."""
+    zero = lambda name: F.coalesce(F.col(name), F.lit(0.0))
+    repeated = (zero("duplicate_line_share") > 0.5) & (zero("duplicate_line_char_share") > 0.5) | (zero("duplicate_paragraph_share") > 0.5) & (zero("duplicate_paragraph_char_share") > 0.5)
+    dominant = (zero("top_trigram_coverage") > 0.5) & (F.col("n_words") >= 10) | (zero("top_trigram_coverage") > 0.1) & (zero("distinct_word_share") < 0.25) & (F.col("n_words") >= 30)
+    return repeated, dominant
+
+
 def form_rules() -> Column:
     """prose, list, table or junk from the columns of ``statistics``."""
     c = F.col
@@ -207,14 +216,13 @@ def form_rules() -> Column:
     tabless = c("bar_lines") + c("tab_lines") + c("semicolon_lines") + c("comma_lines") + c("gap_lines") < 2
     entries, entry_chars = c("n_marked") + c("n_bare"), zero("marked_char_share") + zero("bare_char_share")
     listed = (c("n_marked") >= 2) & (zero("marked_char_share") >= 0.5) | (entries >= 3) & ((entry_chars >= 0.5) | (entry_chars >= 0.35) & (entries >= 0.75 * c("n_plain")))
-    # lines or paragraphs that mostly repeat others are no content, whatever their words; a table of data may repeat its rows
+    # a table of data may repeat its rows
     content = tabless | (zero("common_word_share") >= 0.2)
-    repeated = (zero("duplicate_line_share") > 0.5) & (zero("duplicate_line_char_share") > 0.5) | (zero("duplicate_paragraph_share") > 0.5) & (zero("duplicate_paragraph_char_share") > 0.5)
-    # one run of words all over the text; entries of a list may share their words if the lines differ
-    dominant = (zero("top_trigram_coverage") > 0.5) & (c("n_words") >= 10) | (zero("top_trigram_coverage") > 0.1) & (zero("distinct_word_share") < 0.25) & (c("n_words") >= 30)
+    repeated, dominant = repetition()
     junk = (
         (c("n_words") == 0)
         | repeated & (c("n_lines") >= 4) & content
+        # entries of a list may share their words if the lines differ
         | dominant & content & ~(listed & (zero("duplicate_line_share") <= 0.5))
         | (zero("letter_share") < 0.25) & tabless
         | (zero("mojibake_share") > 0.1)

@@ -101,7 +101,8 @@ def p9_found(spark, d):
 
 
 def p9_statistics(spark, d):
-    return quality.statistics(_read(spark, d, "documents")).withColumn("form", quality.form_rules())
+    repeated, dominant = quality.repetition()
+    return quality.statistics(_read(spark, d, "documents")).withColumn("form", quality.form_rules()).withColumn("boilerplate", repeated | dominant)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
