@@ -72,3 +72,16 @@ def test_small(spark, pairs):
     expected, _ = walked(pairs)
     got = {r.node: (r.root, r.depth) for r in H.roots_and_depths(frame(spark, pairs)).collect()}
     assert got == expected
+
+
+def test_scratch_tables_are_deleted(spark):
+    from pathlib import Path
+
+    from tracelake.plans.cut import cut, scratch, shared_folder
+
+    folder = Path(shared_folder(spark).removeprefix("file:"))
+    before = {p.name for p in folder.iterdir()}
+    with scratch():
+        assert H.roots_and_depths(frame(spark, forest())).count() > 200
+        assert cut(spark.range(3)).count() == 3
+    assert {p.name for p in folder.iterdir()} == before

@@ -1,6 +1,6 @@
 """Parent-child rows to full hierarchies.
 
-Leaves are peeled with doubled steps (round k removes 2**k layers at once), which
+Leaves are peeled with multiplied steps (round k removes 4**k layers at once), which
 leaves exactly the roots and the cycles. Every remaining tree is written as an
 Euler tour, one entry and one exit element per node, and the tour is ranked by
 parallel pointer jumping. The entry and exit positions then give depth, root,
@@ -17,12 +17,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracelake.plans.cut import cut
+from tracelake.plans.cut import cut, cut_counting
 
 #: Children of one parent are chained in this many parts, so that a parent with
 #: a third of all rows is not sorted by one task.
 SIBLING_PARTS = 64
 
+#: Pointers followed in one round, all looked up in the same table: a round multiplies the steps seen by one more than
+#: this, for as many joins but only one written table.
+JUMPS = 3
+
 TREE, CYCLE, MISSING = "tree", "cycle", "missing"
 
 
@@ -49,29 +53,37 @@ def expose_cycles(edges: DataFrame) -> DataFrame:
     as they see an end, so that the pointers to a popular root are never joined.
     """
     ends = edges.join(edges.select(F.col("node").alias("parent")), "parent", "left_anti").select("node")
-    step = cut(
-        edges.join(ends.withColumn("done", F.lit(True)), "node", "left").select(
-            "node", F.when(F.col("done"), F.col("node")).otherwise(F.col("parent")).alias("ptr"), F.coalesce("done", F.lit(False)).alias("done")
-        )
-    )
-    image = -1
-    while True:
-        alive = step.where(~F.col("done"))
-        now = alive.select("ptr").distinct().count()
-        if now in (0, image):
-            break
+    first = edges.join(ends.withColumn("done", F.lit(True)), "node", "left").select("node", F.when(F.col("done"), F.col("node")).otherwise(F.col("parent")).alias("ptr"), F.coalesce("done", F.lit(False)).alias("done"))
+    running = ~F.col("done")
+    step, now = cut_counting(first, running)
+    before = -1
+    # as long as chains end, each round sees some of them end
+    while now and (now != before or step.where(running).count() != before):
+        ahead, moved = step.select(F.col("node").alias("key"), F.col("ptr").alias("far"), F.col("done").alias("over")), step.where(running)
+        for _ in range(JUMPS):  # a node that has seen an end looks up nothing, under a key of its own: ends may be popular
+            key = F.when(F.col("done"), F.concat(F.lit("\0"), "node")).otherwise(F.col("ptr"))
+            moved = moved.withColumn("key", key).join(ahead, "key", "left").select("node", F.coalesce("far", "ptr").alias("ptr"), F.coalesce("over", F.lit(True)).alias("done"))
+        before = now
+        step, now = cut_counting(moved.unionByName(step.where("done")), running, replaces=step)
+    if not now:
+        return step.where(running).select("node", F.col("ptr").alias("label"))
+    # what is left runs into cycles: rounds go on until the pointers are the cycles themselves
+    step, image = cut(step.where(running), replaces=step), -1
+    while (now := step.select("ptr").distinct().count()) != image:
         image = now
-        ahead = step.select(F.col("node").alias("ptr"), F.col("ptr").alias("far"), F.col("done").alias("over"))
-        moved = alive.join(ahead, "ptr").select("node", F.col("far").alias("ptr"), F.col("over").alias("done"))
-        step = cut(moved.unionByName(step.where("done")), replaces=step)
-    # the surviving pointers are the cycles themselves; doubling around them spreads the smallest id
-    on = step.where(~F.col("done")).select(F.col("ptr").alias("node")).distinct()
+        ahead, moved = step.select(F.col("node").alias("ptr"), F.col("ptr").alias("far")), step
+        for _ in range(JUMPS):
+            moved = moved.join(ahead, "ptr").select("node", F.col("far").alias("ptr"), "done")
+        step = cut(moved, replaces=step)
+    # going around the cycles spreads the smallest id
+    on = step.select(F.col("ptr").alias("node")).distinct()
     low = cut(edges.join(on, "node").select("node", F.col("parent").alias("ptr"), F.least("node", "parent").alias("low")), replaces=step)
-    size, rounds = low.count(), 0
-    while 2**rounds < size:
-        ahead = low.select(F.col("node").alias("ptr"), F.col("ptr").alias("far"), F.col("low").alias("low2"))
-        low = cut(low.join(ahead, "ptr").select("node", F.col("far").alias("ptr"), F.least("low", "low2").alias("low")), replaces=low)
-        rounds += 1
+    seen = 1
+    while seen < image:
+        ahead, moved = low.select(F.col("node").alias("ptr"), F.col("ptr").alias("far"), F.col("low").alias("low2")), low
+        for _ in range(JUMPS):
+            moved = moved.join(ahead, "ptr").select("node", F.col("far").alias("ptr"), F.least("low", "low2").alias("low"))
+        low, seen = cut(moved, replaces=low), seen * (JUMPS + 1)
     return low.select("node", F.col("low").alias("label"))
 
 
@@ -108,12 +120,18 @@ def _rank(tour: DataFrame) -> DataFrame:
     """List ranking: (el, last, rank, height) with the list's last element, the number of
     elements after ``el`` and the sum of +1 per entry and -1 per exit from ``el`` on."""
     weight = F.when(F.col("el") % 2 == 0, 1).otherwise(-1).cast("bigint")
-    state = cut(tour.select("el", F.coalesce("next", "el").alias("ptr"), F.when(F.col("next").isNull(), 0).otherwise(1).cast("bigint").alias("rank"), weight.alias("height"), F.col("next").isNull().alias("done")))
+    running = ~F.col("done")
+    first = tour.select("el", F.coalesce("next", "el").alias("ptr"), F.when(F.col("next").isNull(), 0).otherwise(1).cast("bigint").alias("rank"), weight.alias("height"), F.col("next").isNull().alias("done"))
+    state, left = cut_counting(first, running)
     # a running element holds the sums up to, not with, its pointer; a finished one up to the list's end
-    while state.where(~F.col("done")).limit(1).count():
-        ahead = state.select(F.col("el").alias("ptr"), F.col("ptr").alias("far"), F.col("rank").alias("r2"), F.col("height").alias("h2"), F.col("done").alias("over"))
-        moved = state.where(~F.col("done")).join(ahead, "ptr").select("el", F.col("far").alias("ptr"), (F.col("rank") + F.col("r2")).alias("rank"), (F.col("height") + F.col("h2")).alias("height"), F.col("over").alias("done"))
-        state = cut(moved.unionByName(state.where("done")), replaces=state)
+    while left:
+        ahead = state.select(F.col("el").alias("key"), F.col("ptr").alias("far"), F.col("rank").alias("r2"), F.col("height").alias("h2"), F.col("done").alias("over"))
+        moved = state.where(running)
+        for _ in range(JUMPS):  # an element that has reached its end looks up nothing
+            moved = moved.withColumn("key", F.when(F.col("done"), -1 - F.col("el")).otherwise(F.col("ptr"))).join(ahead, "key", "left")
+            sums = [(F.col(x) + F.coalesce(y, F.lit(0))).alias(x) for x, y in (("rank", "r2"), ("height", "h2"))]
+            moved = moved.select("el", F.coalesce("far", "ptr").alias("ptr"), *sums, F.coalesce("over", F.lit(True)).alias("done"))
+        state, left = cut_counting(moved.unionByName(state.where("done")), running, replaces=state)
     return state.select("el", F.col("ptr").alias("last"), "rank", "height")
 
 
@@ -167,15 +185,18 @@ def descendants(tree: DataFrame) -> DataFrame:
     looked up by its block at every level: an equality join whose output is
     exactly the result, instead of a range join within a tree.
     """
-    levels = F.explode(F.sequence(F.lit(0), F.lit(41)))
-    span = tree.where("leave - enter > 1").select(F.col("node").alias("ancestor"), F.col("depth").alias("depth_a"), "tour_root", (F.col("enter") + 1 + 2**40).alias("lo"), (F.col("leave") + 2**40).alias("hi"), levels.alias("level"))
-    unit = F.pow(F.lit(2.0), F.col("level"))
+    # a tour's positions run from 0 down to minus its length; one aggregate row tells how far
+    reach = tree.agg(F.coalesce(-F.min("enter"), F.lit(0)).alias("reach")).select(F.expr("cast(floor(log2(reach + 1)) + 1 as int)").alias("height"))
+    tree = tree.crossJoin(F.broadcast(reach)).withColumn("shift", F.expr("shiftleft(1L, height)"))
+    levels = F.explode(F.sequence(F.lit(0), F.col("height"))).alias("level")
+    span = tree.where("leave - enter > 1").select(F.col("node").alias("ancestor"), F.col("depth").alias("depth_a"), "tour_root", (F.col("enter") + 1 + F.col("shift")).alias("lo"), (F.col("leave") + F.col("shift")).alias("hi"), levels)
+    unit = F.expr("shiftleft(1L, level)")
     span = span.withColumn("lo", F.ceil(F.col("lo") / unit)).withColumn("hi", F.floor(F.col("hi") / unit)).where("lo < hi")
     left = F.when(F.col("lo") % 2 == 1, F.col("lo"))
     right = F.when((F.col("hi") % 2 == 1) & (F.col("hi") - 1 >= F.col("lo") + F.col("lo") % 2), F.col("hi") - 1)
     blocks = span.select("ancestor", "depth_a", "tour_root", "level", F.explode(F.array_compact(F.array(left, right))).alias("block"))
-    points = tree.select(F.col("node").alias("descendant"), F.col("depth").alias("depth_d"), "tour_root", (F.col("enter") + 2**40).alias("at"), levels.alias("level"))
-    points = points.select("descendant", "depth_d", "tour_root", "level", F.floor(F.col("at") / F.pow(F.lit(2.0), F.col("level"))).alias("block"))
+    points = tree.select(F.col("node").alias("descendant"), F.col("depth").alias("depth_d"), "tour_root", (F.col("enter") + F.col("shift")).alias("at"), levels)
+    points = points.select("descendant", "depth_d", "tour_root", "level", F.floor(F.col("at") / F.expr("shiftleft(1L, level)")).alias("block"))
     return points.join(blocks, ["tour_root", "level", "block"]).select("ancestor", "descendant", (F.col("depth_d") - F.col("depth_a")).alias("distance"))
 
 
