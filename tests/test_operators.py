@@ -104,3 +104,17 @@ def test_streams_over_several_batches(spark, tmp_path):
     assert S.drain(S.once_per_receipt(stream)).count() == 6
     totals = S.drain(S.cumulative_counts(stream)).groupBy("session_id").agg(F.max("events").alias("n"), F.max("bytes").alias("b")).collect()
     assert [(r.session_id, r.n, r.b) for r in totals] == [("s1", 9, 54)]
+
+
+def test_lineage_of_wanted_branches(spark):
+    tree = spark.createDataFrame([("root", None, None), *[(f"b{i}", f"b{i - 1}" if i else "root", 100 - i) for i in range(20)], ("c1", "c2", 1), ("c2", "c1", 2), ("lost", "gone", 5)], "node string, parent string, fork bigint")
+    whole = {(r.branch, r.ancestor, r.cutoff, r.distance) for r in L.lineage(tree).collect()}
+    wanted = spark.createDataFrame([("b19",), ("root",), ("c1",), ("lost",), ("never",), (None,)], "branch string")
+    got = {(r.branch, r.ancestor, r.cutoff, r.distance) for r in L.lineage(tree, wanted).collect()}
+    assert got == {x for x in whole if x[0] in ("b19", "root", "c1", "lost")} and len(got) == 21 + 1 + 2
+
+
+def test_versions_end_on_cycles(spark):
+    facts = spark.createDataFrame([("a", "b", 3), ("b", "c", 2), ("c", "a", 1), ("d", "a", 4), ("x", "y", 2), ("y", None, 1)], "id string, supersedes_id string, cursor_seq bigint")
+    assert {(r.id, r.ancestor, r.steps) for r in L.versions(facts).collect()} == {("x", "x", 0), ("x", "y", 1), ("y", "y", 0)}
+    assert L.versions(facts.limit(0)).count() == 0

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracelake.plans.cut import cut
+from tracelake.plans.cut import cut, cut_counting
 
 #: Width of the ranges of ``seq`` inside which rows of one key are sorted.
 SEQ_RANGE = 50_000
@@ -18,23 +18,46 @@ SEQ_RANGE = 50_000
 def lineage(branches: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
     """(branch, ancestor, cutoff, distance) of the branches (node, parent, fork), or of the ``wanted`` (branch).
 
-    ``cutoff`` is the least fork position on the way up, null for the branch
-    itself. Steps are doubled, so a chain of depth n takes log n joins.
+    ``cutoff`` is the least fork position on the way up, null for the branch itself. For all branches steps
+    are doubled, so a chain of depth n takes log n joins; from wanted branches the walk goes up.
     """
+    if wanted is not None:
+        return _lineage_of(branches, wanted)
     jump = cut(branches.where("parent is not null").select("node", F.col("parent").alias("far"), F.col("fork").alias("cut")))
-    start = branches.select(F.col("node").alias("branch")) if wanted is None else wanted.select("branch").distinct()
-    reach = start.select("branch", F.col("branch").alias("ancestor"), F.lit(None).cast("bigint").alias("cutoff"), F.lit(0).cast("bigint").alias("distance"))
-    reach, step, size = cut(reach), 1, branches.count()
-    while step <= size and jump.limit(1).count():
+    reach = branches.select(F.col("node").alias("branch"), F.col("node").alias("ancestor"), F.lit(None).cast("bigint").alias("cutoff"), F.lit(0).cast("bigint").alias("distance"))
+    reach, step, size, left = cut(reach), 1, branches.count(), True
+    while step <= size and left:
         more = reach.join(jump, reach["ancestor"] == jump["node"]).select("branch", F.col("far").alias("ancestor"), F.least("cutoff", "cut").alias("cutoff"), (F.col("distance") + step).alias("distance"))
         reach = cut(reach.unionByName(more), replaces=reach)
         ahead = jump.select(F.col("node").alias("far"), F.col("far").alias("farther"), F.col("cut").alias("cut2"))
-        jump = cut(jump.join(ahead, "far").select("node", F.col("farther").alias("far"), F.least("cut", "cut2").alias("cut")), replaces=jump)
+        jump, left = cut_counting(jump.join(ahead, "far").select("node", F.col("farther").alias("far"), F.least("cut", "cut2").alias("cut")), F.lit(True), replaces=jump)
         step *= 2
     # whoever can still jump after more steps than there are branches runs in circles
     return reach.join(jump.select(F.col("node").alias("branch")), "branch", "left_anti")
 
 
+#: Steps of the walk up from wanted branches between two written tables.
+WALK_STEPS = 8
+
+
+def _lineage_of(branches: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``lineage`` of wanted branches: each row carries its way up and looks up one parent after the other."""
+    up = cut(branches.select(F.col("node").alias("at"), "parent", "fork"))
+    none = F.lit(None).cast("bigint")
+    way = F.array(F.struct(F.col("branch").alias("ancestor"), none.alias("cutoff"), F.lit(0).cast("bigint").alias("distance")))
+    walk, left = cut(wanted.select("branch").distinct().join(up.select(F.col("at").alias("branch")), "branch", "left_semi").select("branch", F.col("branch").alias("at"), way.alias("way"), F.lit(False).alias("circle"))), True
+    while left:
+        moved = walk
+        for _ in range(WALK_STEPS):
+            moved = moved.join(up, "at", "left")
+            top = F.element_at("way", -1)
+            further = F.struct(F.col("parent").alias("ancestor"), F.least(top["cutoff"], F.col("fork")).alias("cutoff"), (top["distance"] + 1).alias("distance"))
+            again = F.coalesce(F.array_contains(F.transform("way", lambda w: w["ancestor"]), F.col("parent")), F.lit(False))
+            moved = moved.select("branch", F.when(~again, F.col("parent")).alias("at"), F.when(F.col("parent").isNull() | again, F.col("way")).otherwise(F.array_append("way", further)).alias("way"), (F.col("circle") | again).alias("circle"))
+        walk, left = cut_counting(moved, F.col("at").isNotNull(), replaces=walk)
+    return walk.where("not circle").select("branch", F.explode("way").alias("w")).select("branch", "w.ancestor", "w.cutoff", "w.distance")
+
+
 def visible(rows: DataFrame, lines: DataFrame, branch_col: str = "branch_id", cursor_col: str = "seq") -> DataFrame:
     """Rows that each branch of ``lines`` sees: (branch, *rows)."""
     lines = lines.select("branch", F.col("ancestor").alias("_ancestor"), F.col("cutoff").alias("_cutoff"))
@@ -81,16 +104,22 @@ def without_superseded(rows: DataFrame, by: DataFrame | None = None) -> DataFram
 
 
 def versions(memories: DataFrame) -> DataFrame:
-    """(id, ancestor, steps): every fact with all facts that it supersedes, itself included; steps are doubled."""
-    jump = cut(memories.where("supersedes_id is not null").select("id", F.col("supersedes_id").alias("far")))
-    reach, step = memories.select("id", F.col("id").alias("ancestor"), F.lit(0).cast("bigint").alias("steps")), 1
-    while jump.limit(1).count():
+    """(id, ancestor, steps): every fact with all facts that it supersedes, itself included; steps are doubled.
+
+    Facts whose chain runs in circles have no history and do not come out.
+    """
+    jump, left = cut_counting(memories.where("supersedes_id is not null").select("id", F.col("supersedes_id").alias("far")), F.lit(True))
+    reach, step, size = memories.select("id", F.col("id").alias("ancestor"), F.lit(0).cast("bigint").alias("steps")), 1, left
+    before = None
+    while left and step <= size:
         more = reach.join(jump.withColumnRenamed("id", "_at"), F.col("ancestor") == F.col("_at")).select("id", F.col("far").alias("ancestor"), (F.col("steps") + step).alias("steps"))
-        reach = cut(reach.unionByName(more))
+        reach = cut(reach.unionByName(more), replaces=before)
+        before = reach
         ahead = jump.select(F.col("id").alias("far"), F.col("far").alias("farther"))
-        jump = cut(jump.join(ahead, "far").select("id", F.col("farther").alias("far")), replaces=jump)
+        jump, left = cut_counting(jump.join(ahead, "far").select("id", F.col("farther").alias("far")), F.lit(True), replaces=jump)
         step *= 2
-    return reach
+    # after more steps than there are links only circles are left
+    return reach.join(jump.select("id"), "id", "left_anti") if left else reach
 
 
 def ancestor_as_of(memories: DataFrame, cutoff: Column) -> DataFrame:

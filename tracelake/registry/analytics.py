@@ -64,7 +64,7 @@ def a06(spark, d):
 
 @query("a07_overcompression", rf"WITH {SQL_LOG}, t AS (SELECT origin_adapter, regexp_matches(content, '{X.FAILURE}') AS bad FROM log WHERE kind = 'tool_output' AND content IS NOT NULL) SELECT origin_adapter, count(*) AS n, count(CASE WHEN bad THEN 1 END) AS failures, count(*) >= 5 AND count(CASE WHEN bad THEN 1 END) / count(*) > 0.2 AS flagged FROM t GROUP BY 1")
 def a07(spark, d):
-    rows = log(spark, d).where("kind = 'tool_output' and content is not null").withColumn("bad", F.col("content").rlike(X.FAILURE))
+    rows = log(spark, d, "kind = 'tool_output' and content is not null").withColumn("bad", F.col("content").rlike(X.FAILURE))
     n, bad = F.count(F.lit(1)), F.count_if("bad")
     return rows.groupBy("origin_adapter").agg(n.alias("n"), bad.alias("failures"), ((n >= 5) & (bad / n > 0.2)).alias("flagged"))
 
@@ -86,7 +86,7 @@ def a09(spark, d):
 
 @query("a10_operation_summary", f"WITH {SQL_LOG} SELECT session_id, arg_min(kind, seq) AS first_kind, arg_max(kind, seq) AS last_kind, count(*) AS n, max(seq) AS last_seq FROM log WHERE session_id IS NOT NULL GROUP BY 1")
 def a10(spark, d):
-    return log(spark, d).where("session_id is not null").groupBy("session_id").agg(F.min_by("kind", "seq").alias("first_kind"), F.max_by("kind", "seq").alias("last_kind"), F.count(F.lit(1)).alias("n"), F.max("seq").alias("last_seq"))
+    return log(spark, d, "session_id is not null").groupBy("session_id").agg(F.min_by("kind", "seq").alias("first_kind"), F.max_by("kind", "seq").alias("last_kind"), F.count(F.lit(1)).alias("n"), F.max("seq").alias("last_seq"))
 
 
 @query("a11_finalization_counters", "SELECT coalesce(reason_code, 'none') AS reason, count(DISTINCT id) AS records, count(DISTINCT source_event_id) AS sources FROM finalization_quarantine GROUP BY 1")
@@ -207,7 +207,7 @@ def a28(spark, d):
 @query("w01_latest_by_position", f"WITH {SQL_LOG} SELECT session_id, arg_max(kind, seq) AS status, max(seq) AS seq FROM log WHERE session_id IS NOT NULL GROUP BY 1")
 def w01(spark, d):
     """The last record of each session by position, not by time."""
-    return log(spark, d).where("session_id is not null").groupBy("session_id").agg(F.max_by("kind", "seq").alias("status"), F.max("seq").alias("seq"))
+    return log(spark, d, "session_id is not null").groupBy("session_id").agg(F.max_by("kind", "seq").alias("status"), F.max("seq").alias("seq"))
 
 
 @query("w02_latest_version", f"WITH {SQL_MEMORIES} SELECT example_id, memory_type, arg_max(id, ord) AS id, count(*) AS version FROM mem GROUP BY 1, 2")
@@ -234,7 +234,7 @@ def w04(spark, d):
 @query("w12_line_context", rf"WITH {SQL_LOG}, l AS (SELECT id, unnest(string_split(content, chr(10))) AS line, generate_subscripts(string_split(content, chr(10)), 1) AS n FROM log WHERE kind = 'tool_output' AND content IS NOT NULL), f AS (SELECT *, max(CASE WHEN regexp_matches(line, '{X.FAILURE}') THEN 1 ELSE 0 END) OVER (PARTITION BY id ORDER BY n ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS near FROM l) SELECT id, n, line FROM f WHERE near = 1")
 def w12(spark, d):
     """Lines within two lines of a failure."""
-    lines = log(spark, d).where("kind = 'tool_output' and content is not null").select("id", F.posexplode(F.split("content", "\n")).alias("n", "line"))
+    lines = log(spark, d, "kind = 'tool_output' and content is not null").select("id", F.posexplode(F.split("content", "\n")).alias("n", "line"))
     near = F.max(F.col("line").rlike(X.FAILURE).cast("int")).over(Window.partitionBy("id").orderBy("n").rowsBetween(-2, 2))
     return lines.withColumn("near", near).where("near = 1").select("id", (F.col("n") + 1).alias("n"), "line")
 
@@ -242,7 +242,7 @@ def w12(spark, d):
 @query("w13_repeat_collapse", f"WITH {SQL_LOG}, s AS (SELECT session_id, seq, content, CASE WHEN content = lag(content) OVER (PARTITION BY session_id ORDER BY seq) THEN 0 ELSE 1 END AS fresh FROM log WHERE kind = 'tool_call' AND session_id IS NOT NULL AND content IS NOT NULL), g AS (SELECT *, sum(fresh) OVER (PARTITION BY session_id ORDER BY seq) AS island FROM s) SELECT session_id, content, min(seq) AS first_seq, count(*) AS times FROM g GROUP BY session_id, island, content")
 def w13(spark, d):
     """Consecutive equal tool calls of a session as one row with a count."""
-    rows = log(spark, d).where("kind = 'tool_call' and session_id is not null and content is not null").select("session_id", "seq", "content")
+    rows = log(spark, d, "kind = 'tool_call' and session_id is not null and content is not null").select("session_id", "seq", "content")
     rows = O.with_previous(rows, ["session_id"], "seq", "content", "before")
     islands = O.with_running_sum(rows, ["session_id"], "seq", F.when(F.col("content") == F.col("before"), 0).otherwise(1), "island")
     return islands.groupBy("session_id", "island", "content").agg(F.min("seq").alias("first_seq"), F.count(F.lit(1)).alias("times")).drop("island")
@@ -250,14 +250,14 @@ def w13(spark, d):
 
 @query("w14_head_and_tail", f"WITH {SQL_LOG}, l AS (SELECT id, unnest(string_split(content, chr(10))) AS line, generate_subscripts(string_split(content, chr(10)), 1) AS n, len(string_split(content, chr(10))) AS size FROM log WHERE kind = 'tool_output' AND content IS NOT NULL) SELECT id, n, line FROM l WHERE n <= 3 OR n > size - 2")
 def w14(spark, d):
-    rows = log(spark, d).where("kind = 'tool_output' and content is not null").select("id", F.split("content", "\n").alias("lines"))
+    rows = log(spark, d, "kind = 'tool_output' and content is not null").select("id", F.split("content", "\n").alias("lines"))
     lines = rows.select("id", F.size("lines").alias("size"), F.posexplode("lines").alias("n", "line")).withColumn("n", F.col("n") + 1)
     return lines.where("n <= 3 or n > size - 2").select("id", "n", "line")
 
 
 @query("w15_rate_limit_gaps", f"WITH {SQL_LOG}, g AS (SELECT id, seq - lag(seq) OVER (PARTITION BY branch_id ORDER BY seq) AS gap FROM log WHERE kind = 'memory_block') SELECT id, gap, coalesce(gap >= 20, true) AS allowed FROM g")
 def w15(spark, d):
-    rows = log(spark, d).where("kind = 'memory_block'").select("branch_id", "id", "seq")
+    rows = log(spark, d, "kind = 'memory_block'").select("branch_id", "id", "seq")
     rows = O.with_previous(rows, ["branch_id"], "seq", "seq", "before").withColumn("gap", F.col("seq") - F.col("before"))
     return rows.select("id", "gap", F.coalesce(F.col("gap") >= 20, F.lit(True)).alias("allowed"))
 
@@ -279,7 +279,7 @@ def w18(spark, d):
 @query("j05_pending", f"WITH {SQL_LOG} SELECT l.id FROM log l LEFT JOIN (SELECT DISTINCT source_event_id FROM finalization_quarantine) q ON q.source_event_id = l.id WHERE l.kind = 'message' AND l.role = 'assistant' AND q.source_event_id IS NULL AND l.content LIKE '%?'")
 def j05(spark, d):
     done = read(spark, d, "finalization_quarantine").select(F.col("source_event_id").alias("id")).distinct()
-    return log(spark, d).where("kind = 'message' and role = 'assistant' and content like '%?'").join(done, "id", "left_anti").select("id")
+    return log(spark, d, "kind = 'message' and role = 'assistant' and content like '%?'").join(done, "id", "left_anti").select("id")
 
 
 @query("j06_candidate_chain", f"WITH {SQL_MEMORIES} SELECT m.run_id, count(*) AS n, count(DISTINCT l.session_id) AS sessions FROM mem m JOIN extraction_examples e ON e.id = m.example_id JOIN log l ON l.id = m.source_event_id GROUP BY 1")
@@ -292,7 +292,7 @@ def j06(spark, d):
 
 @query("j14_call_result_pairs", f"WITH {SQL_LOG}, c AS (SELECT json_extract_string(payload_json, '$.call_id') AS call_id, * FROM log WHERE kind IN ('tool_call', 'tool_output')) SELECT a.id AS call, b.id AS result, b.seq - a.seq AS distance FROM c a JOIN c b ON a.call_id = b.call_id AND a.kind = 'tool_call' AND b.kind = 'tool_output'")
 def j14(spark, d):
-    rows = log(spark, d).where("kind in ('tool_call', 'tool_output')").withColumn("call_id", F.get_json_object("payload_json", "$.call_id"))
+    rows = log(spark, d, "kind in ('tool_call', 'tool_output')").withColumn("call_id", F.get_json_object("payload_json", "$.call_id"))
     calls = rows.where("kind = 'tool_call'").select("call_id", F.col("id").alias("call"), F.col("seq").alias("from_seq"))
     results = rows.where("kind = 'tool_output'").select("call_id", F.col("id").alias("result"), "seq")
     return calls.join(results, "call_id").select("call", "result", (F.col("seq") - F.col("from_seq")).alias("distance"))
@@ -301,7 +301,7 @@ def j14(spark, d):
 @query("j15_first_evidence", f"WITH {SQL_LOG} SELECT id, next_output FROM (SELECT id, kind, min(CASE WHEN kind = 'tool_output' THEN seq END) OVER (PARTITION BY session_id ORDER BY seq ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS next_output FROM log WHERE session_id IS NOT NULL) WHERE kind = 'tool_call'")
 def j15(spark, d):
     """The first tool result after each call of a session, by sorts instead of a range join."""
-    rows = log(spark, d).where("session_id is not null").select("session_id", "id", "kind", "seq")
+    rows = log(spark, d, "session_id is not null").select("session_id", "id", "kind", "seq")
     return O.with_next_where(rows, ["session_id"], "seq", F.col("kind") == "tool_output", "next_output").where("kind = 'tool_call'").select("id", "next_output")
 
 

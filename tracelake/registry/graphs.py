@@ -20,7 +20,7 @@ _SQL_ENTITIES = SQL_LOG + f", en AS (SELECT id, list_sort(list_distinct(regexp_e
 def entities(spark, d):
     """(id, es): all entities of each event, in text order of their names."""
     found = F.array_sort(F.array_distinct(F.regexp_extract_all(F.lower("content"), F.lit(ENTITY.lower()), F.lit(0))))
-    return log(spark, d).where("content is not null").select("id", found.alias("es"))
+    return log(spark, d, "content is not null").select("id", found.alias("es"))
 
 
 def edges(spark, d):

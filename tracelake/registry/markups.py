@@ -26,7 +26,7 @@ def f24(spark, d):
 @query("f41_lossless_csv")
 def f41(spark, d):
     """Tool outputs that are JSON objects, as one-row CSV."""
-    rows = log(spark, d).where("kind = 'tool_output' and content like '{%'").select("id", F.concat(F.lit("["), "content", F.lit("]")).alias("rows"))
+    rows = log(spark, d, "kind = 'tool_output' and content like '{%'").select("id", F.concat(F.lit("["), "content", F.lit("]")).alias("rows"))
     return rows.select("id", markup.lossless_csv("rows").alias("csv")).where("csv is not null")
 
 
@@ -49,13 +49,13 @@ _SQL_WORD = "CASE " + " ".join(f"WHEN contains(lower(content), '{w}') THEN '{w}'
 def t11(spark, d):
     """Messages that name a window of time, with the words that name it; the first in the list wins."""
     expression = F.coalesce(*[F.when(F.contains(F.lower("content"), F.lit(w)), F.lit(w)) for w, _, _ in WORDS])
-    return log(spark, d).where("kind = 'message'").select("id", expression.alias("expression")).where("expression is not null")
+    return log(spark, d, "kind = 'message'").select("id", expression.alias("expression")).where("expression is not null")
 
 
 @query("w11_context_around_hits", f"WITH {SQL_LOG}, g AS (SELECT DISTINCT session_id, seq // 20 AS grp FROM log WHERE session_id IS NOT NULL), h AS (SELECT DISTINCT session_id, seq // 20 AS grp FROM log WHERE session_id IS NOT NULL AND contains(lower(content), 'retrieval order')) SELECT DISTINCT g.session_id, g.grp FROM g JOIN h ON h.session_id = g.session_id AND g.grp BETWEEN h.grp - 1 AND h.grp + 1")
 def w11(spark, d):
     """The groups around each hit: neighbours are generated and looked up, instead of a range join."""
-    rows = log(spark, d).where("session_id is not null").select("session_id", F.expr("seq div 20").alias("grp"), F.coalesce(F.contains(F.lower("content"), F.lit("retrieval order")), F.lit(False)).alias("hit"))
+    rows = log(spark, d, "session_id is not null").select("session_id", F.expr("seq div 20").alias("grp"), F.coalesce(F.contains(F.lower("content"), F.lit("retrieval order")), F.lit(False)).alias("hit"))
     groups = rows.groupBy("session_id", "grp").agg(F.max("hit").alias("hit"))
     near = groups.where("hit").select("session_id", F.explode(F.sequence(F.col("grp") - 1, F.col("grp") + 1)).alias("grp")).distinct()
     return groups.join(near, ["session_id", "grp"], "left_semi").select("session_id", "grp")
@@ -69,7 +69,7 @@ def i01(spark, d):
 
 @query("w16_latest_groups", f"WITH {SQL_LOG}, g AS (SELECT session_id, seq // 20 AS grp, count(*) AS n FROM log WHERE session_id IS NOT NULL GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY grp DESC) AS back FROM g) SELECT session_id, grp, n FROM r WHERE back <= 2")
 def w16(spark, d):
-    groups = log(spark, d).where("session_id is not null").groupBy("session_id", F.expr("seq div 20").alias("grp")).agg(F.count(F.lit(1)).alias("n"))
+    groups = log(spark, d, "session_id is not null").groupBy("session_id", F.expr("seq div 20").alias("grp")).agg(F.count(F.lit(1)).alias("n"))
     back = F.row_number().over(Window.partitionBy("session_id").orderBy(F.desc("grp")))
     return groups.withColumn("back", back).where("back <= 2").select("session_id", "grp", "n")
 
@@ -77,7 +77,7 @@ def w16(spark, d):
 @query("j08_changes_since", f"WITH {SQL_LOG}, c AS (SELECT unnest(files) AS file, seq FROM log WHERE kind = 'tool_output'), b AS (SELECT file, min(seq) AS baseline, count(*) AS n FROM c GROUP BY 1) SELECT file, baseline, n - 1 AS changes, n - 1 >= 3 AS over_threshold FROM b")
 def j08(spark, d):
     """Changes of each file after its first: a count per file, since the baseline is the file's own first change."""
-    rows = log(spark, d).where("kind = 'tool_output'").select(F.explode("files").alias("file"), "seq")
+    rows = log(spark, d, "kind = 'tool_output'").select(F.explode("files").alias("file"), "seq")
     n = F.count(F.lit(1))
     return rows.groupBy("file").agg(F.min("seq").alias("baseline"), (n - 1).alias("changes"), (n - 1 >= 3).alias("over_threshold"))
 
@@ -85,7 +85,7 @@ def j08(spark, d):
 @query("j24_file_overlaps", f"WITH {SQL_LOG}, t AS (SELECT unnest(files) AS file, session_id FROM log WHERE session_id IS NOT NULL) SELECT file, count(DISTINCT session_id) AS sessions FROM t GROUP BY 1 HAVING count(DISTINCT session_id) > 1")
 def j24(spark, d):
     """Files that more than one session touched."""
-    rows = log(spark, d).where("session_id is not null").select(F.explode("files").alias("file"), "session_id")
+    rows = log(spark, d, "session_id is not null").select(F.explode("files").alias("file"), "session_id")
     return rows.groupBy("file").agg(F.count_distinct("session_id").alias("sessions")).where("sessions > 1")
 
 
@@ -99,7 +99,7 @@ def f37(spark, d):
 @query("f43_tool_receipts", f"WITH {SQL_LOG} SELECT id, sha256(concat_ws(chr(31), coalesce(session_id, ''), kind, json_extract_string(payload_json, '$.call_id'))) AS receipt, len(files) AS n_files FROM log WHERE json_extract_string(payload_json, '$.call_id') IS NOT NULL")
 def f43(spark, d):
     call = F.get_json_object("payload_json", "$.call_id")
-    rows = log(spark, d).where(call.isNotNull())
+    rows = log(spark, d, call.isNotNull())
     return rows.select("id", F.sha2(F.concat_ws("\x1f", F.coalesce("session_id", F.lit("")), "kind", call), 256).alias("receipt"), F.size("files").alias("n_files"))
 
 

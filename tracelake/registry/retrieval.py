@@ -66,12 +66,12 @@ def r03(spark, d):
 
 @query("r04_event_score", f"WITH {SQL_LOG} SELECT id, round({_rel_sql(QUERY)} * 0.85 + {_SQL_FRESH} * 0.15, 6) AS score FROM log WHERE content IS NOT NULL")
 def r04(spark, d):
-    return log(spark, d).where("content is not null").select("id", F.round(R.event_score(X.lexical_relevance(QUERY, F.col("content")), _fresh()), 6).alias("score"))
+    return log(spark, d, "content is not null").select("id", F.round(R.event_score(X.lexical_relevance(QUERY, F.col("content")), _fresh()), 6).alias("score"))
 
 
 @query("r05_fallback_scan", f"WITH {SQL_LOG}, s AS (SELECT id, seq, {_rel_sql(QUERY)} AS relevance FROM log WHERE content IS NOT NULL) SELECT id, round(relevance, 6) AS relevance FROM s WHERE relevance > 0.05 ORDER BY round(relevance, 6) DESC, seq DESC LIMIT 100")
 def r05(spark, d):
-    rows = log(spark, d).where("content is not null").select("id", "seq", F.round(X.lexical_relevance(QUERY, F.col("content")), 6).alias("relevance"))
+    rows = log(spark, d, "content is not null").select("id", "seq", F.round(X.lexical_relevance(QUERY, F.col("content")), 6).alias("relevance"))
     return rows.where("relevance > 0.05").orderBy(F.desc("relevance"), F.desc("seq")).limit(100).select("id", "relevance")
 
 
@@ -93,7 +93,7 @@ tt AS (SELECT *, row_number() OVER (PARTITION BY bucket ORDER BY score DESC, id)
 
 def _temporal(spark, d):
     start, end = (F.lit(x).cast("timestamp_ntz") for x in WINDOW)
-    rows = log(spark, d).where(F.col("kind").isin("message", "tool_output"))
+    rows = log(spark, d, F.col("kind").isin("message", "tool_output"))
     return R.temporal_arm(rows, F.col("created_at"), start, end)
 
 
@@ -176,7 +176,7 @@ def r16(spark, d):
 )
 def r17(spark, d):
     """Tool results by how often their files were touched afterwards: counted by rank, not by pairs."""
-    rows = log(spark, d).where("kind = 'tool_output'").select("id", "seq", F.explode("files").alias("file"))
+    rows = log(spark, d, "kind = 'tool_output'").select("id", "seq", F.explode("files").alias("file"))
     through = O.with_running_sum(rows, ["file"], "seq", F.lit(1), "through")
     totals = rows.groupBy("file").agg(F.count(F.lit(1)).alias("total"))
     per = through.join(totals, "file").groupBy("id").agg(F.max(F.col("total") - F.col("through")).alias("changes"))

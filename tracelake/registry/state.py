@@ -52,14 +52,14 @@ def pack05(spark, d):
 
 @query("pack07_index_lines", rf"WITH {SQL_LOG} SELECT id, seq || ' ' || kind || ' ' || substr(trim(regexp_replace(content, '[\s\p{{Z}}]+', ' ', 'g')), 1, 80) AS line FROM log WHERE content IS NOT NULL AND NOT regexp_matches(content, '{X.FAILURE}')")
 def pack07(spark, d):
-    rows = log(spark, d).where(F.col("content").isNotNull() & ~F.col("content").rlike(X.FAILURE))
+    rows = log(spark, d, F.col("content").isNotNull() & ~F.col("content").rlike(X.FAILURE))
     return rows.select("id", F.concat_ws(" ", F.col("seq").cast("string"), "kind", X.preview(F.col("content"), 80)).alias("line"))
 
 
 @query("pack10_compaction", f"WITH {SQL_LOG}, r AS (SELECT id, session_id, seq, row_number() OVER (PARTITION BY session_id ORDER BY seq DESC) AS back FROM log WHERE session_id IS NOT NULL AND coalesce(role, '') <> 'assistant') SELECT session_id, count(*) AS n, min(seq) AS first_seq, max(seq) AS last_seq FROM r WHERE back > 8 GROUP BY 1")
 def pack10(spark, d):
     """What a compaction takes of each session: all but the last eight rows, without assistant messages."""
-    rows = log(spark, d).where("session_id is not null and coalesce(role, '') <> 'assistant'").select("session_id", "seq")
+    rows = log(spark, d, "session_id is not null and coalesce(role, '') <> 'assistant'").select("session_id", "seq")
     ninth = O.last_of_each(rows, ["session_id"], "seq", 9).where("back = 9").select("session_id", F.col("seq").alias("last_seq"))
     whole = rows.groupBy("session_id").agg((F.count(F.lit(1)) - 8).alias("n"), F.min("seq").alias("first_seq"))
     return whole.join(ninth, "session_id").select("session_id", "n", "first_seq", "last_seq")
@@ -67,7 +67,7 @@ def pack10(spark, d):
 
 @query("pack11_without_assistant", f"WITH {SQL_MEMORIES} SELECT m.id FROM mem m JOIN log l ON l.id = m.source_event_id WHERE coalesce(l.role, '') <> 'assistant'")
 def pack11(spark, d):
-    events = log(spark, d).where("coalesce(role, '') <> 'assistant'").select(F.col("id").alias("source_event_id"))
+    events = log(spark, d, "coalesce(role, '') <> 'assistant'").select(F.col("id").alias("source_event_id"))
     return memories(spark, d).join(events, "source_event_id", "left_semi").select("id")
 
 
@@ -78,19 +78,19 @@ def pack11(spark, d):
 def g01(spark, d):
     """Events of a session by the user's message that they follow, over the whole session."""
     opens = ((F.col("kind") == "message") & F.coalesce(F.col("role") == "user", F.lit(False))).cast("int")
-    rows = log(spark, d).where("session_id is not null").select("id", "session_id", "seq", opens.alias("opens"))
+    rows = log(spark, d, "session_id is not null").select("id", "session_id", "seq", opens.alias("opens"))
     return O.with_running_sum(rows, ["session_id"], "seq", F.col("opens"), "grp").select("id", "grp")
 
 
 @query("g03_search_places", f"WITH {SQL_LOG}, l AS (SELECT id, unnest(string_split(content, chr(10))) AS line FROM log WHERE kind = 'tool_output' AND content IS NOT NULL) SELECT DISTINCT id, lower(regexp_extract(line, '{X.PATH_LINE}', 1)) || ':' || regexp_extract(line, '{X.PATH_LINE}', 2) AS place FROM l WHERE regexp_matches(line, '{X.PATH_LINE}')")
 def g03(spark, d):
-    lines = log(spark, d).where("kind = 'tool_output' and content is not null").select("id", F.explode(F.split("content", "\n")).alias("line")).where(F.col("line").rlike(X.PATH_LINE))
+    lines = log(spark, d, "kind = 'tool_output' and content is not null").select("id", F.explode(F.split("content", "\n")).alias("line")).where(F.col("line").rlike(X.PATH_LINE))
     return lines.select("id", F.concat(F.lower(F.regexp_extract("line", X.PATH_LINE, 1)), F.lit(":"), F.regexp_extract("line", X.PATH_LINE, 2)).alias("place")).distinct()
 
 
 @query("g05_generic_view", f"WITH {SQL_LOG}, s AS (SELECT id, string_split(content, chr(10)) AS l FROM log WHERE kind = 'tool_output' AND content IS NOT NULL) SELECT id, len(l) AS n_lines, array_to_string(l[1:2], chr(10)) AS head, l[len(l)] AS last FROM s")
 def g05(spark, d):
-    rows = log(spark, d).where("kind = 'tool_output' and content is not null").select("id", F.split("content", "\n").alias("l"))
+    rows = log(spark, d, "kind = 'tool_output' and content is not null").select("id", F.split("content", "\n").alias("l"))
     return rows.select("id", F.size("l").alias("n_lines"), F.array_join(F.slice("l", 1, 2), "\n").alias("head"), F.try_element_at("l", F.lit(-1)).alias("last"))
 
 
@@ -99,13 +99,13 @@ def g07(spark, d):
     """Protected lines of each output and how many a one-line head would lose."""
     lines = F.split("content", "\n")
     kept = F.array_distinct(F.filter(lines, lambda x: x.rlike(X.SUMMARY)))
-    return log(spark, d).where("kind = 'tool_output' and content is not null").select("id", F.size(kept).alias("n_protected"), F.size(F.array_except(kept, F.slice(lines, 1, 1))).alias("n_lost"))
+    return log(spark, d, "kind = 'tool_output' and content is not null").select("id", F.size(kept).alias("n_protected"), F.size(F.array_except(kept, F.slice(lines, 1, 1))).alias("n_lost"))
 
 
 @query("g08_reduction_savings", f"WITH {SQL_LOG}, t AS (SELECT origin_adapter, {_SQL_TOKENS} AS raw, least({_SQL_TOKENS}, 40) AS emitted FROM log WHERE kind = 'tool_output') SELECT origin_adapter, CAST(sum(raw) AS BIGINT) AS raw, CAST(sum(emitted) AS BIGINT) AS emitted, round(1 - sum(emitted) / sum(raw), 6) AS saved FROM t GROUP BY 1")
 def g08(spark, d):
     raw = F.coalesce(X.token_estimate(F.col("content")), F.lit(0))
-    rows = log(spark, d).where("kind = 'tool_output'").select("origin_adapter", raw.alias("raw"), F.least(raw, F.lit(40)).alias("emitted"))
+    rows = log(spark, d, "kind = 'tool_output'").select("origin_adapter", raw.alias("raw"), F.least(raw, F.lit(40)).alias("emitted"))
     return rows.groupBy("origin_adapter").agg(F.sum("raw").alias("raw"), F.sum("emitted").alias("emitted"), F.round(1 - F.sum("emitted") / F.sum("raw"), 6).alias("saved"))
 
 
@@ -127,7 +127,7 @@ def g10(spark, d):
 
 @query("g12_latest_snapshot", f"WITH {SQL_LOG} SELECT branch_id, max(seq) AS cursor, arg_max(id, seq) AS id FROM log WHERE kind = 'state' GROUP BY 1")
 def g12(spark, d):
-    return log(spark, d).where("kind = 'state'").groupBy("branch_id").agg(F.max("seq").alias("cursor"), F.max_by("id", "seq").alias("id"))
+    return log(spark, d, "kind = 'state'").groupBy("branch_id").agg(F.max("seq").alias("cursor"), F.max_by("id", "seq").alias("id"))
 
 
 @query("g13_closed_facts", f"WITH {SQL_MEMORIES} SELECT id, lead(id) OVER w AS closed_by, epoch_us(lead(created_at) OVER w) AS closed_us FROM mem WINDOW w AS (PARTITION BY example_id, memory_type ORDER BY ord, id)")
@@ -213,7 +213,7 @@ def g23(spark, d):
 
 @query("g26_native_failures", f"WITH {SQL_LOG}, c AS (SELECT json_extract_string(payload_json, '$.call_id') AS call_id, * FROM log WHERE kind IN ('tool_call', 'tool_output')) SELECT b.id, a.content AS tool FROM c a JOIN c b ON a.call_id = b.call_id AND a.kind = 'tool_call' AND b.kind = 'tool_output' WHERE regexp_matches(b.content, '{X.FAILURE}')")
 def g26(spark, d):
-    rows = log(spark, d).where("kind in ('tool_call', 'tool_output')").withColumn("call_id", F.get_json_object("payload_json", "$.call_id"))
+    rows = log(spark, d, "kind in ('tool_call', 'tool_output')").withColumn("call_id", F.get_json_object("payload_json", "$.call_id"))
     calls = rows.where("kind = 'tool_call'").select("call_id", F.col("content").alias("tool"))
     failed = rows.where((F.col("kind") == "tool_output") & F.col("content").rlike(X.FAILURE)).select("call_id", "id")
     return failed.join(calls, "call_id").select("id", "tool")

@@ -32,7 +32,7 @@ _OWN = terms_sql('content')
 SELECT id, round(least(1.0, 0.7 * n / {len(set(QUERY.split()))} + 0.15 * sqrt(n / greatest(len(own), 1)) + CASE WHEN contains(low, '{QUERY}') THEN 0.15 ELSE 0 END), 6) AS score FROM o""",
 )
 def f03(spark, d):
-    return log(spark, d).where("content is not null").select("id", F.round(X.lexical_relevance(QUERY, F.col("content")), 6).alias("score"))
+    return log(spark, d, "content is not null").select("id", F.round(X.lexical_relevance(QUERY, F.col("content")), 6).alias("score"))
 
 
 @query("f04_freshness", f"WITH {SQL_LOG} SELECT id, round(exp(-ln(2) * greatest((epoch_us(TIMESTAMP '2024-02-01 00:00:00') - epoch_us(created_at)) / 86400000000.0, 0) / 30.0), 6) AS freshness FROM log")
@@ -44,7 +44,7 @@ def f04(spark, d):
 @query("f05_exact_identifiers")
 def f05(spark, d):
     found = X.exact_identifiers(F.col("content"))
-    return log(spark, d).where(F.size(found) > 0).select("id", F.array_join(found, " ").alias("identifiers"))
+    return log(spark, d, F.size(found) > 0).select("id", F.array_join(found, " ").alias("identifiers"))
 
 
 @query("f06_holds_identifiers", "SELECT DISTINCT q.id FROM finalization_quarantine q WHERE contains(lower(q.id || chr(10) || q.source_event_id), lower(q.source_event_id)) AND contains(lower(q.source_event_id), 'a')")
@@ -85,7 +85,7 @@ def f13(spark, d):
 
 @query("f12_framed_untrusted", f"WITH {SQL_LOG} SELECT id, md5('<untrusted>' || chr(10) || replace(content, '</untrusted>', '&lt;/untrusted&gt;') || chr(10) || '</untrusted>') AS digest FROM log WHERE kind = 'tool_output' AND content IS NOT NULL")
 def f12(spark, d):
-    return log(spark, d).where("kind = 'tool_output' and content is not null").select("id", F.md5(X.escape_untrusted(F.col("content"))).alias("digest"))
+    return log(spark, d, "kind = 'tool_output' and content is not null").select("id", F.md5(X.escape_untrusted(F.col("content"))).alias("digest"))
 
 
 @query("f14_row_digests", f"WITH {SQL_LOG} SELECT seq, sha256(concat_ws(chr(31), id, branch_id, kind, coalesce(content, ''))) AS digest FROM log")
@@ -117,18 +117,18 @@ def f18(spark, d):
 @query("f19_commands", f"WITH {SQL_LOG} SELECT content AS command, count(*) AS n FROM log WHERE kind = 'tool_call' AND (content = 'shell' OR starts_with(content, 'read_')) GROUP BY 1")
 def f19(spark, d):
     hit = (F.col("content") == "shell") | F.col("content").startswith("read_")
-    return log(spark, d).where((F.col("kind") == "tool_call") & hit).groupBy(F.col("content").alias("command")).agg(F.count(F.lit(1)).alias("n"))
+    return log(spark, d, (F.col("kind") == "tool_call") & hit).groupBy(F.col("content").alias("command")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("f20_first_failure", rf"WITH {SQL_LOG} SELECT id, substr(list_filter(list_transform(string_split_regex(content, '\r\n?|\n'), lambda l: trim(regexp_replace(l, '[\s\p{{Z}}]+', ' ', 'g'))), lambda l: regexp_matches(l, '{X.FAILURE}'))[1], 1, 240) AS line FROM log WHERE kind = 'tool_output' AND content IS NOT NULL")
 def f20(spark, d):
-    return log(spark, d).where("kind = 'tool_output' and content is not null").select("id", X.first_failure_line(F.col("content")).alias("line"))
+    return log(spark, d, "kind = 'tool_output' and content is not null").select("id", X.first_failure_line(F.col("content")).alias("line"))
 
 
 @query("f21_low_information", rf"WITH {SQL_LOG} SELECT id FROM log WHERE kind = 'tool_output' AND regexp_matches(content, '{X.FAILURE}') AND length(trim(content)) < 60")
 def f21(spark, d):
     """Failures that say nothing but that something failed."""
-    return log(spark, d).where((F.col("kind") == "tool_output") & F.col("content").rlike(X.FAILURE) & (F.length(F.trim("content")) < 60)).select("id")
+    return log(spark, d, (F.col("kind") == "tool_output") & F.col("content").rlike(X.FAILURE) & (F.length(F.trim("content")) < 60)).select("id")
 
 
 _SQL_FAMILY = "CASE " + " ".join(f"WHEN regexp_matches(lower(content), '{'|'.join(w)}') THEN '{n}'" for n, w in X.FAMILIES) + " ELSE 'generic' END"
@@ -136,12 +136,12 @@ _SQL_FAMILY = "CASE " + " ".join(f"WHEN regexp_matches(lower(content), '{'|'.joi
 
 @query("f22_tool_family", f"WITH {SQL_LOG} SELECT {_SQL_FAMILY} AS family, count(*) AS n FROM log WHERE kind = 'tool_call' AND content IS NOT NULL GROUP BY 1")
 def f22(spark, d):
-    return log(spark, d).where("kind = 'tool_call' and content is not null").groupBy(X.family(F.col("content")).alias("family")).agg(F.count(F.lit(1)).alias("n"))
+    return log(spark, d, "kind = 'tool_call' and content is not null").groupBy(X.family(F.col("content")).alias("family")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("f23_critical_signals")
 def f23(spark, d):
-    outputs = log(spark, d).where("kind = 'tool_output' and content is not null")
+    outputs = log(spark, d, "kind = 'tool_output' and content is not null")
     return outputs.select("id", F.explode(X.critical_signals(F.col("content"), True)).alias("signal"))
 
 
@@ -154,7 +154,7 @@ def f25(spark, d):
 
 @query("f26_questions", rf"WITH {SQL_LOG} SELECT id FROM log WHERE kind = 'message' AND regexp_matches(content, '[?？][\s\p{{Z}})\]*]*$')")
 def f26(spark, d):
-    return log(spark, d).where((F.col("kind") == "message") & F.col("content").rlike(r"[?？][\s\p{Z})\]*]*$")).select("id")
+    return log(spark, d, (F.col("kind") == "message") & F.col("content").rlike(r"[?？][\s\p{Z})\]*]*$")).select("id")
 
 
 _MARKER = r"(?i)^\s*(goal|constraint|decision|task|todo|fact|preference|failed|failure|lesson|next step|done)\s*:\s*(\S.*)$"
@@ -162,7 +162,7 @@ _MARKER = r"(?i)^\s*(goal|constraint|decision|task|todo|fact|preference|failed|f
 
 @query("f27_marker_lines", rf"WITH {SQL_LOG}, l AS (SELECT id, unnest(string_split(content, chr(10))) AS line FROM log WHERE content IS NOT NULL) SELECT id, lower(regexp_extract(line, '{_MARKER}', 1)) AS marker, regexp_extract(line, '{_MARKER}', 2) AS said FROM l WHERE regexp_matches(line, '{_MARKER}')")
 def f27(spark, d):
-    rows = log(spark, d).where("content is not null").select("id", F.explode(F.split("content", "\n")).alias("line")).where(F.col("line").rlike(_MARKER))
+    rows = log(spark, d, "content is not null").select("id", F.explode(F.split("content", "\n")).alias("line")).where(F.col("line").rlike(_MARKER))
     return rows.select("id", F.lower(F.regexp_extract("line", _MARKER, 1)).alias("marker"), F.regexp_extract("line", _MARKER, 2).alias("said"))
 
 
@@ -198,7 +198,7 @@ def f36(spark, d):
 @query("f38_model_cost", f"WITH {SQL_LOG} SELECT session_id, round(sum(strlen(content) * 3.0 / 1000000), 6) AS cost FROM log WHERE content IS NOT NULL AND role = 'assistant' GROUP BY 1")
 def f38(spark, d):
     cost = F.sum(F.octet_length("content") * F.lit(3.0) / 1000000)
-    return log(spark, d).where("content is not null and role = 'assistant'").groupBy("session_id").agg(F.round(cost, 6).alias("cost"))
+    return log(spark, d, "content is not null and role = 'assistant'").groupBy("session_id").agg(F.round(cost, 6).alias("cost"))
 
 
 @query("f39_trust", f"WITH {SQL_LOG} SELECT CASE WHEN origin_channel = 'hook' AND role = 'user' THEN 'host_logical_user' WHEN origin_channel = 'hook' AND role = 'assistant' AND origin_adapter IS NOT NULL THEN 'host_assistant' WHEN origin_channel = 'host' THEN 'local_operator' ELSE 'external_untrusted' END AS trust, count(*) AS n FROM log GROUP BY 1")

@@ -54,13 +54,13 @@ def s02(spark, d):
 
 @query("s03_events_by_operation", f"WITH {SQL_LOG} SELECT seq, id, kind FROM log WHERE json_extract_string(payload_json, '$.hook') = 'PostTool'")
 def s03(spark, d):
-    return log(spark, d).where(F.get_json_object("payload_json", "$.hook") == "PostTool").select("seq", "id", "kind")
+    return log(spark, d, F.get_json_object("payload_json", "$.hook") == "PostTool").select("seq", "id", "kind")
 
 
 @query("s04_completion_evidence", f"WITH {SQL_LOG} SELECT seq, id, content FROM log WHERE kind = 'tool_output' AND origin_channel = 'hook' AND seq > (SELECT max(seq) // 2 FROM event_log)")
 def s04(spark, d):
     middle = read(spark, d, "event_log").agg(F.expr("max(seq) div 2").alias("middle"))
-    rows = log(spark, d).where("kind = 'tool_output' and origin_channel = 'hook'")
+    rows = log(spark, d, "kind = 'tool_output' and origin_channel = 'hook'")
     return rows.join(F.broadcast(middle), F.col("seq") > F.col("middle")).select("seq", "id", "content")
 
 
@@ -73,7 +73,7 @@ def s05(spark, d):
 @query("s06_preceding_events", f"WITH {SQL_LOG}, said AS (SELECT * FROM log WHERE kind = 'message' AND role IN ('user', 'assistant')) SELECT id, lag(id, 1) OVER w AS before_1, lag(id, 2) OVER w AS before_2 FROM said WINDOW w AS (PARTITION BY branch_id, seq // 50000 ORDER BY seq)")
 def s06(spark, d):
     """The two messages before each message of a branch, however far back."""
-    said = log(spark, d).where(F.col("kind").eqNullSafe("message") & F.col("role").isin("user", "assistant")).select("id", "branch_id", "seq")
+    said = log(spark, d, F.col("kind").eqNullSafe("message") & F.col("role").isin("user", "assistant")).select("id", "branch_id", "seq")
     one = O.with_previous(said, ["branch_id"], "seq", "id", "before_1")
     return O.with_previous(one, ["branch_id"], "seq", "before_1", "before_2").select("id", "before_1", "before_2")
 
@@ -116,7 +116,7 @@ def s19(spark, d):
 def s21(spark, d):
     """Assistant events that an index of quarantined sources does not hold yet."""
     done = read(spark, d, "finalization_quarantine").select(F.col("source_event_id").alias("id")).distinct()
-    return log(spark, d).where("role = 'assistant'").join(done, "id", "left_anti").select("id")
+    return log(spark, d, "role = 'assistant'").join(done, "id", "left_anti").select("id")
 
 
 @query("v01_branch_lineage", f"WITH RECURSIVE {SQL_LINES} SELECT branch, ancestor, cutoff, distance FROM lines")
@@ -179,13 +179,13 @@ def v09(spark, d):
 
 @query("v10_active_blocks", f"WITH {SQL_LOG} SELECT branch_id, arg_max(id, seq) AS id, max(seq) AS seq, arg_max(content, seq) AS content FROM log WHERE kind = 'memory_block' AND content IS NOT NULL GROUP BY 1")
 def v10(spark, d):
-    return L.active_blocks(log(spark, d).where("content is not null"))
+    return L.active_blocks(log(spark, d, "content is not null"))
 
 
 @query("v11_block_budget", f"WITH {SQL_LOG} SELECT branch_id, count(*) AS versions, CAST(sum(strlen(content)) AS BIGINT) AS bytes, sum(strlen(content)) > 3000 AS over_budget FROM log WHERE kind = 'memory_block' AND content IS NOT NULL GROUP BY 1")
 def v11(spark, d):
     size = F.sum(F.octet_length("content"))
-    return log(spark, d).where("kind = 'memory_block' and content is not null").groupBy("branch_id").agg(F.count(F.lit(1)).alias("versions"), size.alias("bytes"), (size > 3000).alias("over_budget"))
+    return log(spark, d, "kind = 'memory_block' and content is not null").groupBy("branch_id").agg(F.count(F.lit(1)).alias("versions"), size.alias("bytes"), (size > 3000).alias("over_budget"))
 
 
 @query("v13_provenance", f"WITH {SQL_MEMORIES} SELECT m.id, l.id AS event_id, l.kind, l.role FROM mem m JOIN log l ON l.id = m.source_event_id")
@@ -202,7 +202,7 @@ def v14(spark, d):
 
 @query("v15_source_violations", "SELECT DISTINCT q.id, q.source_event_id FROM finalization_quarantine q LEFT JOIN event_log e ON e.id = q.source_event_id AND lower(trim(e.role)) = 'assistant' WHERE e.id IS NULL")
 def v15(spark, d):
-    sources = log(spark, d).where("role = 'assistant'").select(F.col("id").alias("source_event_id"))
+    sources = log(spark, d, "role = 'assistant'").select(F.col("id").alias("source_event_id"))
     return read(spark, d, "finalization_quarantine").select("id", "source_event_id").distinct().join(sources, "source_event_id", "left_anti").select("id", "source_event_id")
 
 
@@ -215,7 +215,7 @@ def v16(spark, d):
 @query("v17_eligible_memories", f"WITH {SQL_MEMORIES} SELECT m.id FROM mem m LEFT JOIN log l ON l.id = m.source_event_id AND l.role = 'assistant' WHERE l.id IS NULL")
 def v17(spark, d):
     """Facts that no assistant message stands behind."""
-    own = log(spark, d).where("role = 'assistant'").select(F.col("id").alias("source_event_id"))
+    own = log(spark, d, "role = 'assistant'").select(F.col("id").alias("source_event_id"))
     return memories(spark, d).join(own, "source_event_id", "left_anti").select("id")
 
 

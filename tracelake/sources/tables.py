@@ -7,7 +7,7 @@ supersedes the one before it, and the fact enters the log at ``cursor_seq``.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: The facts of ordinal n enter the log at event n * ORD_STEP + 1.
@@ -18,10 +18,15 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events once per id; roles without case and outer blanks."""
+def log(spark: SparkSession, sf_dir: str, where: Column | str | None = None) -> DataFrame:
+    """Events once per id; roles without case and outer blanks.
+
+    A repeated delivery agrees with the first in all columns, so ``where`` is applied before they are
+    counted once: it reaches the scan, and only rows that fulfil it are shuffled.
+    """
     rows = read(spark, sf_dir, "event_log").select("seq", "id", "branch_id", "session_id", "kind", "role", "origin_channel", "origin_adapter", "content", "payload_json", "files", "created_at", "previous_hash", "content_hash", "chain_hash")
-    return rows.dropDuplicates(["id"]).withColumn("role", F.lower(F.trim("role")))
+    rows = rows.withColumn("role", F.lower(F.trim("role")))
+    return (rows if where is None else rows.where(where)).dropDuplicates(["id"])
 
 
 def branches(spark: SparkSession, sf_dir: str) -> DataFrame:
