@@ -42,6 +42,16 @@ def with_running_sum(rows: DataFrame, keys: list[str], order: str, value: Column
     return joined.select("l.*", "r._carry").withColumn(name, F.col("_carry") + F.coalesce("_inside", F.lit(0))).select(*rows.columns, name)
 
 
+def with_running_min(rows: DataFrame, keys: list[str], order: str, value: Column, name: str, width: int = WIDTH) -> DataFrame:
+    """``rows`` with ``name``: the least of ``value`` over the key's rows up to and with this one."""
+    cut, by = _ranged(rows.withColumn("_value", value), keys, order, width)
+    lows = cut.groupBy(*by).agg(F.min("_value").alias("_low"))
+    carry = lows.select(*by, F.min("_low").over(Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)).alias("_carry"))
+    inside = cut.withColumn("_inside", F.min("_value").over(Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)))
+    joined = inside.alias("l").join(carry.alias("r"), [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in by])
+    return joined.select("l.*", "r._carry").withColumn(name, F.least("_inside", "_carry")).select(*rows.columns, name)
+
+
 def with_next_where(rows: DataFrame, keys: list[str], order: str, condition: Column, name: str, width: int = WIDTH) -> DataFrame:
     """``rows`` with ``name``: the order value of the next row of the key, after this one, that fulfils ``condition``."""
     cut, by = _ranged(rows.withColumn("_at", F.when(condition, F.col(order))), keys, order, width)

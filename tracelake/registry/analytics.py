@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tracelake.functions import text as X
+from tracelake.operators import assembly as A
 from tracelake.plans import ordered as O
 from tracelake.registry import query
 from tracelake.sources.tables import SQL_LOG, SQL_MEMORIES, log, memories, read
@@ -262,15 +263,15 @@ def w15(spark, d):
     return rows.select("id", "gap", F.coalesce(F.col("gap") >= 20, F.lit(True)).alias("allowed"))
 
 
-@query("w17_fanout_cap", f"WITH {SQL_MEMORIES}, r AS (SELECT memory_type, id, row_number() OVER (PARTITION BY memory_type ORDER BY confidence DESC, id) AS place FROM mem) SELECT memory_type, id FROM r WHERE place <= 20")
+@query("w17_fanout_cap", f"WITH {SQL_MEMORIES}, r AS (SELECT memory_type, id, row_number() OVER (PARTITION BY memory_type ORDER BY confidence DESC, id) AS place FROM mem) SELECT memory_type, id FROM r WHERE place <= 200")
 def w17(spark, d):
-    place = F.row_number().over(Window.partitionBy("memory_type").orderBy(F.desc("confidence"), "id"))
-    return memories(spark, d).select("memory_type", "id", place.alias("place")).where("place <= 20").select("memory_type", "id")
+    """The two hundred surest facts of each type: those of salted parts first, then of what they leave."""
+    return A.first_of_each(memories(spark, d).select("memory_type", "id", "confidence"), ["memory_type"], [F.desc("confidence")], F.lit(200)).select("memory_type", "id")
 
 
-@query("w18_newest", f"WITH {SQL_MEMORIES} SELECT id FROM mem ORDER BY created_at DESC, id LIMIT 200")
+@query("w18_newest", f"WITH {SQL_MEMORIES} SELECT id FROM mem ORDER BY created_at DESC, id LIMIT 2000")
 def w18(spark, d):
-    return memories(spark, d).orderBy(F.desc("created_at"), "id").limit(200).select("id")
+    return memories(spark, d).orderBy(F.desc("created_at"), "id").limit(2000).select("id")
 
 
 # ---- joins and sets

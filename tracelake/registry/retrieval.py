@@ -69,10 +69,10 @@ def r04(spark, d):
     return log(spark, d, "content is not null").select("id", F.round(R.event_score(X.lexical_relevance(QUERY, F.col("content")), _fresh()), 6).alias("score"))
 
 
-@query("r05_fallback_scan", f"WITH {SQL_LOG}, s AS (SELECT id, seq, {_rel_sql(QUERY)} AS relevance FROM log WHERE content IS NOT NULL) SELECT id, round(relevance, 6) AS relevance FROM s WHERE relevance > 0.05 ORDER BY round(relevance, 6) DESC, seq DESC LIMIT 100")
+@query("r05_fallback_scan", f"WITH {SQL_LOG}, s AS (SELECT id, seq, {_rel_sql(QUERY)} AS relevance FROM log WHERE content IS NOT NULL) SELECT id, round(relevance, 6) AS relevance FROM s WHERE round(relevance, 6) > 0.05")
 def r05(spark, d):
     rows = log(spark, d, "content is not null").select("id", "seq", F.round(X.lexical_relevance(QUERY, F.col("content")), 6).alias("relevance"))
-    return rows.where("relevance > 0.05").orderBy(F.desc("relevance"), F.desc("seq")).limit(100).select("id", "relevance")
+    return rows.where("relevance > 0.05").select("id", "relevance")
 
 
 @query(

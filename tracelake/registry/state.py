@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tracelake.functions import text as X
 from tracelake.operators import assembly as A
 from tracelake.operators import chain
+from tracelake.operators import pairing as P
 from tracelake.plans import ordered as O
 from tracelake.registry import query
 from tracelake.registry.analytics import _SQL_TOKENS, _SQL_USE, usage
@@ -37,17 +38,51 @@ def pack03(spark, d):
     return rows.select("example_id", F.array_join(F.transform("lines", lambda x: x["line"]), "\n").alias("rendered"))
 
 
-@query("pack04_newest_groups", f"WITH {_SQL_USE}, g AS (SELECT session_id, seq // 50 AS grp, sum(tokens) AS tokens FROM u WHERE session_id IS NOT NULL GROUP BY 1, 2), s AS (SELECT *, sum(tokens) OVER (PARTITION BY session_id ORDER BY grp DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS spent FROM g) SELECT session_id, grp, CAST(spent AS BIGINT) AS spent FROM s WHERE spent <= 1500")
+_SQL_GROUPS = f"""{_SQL_USE}, tr AS (SELECT id, session_id, seq, kind, json_extract_string(payload_json, '$.call_id') AS call_id FROM log WHERE session_id IS NOT NULL AND kind IN ('message', 'tool_call', 'tool_output')),
+s1 AS (SELECT *, CASE WHEN kind = 'tool_call' THEN 1 ELSE -1 END AS step FROM tr WHERE call_id IS NOT NULL AND kind <> 'message'),
+d1 AS (SELECT *, sum(step) OVER (PARTITION BY session_id, call_id ORDER BY seq) AS depth FROM s1),
+l1 AS (SELECT *, depth - least(0, min(depth) OVER (PARTITION BY session_id, call_id ORDER BY seq)) + CASE WHEN step = 1 THEN 0 ELSE 1 END AS level FROM d1),
+p1 AS (SELECT seq, step, lag(CASE WHEN step = 1 THEN seq END) OVER (PARTITION BY session_id, call_id, level ORDER BY seq) AS own FROM l1),
+n1 AS (SELECT seq, own FROM p1 WHERE step = -1 AND own IS NOT NULL),
+s2 AS (SELECT *, CASE WHEN kind = 'tool_call' THEN 1 ELSE -1 END AS step FROM tr WHERE kind <> 'message' AND seq NOT IN (SELECT seq FROM n1 UNION ALL SELECT own FROM n1)),
+d2 AS (SELECT *, sum(step) OVER (PARTITION BY session_id ORDER BY seq) AS depth FROM s2),
+l2 AS (SELECT *, depth - least(0, min(depth) OVER (PARTITION BY session_id ORDER BY seq)) + CASE WHEN step = 1 THEN 0 ELSE 1 END AS level FROM d2),
+p2 AS (SELECT seq, step, lag(CASE WHEN step = 1 THEN seq END) OVER (PARTITION BY session_id, level ORDER BY seq) AS own FROM l2),
+pairs AS (SELECT seq, own FROM n1 UNION ALL SELECT seq, own FROM p2 WHERE step = -1 AND own IS NOT NULL),
+grp AS (SELECT tr.id, tr.session_id, tr.seq, tr.kind, coalesce(pairs.own, tr.seq) AS grp FROM tr LEFT JOIN pairs ON pairs.seq = tr.seq WHERE tr.kind <> 'tool_output' OR pairs.own IS NOT NULL)"""
+
+
+def groups(spark, d):
+    """(session_id, id, seq, kind, grp): the interaction groups of each session."""
+    return P.call_groups(log(spark, d, "session_id is not null"), ["session_id"]).select("session_id", "id", "seq", "kind", "grp")
+
+
+#: The room for a session's context, and of it what is kept for retrieval.
+CONTEXT_TOKENS, RESERVE = 1500, min(400, 1500 // 3)
+
+
+@query("pack04_newest_groups", f"WITH {_SQL_GROUPS}, g AS (SELECT grp.session_id, grp, sum(tokens) AS tokens FROM grp JOIN u ON u.id = grp.id GROUP BY 1, 2 HAVING sum(tokens) > 0), s AS (SELECT *, sum(tokens) OVER (PARTITION BY session_id ORDER BY grp DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS spent FROM g) SELECT session_id, grp, CAST(spent AS BIGINT) AS spent FROM s WHERE spent <= {CONTEXT_TOKENS - RESERVE}")
 def pack04(spark, d):
-    """The newest complete groups of each session within 1500 tokens."""
-    groups = usage(spark, d).where("session_id is not null").groupBy("session_id", F.expr("seq div 50").alias("grp")).agg(F.sum("tokens").alias("tokens"))
-    return A.prefix_within(groups, ["session_id"], [F.desc("grp")], "tokens", 1500).select("session_id", "grp", "spent")
+    """The newest complete groups of each session within the room that the reserve for retrieval leaves; groups without text take none."""
+    sized = groups(spark, d).join(usage(spark, d).select("id", "tokens"), "id").groupBy("session_id", "grp").agg(F.sum("tokens").alias("tokens")).where("tokens > 0")
+    rows = sized.withColumn("id", F.col("grp"))
+    return A.prefix_within(rows, ["session_id"], [F.desc("grp")], "tokens", CONTEXT_TOKENS - RESERVE).select("session_id", "grp", "spent")
+
+
+@query("pack06_active_files", f"WITH {_SQL_GROUPS}, o AS (SELECT session_id, grp, dense_rank() OVER (PARTITION BY session_id ORDER BY grp DESC) AS back FROM (SELECT DISTINCT session_id, grp FROM grp)), f AS (SELECT grp.session_id, grp.id, o.back, unnest(l.files) AS file FROM grp JOIN o ON o.session_id = grp.session_id AND o.grp = grp.grp JOIN log l ON l.id = grp.id WHERE o.back <= 40), act AS (SELECT DISTINCT session_id, file FROM f WHERE back <= 5) SELECT DISTINCT f.session_id, f.id, act.file IS NOT NULL AS held FROM f LEFT JOIN act ON act.session_id = f.session_id AND act.file = f.file")
+def pack06(spark, d):
+    """Of the last forty groups of each session, the rows that name files: held as they are where a file is one of the last five groups'."""
+    rows = groups(spark, d)
+    heads = O.last_of_each(rows.where("seq = grp").select("session_id", "seq", "grp"), ["session_id"], "seq", 40).select("session_id", "grp", "back")
+    named = rows.join(heads, ["session_id", "grp"]).join(log(spark, d, "size(files) > 0").select("id", F.explode("files").alias("file")), "id")
+    active = named.where("back <= 5").select("session_id", "file").distinct().withColumn("held", F.lit(True))
+    return named.join(active, ["session_id", "file"], "left").select("session_id", "id", F.coalesce("held", F.lit(False)).alias("held")).distinct()
 
 
-@query("pack05_folded_bodies", f"WITH {SQL_LOG}, f AS (SELECT id, first_value(id) OVER (PARTITION BY md5(content) ORDER BY seq) AS first_id FROM log WHERE length(content) >= 120) SELECT id, first_id AS same_as FROM f WHERE id <> first_id")
+@query("pack05_folded_bodies", f"WITH {SQL_LOG}, f AS (SELECT id, first_value(id) OVER (PARTITION BY md5(content) ORDER BY seq) AS first_id FROM log WHERE length(content) >= 240) SELECT id, first_id AS same_as FROM f WHERE id <> first_id")
 def pack05(spark, d):
     rows = log(spark, d).select("id", "seq", "content")
-    return A.folded(rows, "content", "seq", 120).where("same_as is not null").select("id", "same_as")
+    return A.folded(rows, "content", "seq").where("same_as is not null").select("id", "same_as")
 
 
 @query("pack07_index_lines", rf"WITH {SQL_LOG} SELECT id, seq || ' ' || kind || ' ' || substr(trim(regexp_replace(content, '[\s\p{{Z}}]+', ' ', 'g')), 1, 80) AS line FROM log WHERE content IS NOT NULL AND NOT regexp_matches(content, '{X.FAILURE}')")
@@ -74,9 +109,15 @@ def pack11(spark, d):
 # ---- reduction and state
 
 
-@query("g01_interaction_groups", f"WITH {SQL_LOG} SELECT id, CAST(sum(CASE WHEN kind = 'message' AND role = 'user' THEN 1 ELSE 0 END) OVER (PARTITION BY session_id, seq // 50000 ORDER BY seq) AS BIGINT) AS grp FROM log WHERE session_id IS NOT NULL")
+@query("g01_call_groups", f"WITH {_SQL_GROUPS} SELECT id, grp FROM grp")
+def g01_calls(spark, d):
+    """Messages, calls and outputs of a session by group: outputs with their call, outputs without one left out."""
+    return groups(spark, d).select("id", "grp")
+
+
+@query("g01_interaction_groups", f"WITH {SQL_LOG} SELECT id, CAST(sum(CASE WHEN kind = 'message' AND role = 'user' THEN 1 ELSE 0 END) OVER (PARTITION BY session_id ORDER BY seq) AS BIGINT) AS grp FROM log WHERE session_id IS NOT NULL")
 def g01(spark, d):
-    """Events of a session by the user's message that they follow, over the whole session."""
+    """Events of a session by the number of the user's message that they follow, over the whole session."""
     opens = ((F.col("kind") == "message") & F.coalesce(F.col("role") == "user", F.lit(False))).cast("int")
     rows = log(spark, d, "session_id is not null").select("id", "session_id", "seq", opens.alias("opens"))
     return O.with_running_sum(rows, ["session_id"], "seq", F.col("opens"), "grp").select("id", "grp")

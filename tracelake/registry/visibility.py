@@ -70,7 +70,7 @@ def s05(spark, d):
     return L.without_superseded(rows).select("id", "memory_type", "content")
 
 
-@query("s06_preceding_events", f"WITH {SQL_LOG}, said AS (SELECT * FROM log WHERE kind = 'message' AND role IN ('user', 'assistant')) SELECT id, lag(id, 1) OVER w AS before_1, lag(id, 2) OVER w AS before_2 FROM said WINDOW w AS (PARTITION BY branch_id, seq // 50000 ORDER BY seq)")
+@query("s06_preceding_events", f"WITH {SQL_LOG}, said AS (SELECT * FROM log WHERE kind = 'message' AND role IN ('user', 'assistant')) SELECT id, lag(id, 1) OVER w AS before_1, lag(id, 2) OVER w AS before_2 FROM said WINDOW w AS (PARTITION BY branch_id ORDER BY seq)")
 def s06(spark, d):
     """The two messages before each message of a branch, however far back."""
     said = log(spark, d, F.col("kind").eqNullSafe("message") & F.col("role").isin("user", "assistant")).select("id", "branch_id", "seq")
