@@ -103,3 +103,93 @@ def coarse_age(seconds: Column) -> Column:
         .when(seconds < 86400, F.concat(F.floor(seconds / 3600).cast("string"), F.lit("h")))
         .otherwise(F.concat(F.floor(seconds / 86400).cast("string"), F.lit("d")))
     )
+
+
+# Words for days, for windows some time ago (days back to the start and to the end) and for the period before this one.
+DAY_WORDS = (("today", 0), ("сегодня", 0), ("yesterday", -1), ("вчера", -1), ("tomorrow", 1), ("завтра", 1))
+AGO = (
+    ("a couple of days ago|пару дней назад", 3, 1),
+    ("a few days ago|несколько дней назад", 5, 2),
+    ("a couple of weeks ago|пару недель назад", 21, 7),
+    ("a few weeks ago|несколько недель назад", 35, 14),
+    ("a few months ago|несколько месяцев назад", 150, 60),
+)
+LAST = (("last week|на прошлой неделе|прошлую неделю", "week"), ("last month|в прошлом месяце|прошлый месяц", "month"), ("last year|в прошлом году|прошлый год", "year"))
+# Names of the months in their written forms; those that are other words too count only with a year.
+MONTH_NAMES = (
+    "january январь января январе", "february февраль февраля феврале", "march март марта марте", "april апрель апреля апреле", "may май мая мае", "june июнь июня июне",
+    "july июль июля июле", "august август августа августе", "september сентябрь сентября сентябре", "october октябрь октября октябре", "november ноябрь ноября ноябре", "december декабрь декабря декабре",
+)
+WITH_YEAR = ("may", "march", "august")
+
+
+def whole_words(pattern: str) -> str:
+    """A pattern, in group 2, that no letter or digit touches."""
+    return rf"(?i)(^|[^\p{{L}}\p{{N}}_])({pattern})($|[^\p{{L}}\p{{N}}_])"
+
+
+_PLAIN = "|".join(w for names in MONTH_NAMES for w in names.split() if w not in WITH_YEAR)
+#: A month's name in group 3 or 5, its year in group 4 or 6.
+MONTH = whole_words(rf"({_PLAIN})(?:\.?\s+(\d{{4}}))?|({'|'.join(WITH_YEAR)})\.?\s+(\d{{4}})")
+ISO_DAY = whole_words(r"\d{4}-\d{2}-\d{2}")
+
+
+def _window(start: Column, end: Column, words: Column) -> Column:
+    return F.struct(start.cast("timestamp_ntz").alias("start"), end.cast("timestamp_ntz").alias("end"), words.alias("expression"))
+
+
+def query_window(text: Column, now: Column) -> Column:
+    """The window (start, end, expression) that a text names first by rank, half-open, null if none.
+
+    Ranked: a written day, some time ago, a day by name, the period before this one, a month with or without a year;
+    a month without one is the last that is not in the future. A written day that no calendar has is none.
+    """
+    day = F.date_trunc("day", now)
+    after = lambda start, n: start + F.make_dt_interval(days=F.lit(n))
+    months = lambda start, n: F.add_months(start.cast("date"), n)
+    written = F.regexp_extract(text, ISO_DAY, 2)
+    at = F.try_to_date(written, "yyyy-MM-dd").cast("timestamp_ntz")
+    found = [F.when(at.isNotNull(), _window(at, after(at, 1), written))]
+    for words, back, until in AGO:
+        hit = F.regexp_extract(text, whole_words(words), 2)
+        found.append(F.when(hit != "", _window(after(day, -back), after(day, -until), hit)))
+    for word, offset in DAY_WORDS:
+        found.append(F.when(text.rlike(whole_words(word)), _window(after(day, offset), after(day, offset + 1), F.lit(word))))
+    # the first period in the text, whichever it is
+    last = F.regexp_extract(text, whole_words("|".join(words for words, _ in LAST)), 2)
+    for words, unit in LAST:
+        start = F.date_trunc(unit, now)
+        before = after(start, -7) if unit == "week" else months(start, -1 if unit == "month" else -12)
+        found.append(F.when((last != "") & last.rlike(f"(?i)^(?:{words})$"), _window(before, start, last)))
+    part = lambda n: F.regexp_extract(text, MONTH, n)
+    name, year = F.lower(F.concat(part(3), part(5))), F.concat(part(4), part(6))
+    number = F.coalesce(*[F.when(name.isin(*names.split()), n) for n, names in enumerate(MONTH_NAMES, 1)])
+    own = F.when(year != "", year.try_cast("int")).otherwise(F.year(now) - F.when(number > F.month(now), 1).otherwise(0))
+    first = F.make_date(F.when(own >= 1, own), number, F.lit(1))
+    found.append(F.when((name != "") & first.isNotNull(), _window(first, months(first, 1), part(2))))
+    return F.coalesce(*found)
+
+
+def parsed_bound(raw: Column, anchor: Column) -> Column:
+    """What a written bound stands for: (lo, hi, precision, error).
+
+    A year, a month, a day, an instant with its zone, or today, yesterday, tomorrow of the anchor. Nothing written is unknown;
+    an instant without a zone is ``naive_timestamp``, a relative day without an anchor ``relative_without_anchor``, a date that
+    no calendar has ``invalid_calendar_value``, anything else ``unparseable_temporal``.
+    """
+    text, none = F.trim(raw), F.lit(None).cast("timestamp_ntz")
+    low = F.lower(text)
+    span = lambda lo, hi, precision: F.struct(lo.cast("timestamp_ntz").alias("lo"), hi.cast("timestamp_ntz").alias("hi"), F.lit(precision).alias("precision"), F.lit(None).cast("string").alias("error"))
+    wrong = lambda error: F.struct(none.alias("lo"), none.alias("hi"), F.lit(None).cast("string").alias("precision"), F.lit(error).alias("error"))
+    out = F.when(F.coalesce(text, F.lit("")) == "", span(none, none, "unknown"))
+    for word, offset in DAY_WORDS:
+        day = F.date_trunc("day", anchor) + F.make_dt_interval(days=F.lit(offset))
+        out = out.when((low == word) & anchor.isNull(), wrong("relative_without_anchor")).when(low == word, span(day, day + F.make_dt_interval(days=F.lit(1)), "day"))
+    for pattern, precision, tail, n in ((r"^\d{4}$", "year", "-01-01", 12), (r"^\d{4}-\d{2}$", "month", "-01", 1), (r"^\d{4}-\d{2}-\d{2}$", "day", "", 0)):
+        start = F.try_to_date(F.concat(text, F.lit(tail)), "yyyy-MM-dd")
+        end = F.add_months(start, n) if n else F.date_add(start, 1)
+        out = out.when(text.rlike(pattern) & start.isNotNull(), span(start, end, precision)).when(text.rlike(pattern), wrong("invalid_calendar_value"))
+    clock = r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}(?::\d{2}(?:\.\d{1,6})?)?"
+    at = text.try_cast("timestamp").cast("timestamp_ntz")
+    zoned = text.rlike(clock + r"(?:Z|[+-]\d{2}:\d{2})$")
+    return out.when(zoned & at.isNotNull(), span(at, at, "instant")).when(text.rlike(clock + "$"), wrong("naive_timestamp")).otherwise(wrong("unparseable_temporal"))

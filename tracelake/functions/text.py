@@ -26,6 +26,7 @@ FAILURE = r"(?i)(?:\bFAIL(?:ED|URE)?\b|\bERROR\b|\bFATAL\b|\bPANIC\b|AssertionEr
 WARNING = r"(?i)(?:\bWARN(?:ING)?\b|deprecated|flaky|retry)"
 SUMMARY = r"(?i)(?:^=+\s*\d+\s+(?:passed|failed|error|skipped)|^\d+\s+(?:passed|failed|skipped|errors?)(?:\s|,|$)|^tests?\s+(?:run|passed|failed)|test result:|finished in)"
 PATH_LINE = r"(?:^|\s)([^\s:]+\.(?:py|js|ts|tsx|rs|go|java|cs|cpp|c|h)):(\d+)"
+TERMINAL_ESCAPE = r"\x1b(?:[@-Z\\-_]|\[[0-?]*[ -/]*[@-~])"
 # Families of commands, first match wins.
 FAMILIES = (
     ("test", ("pytest", "unittest", "cargo test", "go test", "npm test", "pnpm test", "yarn test", "dotnet test")),
@@ -107,7 +108,7 @@ def lines(text: Column) -> Column:
 
 
 def first_failure_line(text: Column) -> Column:
-    hits = F.filter(F.transform(lines(F.regexp_replace(text, "\x1b(?:[@-Z\\\\-_]|\\[[0-?]*[ -/]*[@-~])", "")), collapse), lambda x: x.rlike(FAILURE))
+    hits = F.filter(F.transform(lines(F.regexp_replace(text, TERMINAL_ESCAPE, "")), collapse), lambda x: x.rlike(FAILURE))
     return F.substring(F.try_element_at(hits, F.lit(1)), 1, 240)
 
 

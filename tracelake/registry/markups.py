@@ -1,10 +1,11 @@
-"""Stateful text operators, query windows and chains (f10, f24, f41, t08, t11, w11, i01, g35)."""
+"""Stateful text operators, written times and chains (f10, f24, t08, t11, w11, i01)."""
 
 from __future__ import annotations
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from tracelake.functions import temporal as T
 from tracelake.operators import chain, markup
 from tracelake.registry import query
 from tracelake.sources.tables import SQL_LOG, log, read
@@ -23,33 +24,55 @@ def f24(spark, d):
     return read(spark, d, "documents").select("doc_id", markup.zone_sizes(F.coalesce("text", F.lit(""))).alias("z")).select("doc_id", "z.*")
 
 
-@query("f41_lossless_csv")
-def f41(spark, d):
-    """Tool outputs that are JSON objects, as one-row CSV."""
-    rows = log(spark, d, "kind = 'tool_output' and content like '{%'").select("id", F.concat(F.lit("["), "content", F.lit("]")).alias("rows"))
-    return rows.select("id", markup.lossless_csv("rows").alias("csv")).where("csv is not null")
+# what was written of a fact's start: the expression, else its time to the precision that it is known to
+_SQL_RAW = "SELECT DISTINCT id, coalesce(temporal_expression, CASE valid_from_precision WHEN 'year' THEN strftime(valid_from, '%Y') WHEN 'month' THEN strftime(valid_from, '%Y-%m') WHEN 'day' THEN strftime(valid_from, '%Y-%m-%d') ELSE strftime(valid_from, '%Y-%m-%dT%H:%M:%S.%fZ') END, '') AS raw, created_at FROM candidates"
+_SQL_BOUND = f"""b AS (SELECT id, trim(raw) AS raw, lower(trim(raw)) AS low, date_trunc('day', created_at) AS day, created_at FROM ({_SQL_RAW})),
+p AS (SELECT *, CASE {' '.join(f"WHEN low = '{w}' THEN {n}" for w, n in T.DAY_WORDS)} END AS off, try_strptime(raw || CASE WHEN regexp_matches(raw, '^\d{{4}}$') THEN '-01-01' WHEN regexp_matches(raw, '^\d{{4}}-\d{{2}}$') THEN '-01' ELSE '' END, '%Y-%m-%d') AS start,
+  regexp_matches(raw, '^\d{{4}}-\d{{2}}-\d{{2}}[T ]\d{{2}}:\d{{2}}(?::\d{{2}}(?:\.\d{{1,6}})?)?(Z|[+-]\d{{2}}:\d{{2}})$') AS zoned, regexp_matches(raw, '^\d{{4}}-\d{{2}}-\d{{2}}[T ]\d{{2}}:\d{{2}}(?::\d{{2}}(?:\.\d{{1,6}})?)?$') AS naive FROM b)"""
 
 
-_ISO = r"^\d{4}-\d{2}-\d{2}$"
-
-
-@query("t08_normalized_bounds", "SELECT DISTINCT id, CASE WHEN valid_from IS NULL THEN 'unknown' WHEN valid_from_precision IN ('instant', 'day', 'month', 'year') THEN valid_from_precision ELSE 'bad_precision' END AS state, CAST(valid_from AS DATE) IS NOT NULL AND valid_to IS NOT NULL AND valid_to < valid_from AS inverted FROM candidates")
+@query(
+    "t08_normalized_bounds",
+    f"""WITH {_SQL_BOUND} SELECT id,
+  CASE WHEN raw = '' THEN 'unknown' WHEN off IS NOT NULL THEN 'day' WHEN start IS NOT NULL AND len(raw) = 4 THEN 'year' WHEN start IS NOT NULL AND len(raw) = 7 THEN 'month' WHEN start IS NOT NULL AND len(raw) = 10 THEN 'day' WHEN zoned THEN 'instant' END AS precision,
+  CASE WHEN raw = '' OR off IS NOT NULL OR start IS NOT NULL OR zoned THEN NULL WHEN regexp_matches(raw, '^\d{{4}}(-\d{{2}}){{0,2}}$') THEN 'invalid_calendar_value' WHEN naive THEN 'naive_timestamp' ELSE 'unparseable_temporal' END AS error,
+  epoch_us(CASE WHEN raw = '' THEN NULL WHEN off IS NOT NULL THEN day + off * INTERVAL 1 DAY WHEN start IS NOT NULL THEN start WHEN zoned THEN CAST(raw AS TIMESTAMP) END) AS lo_us FROM p""",
+)
 def t08(spark, d):
-    state = F.when(F.col("valid_from").isNull(), "unknown").when(F.col("valid_from_precision").isin("instant", "day", "month", "year"), F.col("valid_from_precision")).otherwise("bad_precision")
-    inverted = F.col("valid_from").isNotNull() & F.col("valid_to").isNotNull() & (F.col("valid_to") < F.col("valid_from"))
-    return read(spark, d, "candidates").select("id", state.alias("state"), F.coalesce(inverted, F.lit(False)).alias("inverted")).distinct()
-
-
-#: Words for a window of days before today, and its width.
-WORDS = (("yesterday", 1, 1), ("today", 0, 1), ("last week", 7, 7), ("last month", 30, 30), ("вчера", 1, 1), ("сегодня", 0, 1))
-_SQL_WORD = "CASE " + " ".join(f"WHEN contains(lower(content), '{w}') THEN '{w}'" for w, _, _ in WORDS) + " END"
-
-
-@query("t11_query_windows", f"WITH {SQL_LOG} SELECT id, {_SQL_WORD} AS expression FROM log WHERE kind = 'message' AND {_SQL_WORD} IS NOT NULL")
+    """What the written start of each fact stands for, or why it stands for nothing; relative days are anchored at the fact's record."""
+    at = F.coalesce(*[F.when(F.col("valid_from_precision") == p, F.date_format("valid_from", f)) for p, f in (("year", "yyyy"), ("month", "yyyy-MM"), ("day", "yyyy-MM-dd"))], F.date_format("valid_from", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'"), F.lit(""))
+    rows = read(spark, d, "candidates").select("id", F.coalesce("temporal_expression", at).alias("raw"), "created_at").distinct()
+    return rows.select("id", T.parsed_bound(F.col("raw"), F.col("created_at")).alias("b")).select("id", "b.precision", "b.error", F.unix_micros(F.col("b.lo").cast("timestamp")).alias("lo_us"))
+
+
+def _sql_windows() -> str:
+    said, cases = lambda p: f"regexp_extract(content, '{T.whole_words(p)}', 2)", []
+    for words, back, until in T.AGO:
+        cases.append((f"{said(words)} <> ''", f"day - INTERVAL {back} DAY", f"day - INTERVAL {until} DAY", said(words)))
+    for word, n in T.DAY_WORDS:
+        cases.append((f"{said(word)} <> ''", f"day + INTERVAL ({n}) DAY", f"day + INTERVAL ({n + 1}) DAY", f"'{word}'"))
+    last = said("|".join(words for words, _ in T.LAST))
+    for words, unit in T.LAST:
+        cases.append((f"regexp_matches({last}, '(?i)^(?:{words})$')", f"date_trunc('{unit}', created_at) - INTERVAL 1 {unit}", f"date_trunc('{unit}', created_at)", last))
+    cases.append(("first IS NOT NULL", "first", "first + INTERVAL 1 MONTH", f"regexp_extract(content, '{T.MONTH}', 2)"))
+    cases.insert(0, ("iso IS NOT NULL", "iso", "iso + INTERVAL 1 DAY", said(r"\d{4}-\d{2}-\d{2}")))
+    part = lambda *n: " || ".join(f"regexp_extract(content, '{T.MONTH}', {k})" for k in n)
+    number = "CASE " + " ".join(f"WHEN name IN ({', '.join(repr(w) for w in names.split())}) THEN {n}" for n, names in enumerate(T.MONTH_NAMES, 1)) + " END"
+    column = lambda k: "CASE " + " ".join(f"WHEN {c[0]} THEN {c[k]}" for c in cases) + " END"
+    return f"""{SQL_LOG}, q0 AS (SELECT id, content, created_at, date_trunc('day', created_at) AS day, try_strptime({said(r"\d{4}-\d{2}-\d{2}")}, '%Y-%m-%d') AS iso, lower({part(3, 5)}) AS name, {part(4, 6)} AS y FROM log WHERE kind = 'message' AND content IS NOT NULL),
+q1 AS (SELECT *, {number} AS m FROM q0), q2 AS (SELECT *, CASE WHEN m IS NOT NULL THEN try_strptime((CASE WHEN y <> '' THEN y ELSE CAST(year(created_at) - CASE WHEN m > month(created_at) THEN 1 ELSE 0 END AS VARCHAR) END) || '-' || m, '%Y-%m') END AS first FROM q1),
+qw AS (SELECT id, {column(3)} AS expression, CAST({column(1)} AS TIMESTAMP) AS start, CAST({column(2)} AS TIMESTAMP) AS until FROM q2)"""
+
+
+_SQL_WINDOWS = _sql_windows()
+
+
+@query("t11_query_windows", f"WITH {_SQL_WINDOWS} SELECT id, expression, epoch_us(start) AS start_us, epoch_us(until) AS end_us FROM qw WHERE start IS NOT NULL")
 def t11(spark, d):
-    """Messages that name a window of time, with the words that name it; the first in the list wins."""
-    expression = F.coalesce(*[F.when(F.contains(F.lower("content"), F.lit(w)), F.lit(w)) for w, _, _ in WORDS])
-    return log(spark, d, "kind = 'message'").select("id", expression.alias("expression")).where("expression is not null")
+    """Messages that name a window of time, with its bounds; what is relative is relative to the message."""
+    rows = log(spark, d, "kind = 'message' and content is not null")
+    rows = rows.select("id", T.query_window(F.col("content"), F.col("created_at")).alias("w")).where("w is not null")
+    return rows.select("id", "w.expression", F.unix_micros(F.col("w.start").cast("timestamp")).alias("start_us"), F.unix_micros(F.col("w.end").cast("timestamp")).alias("end_us"))
 
 
 @query("w11_context_around_hits", f"WITH {SQL_LOG}, g AS (SELECT DISTINCT session_id, seq // 20 AS grp FROM log WHERE session_id IS NOT NULL), h AS (SELECT DISTINCT session_id, seq // 20 AS grp FROM log WHERE session_id IS NOT NULL AND contains(lower(content), 'retrieval order')) SELECT DISTINCT g.session_id, g.grp FROM g JOIN h ON h.session_id = g.session_id AND g.grp BETWEEN h.grp - 1 AND h.grp + 1")

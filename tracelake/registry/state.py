@@ -8,11 +8,13 @@ from pyspark.sql import functions as F
 from tracelake.functions import text as X
 from tracelake.operators import assembly as A
 from tracelake.operators import chain
+from tracelake.operators import lineage as L
 from tracelake.operators import pairing as P
 from tracelake.plans import ordered as O
 from tracelake.registry import query
 from tracelake.registry.analytics import _SQL_TOKENS, _SQL_USE, usage
-from tracelake.sources.tables import SQL_LOG, SQL_MEMORIES, log, memories, read
+from tracelake.registry.visibility import SQL_MSEEN, _leaf
+from tracelake.sources.tables import SQL_LOG, SQL_MEMORIES, branches, log, memories, read
 
 # ---- packing
 
@@ -129,27 +131,6 @@ def g03(spark, d):
     return lines.select("id", F.concat(F.lower(F.regexp_extract("line", X.PATH_LINE, 1)), F.lit(":"), F.regexp_extract("line", X.PATH_LINE, 2)).alias("place")).distinct()
 
 
-@query("g05_generic_view", f"WITH {SQL_LOG}, s AS (SELECT id, string_split(content, chr(10)) AS l FROM log WHERE kind = 'tool_output' AND content IS NOT NULL) SELECT id, len(l) AS n_lines, array_to_string(l[1:2], chr(10)) AS head, l[len(l)] AS last FROM s")
-def g05(spark, d):
-    rows = log(spark, d, "kind = 'tool_output' and content is not null").select("id", F.split("content", "\n").alias("l"))
-    return rows.select("id", F.size("l").alias("n_lines"), F.array_join(F.slice("l", 1, 2), "\n").alias("head"), F.try_element_at("l", F.lit(-1)).alias("last"))
-
-
-@query("g07_protected_lines", rf"WITH {SQL_LOG}, s AS (SELECT id, list_distinct(list_filter(string_split(content, chr(10)), lambda x: regexp_matches(x, '{X.SUMMARY}'))) AS kept, string_split(content, chr(10))[1:1] AS head FROM log WHERE kind = 'tool_output' AND content IS NOT NULL) SELECT id, len(kept) AS n_protected, len(list_filter(kept, lambda x: NOT list_contains(head, x))) AS n_lost FROM s")
-def g07(spark, d):
-    """Protected lines of each output and how many a one-line head would lose."""
-    lines = F.split("content", "\n")
-    kept = F.array_distinct(F.filter(lines, lambda x: x.rlike(X.SUMMARY)))
-    return log(spark, d, "kind = 'tool_output' and content is not null").select("id", F.size(kept).alias("n_protected"), F.size(F.array_except(kept, F.slice(lines, 1, 1))).alias("n_lost"))
-
-
-@query("g08_reduction_savings", f"WITH {SQL_LOG}, t AS (SELECT origin_adapter, {_SQL_TOKENS} AS raw, least({_SQL_TOKENS}, 40) AS emitted FROM log WHERE kind = 'tool_output') SELECT origin_adapter, CAST(sum(raw) AS BIGINT) AS raw, CAST(sum(emitted) AS BIGINT) AS emitted, round(1 - sum(emitted) / sum(raw), 6) AS saved FROM t GROUP BY 1")
-def g08(spark, d):
-    raw = F.coalesce(X.token_estimate(F.col("content")), F.lit(0))
-    rows = log(spark, d, "kind = 'tool_output'").select("origin_adapter", raw.alias("raw"), F.least(raw, F.lit(40)).alias("emitted"))
-    return rows.groupBy("origin_adapter").agg(F.sum("raw").alias("raw"), F.sum("emitted").alias("emitted"), F.round(1 - F.sum("emitted") / F.sum("raw"), 6).alias("saved"))
-
-
 @query("g09_built_state", f"WITH {SQL_MEMORIES}, l AS (SELECT branch_id, count(*) AS events, max(seq) AS cursor, arg_max(CASE WHEN kind = 'memory_block' THEN id END, CASE WHEN kind = 'memory_block' THEN seq END) AS block FROM log GROUP BY 1), m AS (SELECT branch_id, count(*) AS facts FROM mem GROUP BY 1) SELECT l.branch_id, l.events, l.cursor, l.block, coalesce(m.facts, 0) AS facts FROM l LEFT JOIN m ON m.branch_id = l.branch_id")
 def g09(spark, d):
     """Materialised state of each branch: its cursor, last block and number of facts."""
@@ -159,16 +140,69 @@ def g09(spark, d):
     return events.join(facts, "branch_id", "left").select("branch_id", "events", "cursor", "block", F.coalesce("facts", F.lit(0)).alias("facts"))
 
 
-@query("g10_replayed_state", f"WITH {SQL_LOG} SELECT branch_id, count(*) AS tail, CAST(sum(CASE WHEN kind = 'memory_block' THEN 1 ELSE 0 END) AS BIGINT) AS blocks, max(seq) AS cursor FROM log WHERE seq > (SELECT max(seq) // 2 FROM event_log) GROUP BY 1")
+# the state of each branch: version, cursor, last block and the facts that nothing on the branch supersedes
+def _sql_state(name: str, events: str, facts: str) -> str:
+    return f"""{name}_e AS (SELECT lower(trim(branch_id)) AS branch, count(*) AS version, max(seq) AS cursor, max(CASE WHEN kind = 'memory_block' THEN seq END) AS block_at, arg_max(CASE WHEN kind = 'memory_block' THEN id END, CASE WHEN kind = 'memory_block' THEN seq END) AS block FROM log WHERE {events} GROUP BY 1),
+{name}_f AS (SELECT branch_id AS branch, id FROM mem WHERE {facts} AND id NOT IN (SELECT supersedes_id FROM mem WHERE supersedes_id IS NOT NULL AND {facts}))"""
+
+
+def _state(events, facts):
+    """(branch, version, cursor, block_at, block) and (branch, id): what the events and facts make of each branch."""
+    at = F.when(F.col("kind") == "memory_block", F.col("seq"))
+    branch = F.lower(F.trim("branch_id")).alias("branch")
+    heads = events.groupBy(branch).agg(F.count(F.lit(1)).alias("version"), F.max("seq").alias("cursor"), F.max(at).alias("block_at"), F.max_by("id", at).alias("block"))
+    return heads, L.without_superseded(facts).select(F.col("branch_id").alias("branch"), "id")
+
+
+def _summed(heads, live):
+    """A state as one row per branch, its facts as their number and an order-free digest."""
+    digest = F.sum(F.conv(F.substring(F.md5("id"), 1, 8), 16, 10).cast("bigint"))
+    facts = live.groupBy("branch").agg(F.count(F.lit(1)).alias("facts"), digest.alias("digest"))
+    return heads.join(facts, "branch", "left").select("branch", "version", "cursor", "block", F.coalesce("facts", F.lit(0)).alias("facts"), F.coalesce("digest", F.lit(0)).alias("digest"))
+
+
+_SQL_SUMMED = "SELECT h_e.branch, version, cursor, block, count(h_f.id) AS facts, CAST(coalesce(sum(CAST('0x' || substr(md5(h_f.id), 1, 8) AS BIGINT)), 0) AS BIGINT) AS digest FROM h_e LEFT JOIN h_f USING (branch) GROUP BY ALL"
+
+
+@query("g10_replayed_state", f"WITH {SQL_MEMORIES}, {_sql_state('h', 'true', 'true')} {_SQL_SUMMED}")
 def g10(spark, d):
-    middle = read(spark, d, "event_log").agg(F.expr("max(seq) div 2").alias("middle"))
-    tail = log(spark, d).join(F.broadcast(middle), F.col("seq") > F.col("middle"))
-    return tail.groupBy("branch_id").agg(F.count(F.lit(1)).alias("tail"), F.sum((F.col("kind") == "memory_block").cast("bigint")).alias("blocks"), F.max("seq").alias("cursor"))
+    """The state at the head of each branch, folded from a snapshot at half of the log and what came after it.
+
+    The last block of the tail replaces the snapshot's, its facts join the snapshot's, and what the tail supersedes leaves.
+    """
+    events, facts = log(spark, d), memories(spark, d)
+    middle = F.broadcast(read(spark, d, "event_log").agg(F.expr("max(seq) div 2").alias("middle")))
+    split = lambda rows, at: (rows.join(middle, F.col(at) <= F.col("middle")).drop("middle"), rows.join(middle, F.col(at) > F.col("middle")).drop("middle"))
+    (old, tail), (known, derived) = split(events, "seq"), split(facts, "cursor_seq")
+    base, base_live = _state(old, known)
+    more, more_live = _state(tail, derived)
+    out = base.alias("b").join(more.alias("t"), "branch", "full_outer")
+    later = F.col("t.block_at").isNotNull()
+    heads = out.select("branch", (F.coalesce("b.version", F.lit(0)) + F.coalesce("t.version", F.lit(0))).alias("version"), F.coalesce("t.cursor", "b.cursor").alias("cursor"), F.when(later, F.col("t.block")).otherwise(F.col("b.block")).alias("block"))
+    over = derived.where("supersedes_id is not null").select(F.col("supersedes_id").alias("id")).distinct()
+    return _summed(heads, base_live.unionByName(more_live).join(over, "id", "left_anti"))
+
+
+_SQL_DELTAS = SQL_MSEEN + """, seen_f AS (SELECT m.* FROM mem m JOIN lines l ON m.branch_id = l.ancestor WHERE l.branch IN (SELECT branch FROM leaf) AND (l.cutoff IS NULL OR m.cursor_seq <= l.cutoff)),
+last_f AS (SELECT example_id, memory_type, arg_max(id, (cursor_seq, id)) AS id, arg_max(initial_status, (cursor_seq, id)) AS status FROM seen_f GROUP BY 1, 2)"""
+
+
+@query("g11_folded_deltas", _SQL_DELTAS + " SELECT example_id, memory_type, id FROM last_f WHERE status <> 'rejected'")
+def g11(spark, d):
+    """The deltas of a branch and its ancestors, each a fact set under its example and type or, if rejected, taken away:
+    the last one of each key along the chain decides."""
+    seen = L.visible(memories(spark, d), L.lineage(branches(spark, d), _leaf(log(spark, d))), "branch_id", "cursor_seq")
+    last = seen.groupBy("example_id", "memory_type").agg(F.max(F.struct("cursor_seq", "id", "initial_status")).alias("d"))
+    return last.where("d.initial_status <> 'rejected'").select("example_id", "memory_type", "d.id")
 
 
-@query("g12_latest_snapshot", f"WITH {SQL_LOG} SELECT branch_id, max(seq) AS cursor, arg_max(id, seq) AS id FROM log WHERE kind = 'state' GROUP BY 1")
+@query("g12_latest_snapshot", f"WITH {SQL_LOG}, s AS (SELECT branch_id, max(seq) AS cursor, arg_max(id, seq) AS id FROM log WHERE kind = 'state' AND content IS NOT NULL GROUP BY 1) SELECT s.branch_id, s.cursor, s.id, count(l.id) AS tail FROM s LEFT JOIN log l ON l.branch_id = s.branch_id AND l.seq > s.cursor GROUP BY ALL")
 def g12(spark, d):
-    return log(spark, d, "kind = 'state'").groupBy("branch_id").agg(F.max("seq").alias("cursor"), F.max_by("id", "seq").alias("id"))
+    """The last snapshot of each branch that has content, with the number of events behind it."""
+    events = log(spark, d).select("branch_id", "seq", "id", ((F.col("kind") == "state") & F.col("content").isNotNull()).alias("snapshot"))
+    last = events.where("snapshot").groupBy("branch_id").agg(F.max("seq").alias("cursor"), F.max_by("id", "seq").alias("last_id"))
+    tails = events.join(last, "branch_id").groupBy("branch_id", "cursor", F.col("last_id").alias("id")).agg(F.count_if(F.col("seq") > F.col("cursor")).alias("tail"))
+    return tails.select("branch_id", "cursor", "id", "tail")
 
 
 @query("g13_closed_facts", f"WITH {SQL_MEMORIES} SELECT id, lead(id) OVER w AS closed_by, epoch_us(lead(created_at) OVER w) AS closed_us FROM mem WINDOW w AS (PARTITION BY example_id, memory_type ORDER BY ord, id)")
