@@ -3,7 +3,7 @@
 Verification is parallel, because every row stores its predecessor's hash: rows
 are compared inside ranges of ``seq`` and the ranges' ends with each other.
 Building needs the predecessor's result, so each chain key is folded by itself in
-pieces of bounded length: a piece is hashed from the stored end of the one before.
+pieces of bounded length, which are then linked by their digests.
 """
 
 from __future__ import annotations
@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracelake.plans import ordered as O
+
 SEQ_RANGE = 50_000
 #: Positions of one piece of a built chain.
 PIECE = 1_000
@@ -38,10 +40,10 @@ def verify(events: DataFrame) -> DataFrame:
 
 
 def build(events: DataFrame, key: str) -> DataFrame:
-    """(chain, piece, n, digest): each chain's rows folded in order of seq, piece by piece.
+    """(chain, piece, n, digest, link): each chain's rows folded in order of seq, piece by piece, and the pieces linked.
 
-    A piece starts from its own number, so that pieces are built side by side; the list of a chain's
-    digests, in order of piece, vouches for the whole chain. Null content counts as empty.
+    Pieces are folded side by side, each from its own number; ``link`` is the digest of a piece's digest and that of the
+    piece before it, so that a piece that is lost or exchanged breaks the link behind it. Null content counts as empty.
     """
     rows = events.select(F.coalesce(key, F.lit("")).alias("chain"), F.floor(F.col("seq") / PIECE).cast("bigint").alias("piece"), "seq", F.sha2(F.coalesce("content", F.lit("")), 256).alias("digest"))
 
@@ -51,4 +53,7 @@ def build(events: DataFrame, key: str) -> DataFrame:
             now = hashlib.sha256((now + digest).encode()).hexdigest()
         return pd.DataFrame({"chain": [group["chain"].iloc[0]], "piece": [group["piece"].iloc[0]], "n": [len(group)], "digest": [now]})
 
-    return rows.groupBy("chain", "piece").applyInPandas(fold, "chain string, piece bigint, n bigint, digest string")
+    pieces = rows.groupBy("chain", "piece").applyInPandas(fold, "chain string, piece bigint, n bigint, digest string")
+    # one row per piece: by ranges of its number, as a chain may have very many
+    linked = O.with_previous(pieces, ["chain"], "piece", "digest", "before")
+    return linked.select("chain", "piece", "n", "digest", F.sha2(F.concat(F.coalesce("before", F.lit("")), "digest"), 256).alias("link"))

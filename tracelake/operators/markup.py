@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tracelake.functions.text import SECRET_RULES
+
 _TAG = re.compile(r"<(/?)private\b((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>", re.I)
 _FENCE = re.compile(r"^\s{0,3}(```+|~~~+)")
 
@@ -120,3 +122,38 @@ def array_view(texts: pd.Series) -> pd.DataFrame:
     """A JSON array of objects in fewer characters: repeated rows once; as CSV if no row repeats and that saves enough, else the
     head, the tail and the rows where the fields change, with a note of how many are left out."""
     return pd.DataFrame([_array_view(t) if t is not None else ("none", 0, 0, None) for t in texts], columns=["form", "rows_total", "rows_kept", "view"]).astype({"view": object})
+
+
+# Keys whose value is a secret, without hyphens, underscores and blanks, lower case.
+SECRET_KEYS = frozenset({"apikey", "secret", "password", "passwd", "token", "accesstoken"})
+_RULES = [(re.compile(pattern), by.replace("$1", r"\1")) for _, pattern, by in SECRET_RULES]
+
+
+def _redacted(value, count: list[int]):
+    if isinstance(value, dict):
+        out = {}
+        for key, inner in value.items():
+            named = re.sub(r"[-_\s]", "", key).lower() in SECRET_KEYS
+            count[0] += named
+            out[key] = "[REDACTED]" if named else _redacted(inner, count)
+        return out
+    if isinstance(value, list):
+        return [_redacted(x, count) for x in value]
+    if isinstance(value, str):
+        for pattern, by in _RULES:
+            value, n = pattern.subn(by, value)
+            count[0] += n
+    return value
+
+
+@F.pandas_udf(T.StructType([T.StructField("text", T.StringType()), T.StructField("redactions", T.IntegerType())]))
+def redacted_json(texts: pd.Series) -> pd.DataFrame:
+    """JSON with the values of secret keys and the secrets inside texts, at any depth, replaced; null for what is no JSON."""
+    rows = []
+    for text in texts:
+        try:
+            value, count = json.loads(text), [0]
+            rows.append((json.dumps(_redacted(value, count), ensure_ascii=False), count[0]))
+        except (TypeError, ValueError):
+            rows.append((None, 0))
+    return pd.DataFrame(rows, columns=["text", "redactions"]).astype({"text": object})

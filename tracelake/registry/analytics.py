@@ -58,9 +58,13 @@ def a05(spark, d):
     return usage(spark, d).groupBy("operation").agg(F.round(F.percentile("tokens", 0.95), 6).alias("p95"))
 
 
-@query("a06_context_totals", f"WITH {_SQL_USE} SELECT branch_id, CAST(sum(tokens) AS BIGINT) AS cumulative, count(DISTINCT session_id) AS sessions FROM u WHERE session_id IS NOT NULL GROUP BY 1")
+@query("a06_context_totals", f"WITH {_SQL_USE}, c AS (SELECT branch_id, session_id, seq, sum(tokens) OVER (PARTITION BY branch_id, session_id ORDER BY seq) AS cumulative FROM u WHERE session_id IS NOT NULL), l AS (SELECT branch_id, session_id, arg_max(cumulative, seq) AS last FROM c GROUP BY 1, 2) SELECT branch_id, CAST(sum(last) AS BIGINT) AS cumulative, count(*) AS sessions FROM l GROUP BY 1")
 def a06(spark, d):
-    return usage(spark, d).where("session_id is not null").groupBy("branch_id").agg(F.sum("tokens").alias("cumulative"), F.count_distinct("session_id").alias("sessions"))
+    """The last running total of each session, summed over the sessions of a branch."""
+    rows = usage(spark, d).where("session_id is not null").select("branch_id", "session_id", "seq", "tokens")
+    running = O.with_running_sum(rows, ["branch_id", "session_id"], "seq", F.col("tokens"), "cumulative")
+    last = running.groupBy("branch_id", "session_id").agg(F.max_by("cumulative", "seq").alias("last"))
+    return last.groupBy("branch_id").agg(F.sum("last").alias("cumulative"), F.count(F.lit(1)).alias("sessions"))
 
 
 @query("a07_overcompression", rf"WITH {SQL_LOG}, t AS (SELECT origin_adapter, regexp_matches(content, '{X.FAILURE}') AS bad FROM log WHERE kind = 'tool_output' AND content IS NOT NULL) SELECT origin_adapter, count(*) AS n, count(CASE WHEN bad THEN 1 END) AS failures, count(*) >= 5 AND count(CASE WHEN bad THEN 1 END) / count(*) > 0.2 AS flagged FROM t GROUP BY 1")
@@ -116,11 +120,34 @@ def a12(spark, d):
     return rolled.select(F.coalesce("memory_type", F.lit("all")).alias("memory_type"), ratio("said").alias("precision"), ratio("gold").alias("recall"))
 
 
-@query("a13_gate", f"WITH {_SQL_MATCH}, c AS (SELECT memory_type, count(CASE WHEN gold AND said THEN 1 END) AS hit, count(CASE WHEN said THEN 1 END) AS said FROM m GROUP BY 1), q AS (SELECT CASE WHEN said = 0 THEN 0.0 ELSE hit / said END AS p FROM c) SELECT round(min(p), 6) AS worst, round(max(p) - min(p), 6) AS gap, min(p) >= 0.9 AND max(p) - min(p) <= 0.1 AS passed FROM q")
+# The least precision and recall, and the greatest gap between languages, with which a gate is passed.
+GATE_PRECISION, GATE_RECALL, GATE_GAP = 0.90, 0.70, 0.10
+
+
+@query(
+    "a13_gate",
+    f"""WITH g AS (SELECT DISTINCT e.id AS example_id, coalesce(lower(trim(e.lang)), 'none') AS lang, q.memory_type AS memory_type, q.evidence_quote AS quote FROM (SELECT id, lang, unnest(expected) AS q FROM extraction_examples) e),
+p AS (SELECT DISTINCT c.example_id, coalesce(lower(trim(e.lang)), 'none') AS lang, c.memory_type, c.evidence_quote AS quote FROM candidates c JOIN extraction_examples e ON e.id = c.example_id WHERE c.evidence_quote IS NOT NULL),
+m AS (SELECT coalesce(g.lang, p.lang) AS lang, g.example_id IS NOT NULL AS gold, p.example_id IS NOT NULL AS said FROM g FULL OUTER JOIN p ON g.example_id = p.example_id AND g.memory_type = p.memory_type AND g.quote = p.quote),
+r AS (SELECT lang, count(CASE WHEN said THEN 1 END) AS n_said, count(CASE WHEN gold THEN 1 END) AS n_gold, count(CASE WHEN gold AND said THEN 1 END) AS hit FROM m GROUP BY 1),
+s AS (SELECT lang, CASE WHEN n_said = 0 THEN 0.0 ELSE hit / n_said END AS precision, CASE WHEN n_gold = 0 THEN 0.0 ELSE hit / n_gold END AS recall, n_said, n_gold, hit FROM r)
+SELECT count(*) AS languages, round(sum(hit) / greatest(sum(n_said), 1), 6) AS precision, round(sum(hit) / greatest(sum(n_gold), 1), 6) AS recall, round(max(precision) - min(precision), 6) AS precision_gap, round(max(recall) - min(recall), 6) AS recall_gap,
+  sum(hit) / greatest(sum(n_said), 1) >= {GATE_PRECISION} AND sum(hit) / greatest(sum(n_gold), 1) >= {GATE_RECALL} AND max(precision) - min(precision) <= {GATE_GAP} AS passed FROM s""",
+)
 def a13(spark, d):
-    per = _matched(spark, d).groupBy("memory_type").agg(F.count_if(F.col("gold") & F.col("said")).alias("hit"), F.count_if("said").alias("said"))
-    p = per.select(F.when(F.col("said") == 0, 0.0).otherwise(F.col("hit") / F.col("said")).alias("p"))
-    return p.agg(F.round(F.min("p"), 6).alias("worst"), F.round(F.max("p") - F.min("p"), 6).alias("gap"), ((F.min("p") >= 0.9) & (F.max("p") - F.min("p") <= 0.1)).alias("passed"))
+    """The gate over all languages: precision and recall, their gaps between languages, and whether it is passed; an empty denominator counts as 0."""
+    lang = F.coalesce(F.lower(F.trim("lang")), F.lit("none")).alias("lang")
+    examples = read(spark, d, "extraction_examples").select(F.col("id").alias("example_id"), lang, "expected")
+    gold = examples.select("example_id", "lang", F.explode("expected").alias("q")).select("example_id", "lang", "q.memory_type", F.col("q.evidence_quote").alias("quote")).distinct().withColumn("gold", F.lit(True))
+    said = read(spark, d, "candidates").where("evidence_quote is not null").select("example_id", "memory_type", F.col("evidence_quote").alias("quote")).distinct().join(examples.select("example_id", F.col("lang").alias("said_lang")), "example_id").withColumn("said", F.lit(True))
+    both = gold.join(said, ["example_id", "memory_type", "quote"], "full_outer").select(F.coalesce("lang", "said_lang").alias("lang"), F.coalesce("gold", F.lit(False)).alias("gold"), F.coalesce("said", F.lit(False)).alias("said"))
+    per = both.groupBy("lang").agg(F.count_if("said").alias("n_said"), F.count_if("gold").alias("n_gold"), F.count_if(F.col("gold") & F.col("said")).alias("hit"))
+    ratio = lambda n: F.when(F.col(n) == 0, 0.0).otherwise(F.col("hit") / F.col(n))
+    per = per.withColumn("p", ratio("n_said")).withColumn("r", ratio("n_gold"))
+    precision, recall = F.sum("hit") / F.greatest(F.sum("n_said"), F.lit(1)), F.sum("hit") / F.greatest(F.sum("n_gold"), F.lit(1))
+    gap = F.max("p") - F.min("p")
+    passed = (precision >= GATE_PRECISION) & (recall >= GATE_RECALL) & (gap <= GATE_GAP)
+    return per.agg(F.count(F.lit(1)).alias("languages"), F.round(precision, 6).alias("precision"), F.round(recall, 6).alias("recall"), F.round(gap, 6).alias("precision_gap"), F.round(F.max("r") - F.min("r"), 6).alias("recall_gap"), passed.alias("passed"))
 
 
 _SQL_ROWS = "r AS (SELECT DISTINCT question_id, question_type, original_correct, retrieval_hit, gold_coverage, context_tokens FROM rejudge_rows)"
@@ -148,16 +175,23 @@ def a17(spark, d):
     return per.join(F.broadcast(base)).select("policy", F.round("mean", 6).alias("mean"), F.round(F.col("mean") / F.col("base"), 6).alias("ratio"))
 
 
-@query("a18_conflicts", f"WITH {SQL_MEMORIES} SELECT example_id, memory_type, count(DISTINCT lower(content)) AS variants FROM mem GROUP BY 1, 2 HAVING count(DISTINCT lower(content)) > 1")
+@query("a18_conflicts", f"WITH {SQL_MEMORIES} SELECT example_id, memory_type, epoch_us(valid_from) AS from_us, epoch_us(valid_to) AS to_us, count(DISTINCT lower(trim(regexp_replace(content, '\\s+', ' ', 'g')))) AS variants FROM mem GROUP BY 1, 2, 3, 4 HAVING count(DISTINCT lower(trim(regexp_replace(content, '\\s+', ' ', 'g')))) > 1")
 def a18(spark, d):
-    return memories(spark, d).groupBy("example_id", "memory_type").agg(F.count_distinct(F.lower("content")).alias("variants")).where("variants > 1")
+    """Facts of one example, type and validity whose contents differ by more than case and blanks."""
+    us = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    key = F.lower(F.trim(F.regexp_replace("content", r"\s+", " ")))
+    return memories(spark, d).groupBy("example_id", "memory_type", us("valid_from").alias("from_us"), us("valid_to").alias("to_us")).agg(F.count_distinct(key).alias("variants")).where("variants > 1")
+
+
+#: Postings of a term lie in so many blocks, by a digest of the id, so that no term is gathered in one row.
+POSTING_BLOCKS = 4096
 
 
-@query("a19_inverted_index", f"WITH {SQL_MEMORIES}, t AS (SELECT DISTINCT id, unnest(regexp_extract_all(lower(content), '[\\p{{L}}\\p{{N}}]+')) AS term FROM mem) SELECT term, count(*) AS n, min(id) AS first_id FROM t GROUP BY 1")
+@query("a19_inverted_index", f"WITH {SQL_MEMORIES}, t AS (SELECT DISTINCT id, unnest(regexp_extract_all(lower(content), '[\\p{{L}}\\p{{N}}]+')) AS term FROM mem) SELECT term, substr(md5(id), 1, 3) AS block, string_agg(id, ',' ORDER BY id) AS ids FROM t GROUP BY 1, 2")
 def a19(spark, d):
-    """Document frequency and first id per term; the ids of one term are not gathered."""
+    """The sorted ids of each term, in blocks."""
     terms = memories(spark, d).select("id", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("content"), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)))).alias("term"))
-    return terms.groupBy("term").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first_id"))
+    return terms.groupBy("term", F.substring(F.md5("id"), 1, 3).alias("block")).agg(F.array_join(F.sort_array(F.collect_set("id")), ",").alias("ids"))
 
 
 @query("a22_replay_tail", f"WITH {SQL_LOG} SELECT branch_id, CAST(sum(coalesce(strlen(content), 0)) AS BIGINT) AS bytes FROM log WHERE seq > (SELECT max(seq) * 3 // 4 FROM event_log) GROUP BY 1")
@@ -249,11 +283,12 @@ def w13(spark, d):
     return islands.groupBy("session_id", "island", "content").agg(F.min("seq").alias("first_seq"), F.count(F.lit(1)).alias("times")).drop("island")
 
 
-@query("w14_head_and_tail", f"WITH {SQL_LOG}, l AS (SELECT id, unnest(string_split(content, chr(10))) AS line, generate_subscripts(string_split(content, chr(10)), 1) AS n, len(string_split(content, chr(10))) AS size FROM log WHERE kind = 'tool_output' AND content IS NOT NULL) SELECT id, n, line FROM l WHERE n <= 3 OR n > size - 2")
+@query("w14_head_and_tail", f"WITH {SQL_LOG}, l AS (SELECT id, unnest(string_split(content, chr(10))) AS line, generate_subscripts(string_split(content, chr(10)), 1) AS n, len(string_split(content, chr(10))) AS size FROM log WHERE kind = 'tool_output' AND content IS NOT NULL) SELECT id, n, line FROM l WHERE n <= 3 OR n > size - 2 OR regexp_matches(line, '{X.FAILURE}') OR regexp_matches(line, '{X.WARNING}')")
 def w14(spark, d):
+    """The head, the salient lines and the tail of each output."""
     rows = log(spark, d, "kind = 'tool_output' and content is not null").select("id", F.split("content", "\n").alias("lines"))
     lines = rows.select("id", F.size("lines").alias("size"), F.posexplode("lines").alias("n", "line")).withColumn("n", F.col("n") + 1)
-    return lines.where("n <= 3 or n > size - 2").select("id", "n", "line")
+    return lines.where((F.col("n") <= 3) | (F.col("n") > F.col("size") - 2) | F.col("line").rlike(X.FAILURE) | F.col("line").rlike(X.WARNING)).select("id", "n", "line")
 
 
 @query("w15_rate_limit_gaps", f"WITH {SQL_LOG}, g AS (SELECT id, seq - lag(seq) OVER (PARTITION BY branch_id ORDER BY seq) AS gap FROM log WHERE kind = 'memory_block') SELECT id, gap, coalesce(gap >= 20, true) AS allowed FROM g")
@@ -293,6 +328,7 @@ def j06(spark, d):
 
 @query("j14_call_result_pairs", f"WITH {SQL_LOG}, c AS (SELECT json_extract_string(payload_json, '$.call_id') AS call_id, * FROM log WHERE kind IN ('tool_call', 'tool_output')) SELECT a.id AS call, b.id AS result, b.seq - a.seq AS distance FROM c a JOIN c b ON a.call_id = b.call_id AND a.kind = 'tool_call' AND b.kind = 'tool_output'")
 def j14(spark, d):
+    """Calls and outputs of one call id; ``g01_call_groups`` has those without one too."""
     rows = log(spark, d, "kind in ('tool_call', 'tool_output')").withColumn("call_id", F.get_json_object("payload_json", "$.call_id"))
     calls = rows.where("kind = 'tool_call'").select("call_id", F.col("id").alias("call"), F.col("seq").alias("from_seq"))
     results = rows.where("kind = 'tool_output'").select("call_id", F.col("id").alias("result"), "seq")

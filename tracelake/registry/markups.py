@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
+from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
 from tracelake.functions import temporal as T
@@ -112,11 +112,25 @@ def j24(spark, d):
     return rows.groupBy("file").agg(F.count_distinct("session_id").alias("sessions")).where("sessions > 1")
 
 
-@query("f37_usage_aliases", f"WITH {SQL_LOG} SELECT id, coalesce(json_extract_string(payload_json, '$.usage.input_tokens'), json_extract_string(payload_json, '$.input_tokens'), json_extract_string(payload_json, '$.call_id'), json_extract_string(payload_json, '$.hook')) AS value FROM log")
+# Names under which a usage record gives its tokens, and where it may lie in a reply, the inmost first.
+ALIASES = {"input_tokens": ("input_tokens", "prompt_tokens", "inputTokens"), "output_tokens": ("output_tokens", "completion_tokens", "outputTokens")}
+PLACES = ("$.metadata.usage", "$.metadata", "$.response.usage", "$.response", "$.token_usage.usage", "$.token_usage", "$.usage.usage", "$.usage", "$")
+
+
+def usage_value(reply: Column, measure: str) -> Column:
+    """The first value that a reply in JSON gives of a measure, by place and then by name."""
+    return F.coalesce(*[F.get_json_object(reply, f"{place}.{name}") for place in PLACES for name in ALIASES[measure]])
+
+
+# replies as the adapters' models write them, with the size of each event in one of the notations
+_SQL_REPLY = """CASE origin_channel WHEN 'hook' THEN '{"usage":{"prompt_tokens":' || size || ',"completion_tokens":' || seq || '}}' WHEN 'host' THEN '{"inputTokens":1,"response":{"usage":{"inputTokens":' || size || '},"outputTokens":' || seq || '}}' ELSE '{"input_tokens":' || size || ',"metadata":{"usage":{"output_tokens":null}}}' END"""
+
+
+@query("f37_usage_aliases", f"WITH {SQL_LOG}, r AS (SELECT id, {_SQL_REPLY} AS reply FROM (SELECT *, coalesce(strlen(content), 0) AS size FROM log)) SELECT id, " + ", ".join(f"CAST(coalesce({', '.join(f"json_extract_string(reply, '{p}.{n}')" for p in PLACES for n in ALIASES[m])}) AS BIGINT) AS {m}" for m in ALIASES) + " FROM r")
 def f37(spark, d):
-    """The first field that is there, among several names and levels of the payload."""
-    names = ("$.usage.input_tokens", "$.input_tokens", "$.call_id", "$.hook")
-    return log(spark, d).select("id", F.coalesce(*[F.get_json_object("payload_json", n) for n in names]).alias("value"))
+    """The tokens that replies in several notations give, among all names and places."""
+    rows = log(spark, d).withColumn("size", F.coalesce(F.octet_length("content"), F.lit(0))).select("id", F.expr(_SQL_REPLY).alias("reply"))
+    return rows.select("id", *[usage_value(F.col("reply"), m).cast("bigint").alias(m) for m in ALIASES])
 
 
 @query("f43_tool_receipts", f"WITH {SQL_LOG} SELECT id, sha256(concat_ws(chr(31), coalesce(session_id, ''), kind, json_extract_string(payload_json, '$.call_id'))) AS receipt, len(files) AS n_files FROM log WHERE json_extract_string(payload_json, '$.call_id') IS NOT NULL")

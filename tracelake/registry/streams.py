@@ -46,6 +46,24 @@ def x10(spark, d):
     return rows.groupBy("user_id", F.session_window("at", "6 hours")).agg(F.count(F.lit(1)).alias("n")).select("user_id", F.unix_micros("session_window.start").alias("start_us"), "n")
 
 
-@query("x10_tumbling_stream")
+@query("x10_tumbling_stream", "SELECT epoch_us(time_bucket(INTERVAL 1 HOUR, ts)) AS start_us, event_type AS kind, count(*) AS n FROM events GROUP BY 1, 2")
 def x10_stream(spark, d):
-    return S.drain(S.tumbling_counts(S.source(spark, d, "events"))).select(F.unix_micros("start").alias("start_us"), "kind", "n")
+    """Counts per hour: the closed windows of the stream, and those of the newest hours as they stand at its end."""
+    closed = S.drain(S.tumbling_counts(S.source(spark, d, "events")))
+    rows = read(spark, d, "events").select(F.col("ts").cast("timestamp").alias("at"), F.col("event_type").alias("kind"))
+    open_ = rows.groupBy(F.date_trunc("hour", "at").alias("start"), "kind").agg(F.count(F.lit(1)).alias("n")).join(closed.select("start", "kind"), ["start", "kind"], "left_anti")
+    return closed.unionByName(open_).select(F.unix_micros("start").alias("start_us"), "kind", "n")
+
+
+@query("x04_online_pairs", "WITH e AS (SELECT json_extract_string(payload_json, '$.call_id') AS call_id, kind, id, seq FROM event_log WHERE kind IN ('tool_call', 'tool_output')) SELECT call_id, arg_min(CASE WHEN kind = 'tool_call' THEN id END, CASE WHEN kind = 'tool_call' THEN seq END) AS call, arg_min(CASE WHEN kind = 'tool_output' THEN id END, CASE WHEN kind = 'tool_output' THEN seq END) AS result FROM e WHERE call_id IS NOT NULL GROUP BY 1 HAVING count(DISTINCT kind) = 2")
+def x04(spark, d):
+    return S.drain(S.paired_calls(S.source(spark, d, "event_log")))
+
+
+#: Bytes of events behind a snapshot from which the next is due.
+TAIL_BYTES = 4 * 512
+
+
+@query("x11_due_snapshots")
+def x11(spark, d):
+    return S.drain(S.snapshot_cadence(S.source(spark, d, "event_log"), TAIL_BYTES))

@@ -47,12 +47,16 @@ def f05(spark, d):
     return log(spark, d, F.size(found) > 0).select("id", F.array_join(found, " ").alias("identifiers"))
 
 
-@query("f06_holds_identifiers", "SELECT DISTINCT q.id FROM finalization_quarantine q WHERE contains(lower(q.id || chr(10) || q.source_event_id), lower(q.source_event_id)) AND contains(lower(q.source_event_id), 'a')")
+_ID = r"(?:evt|mem|op|task|call|run|ex)_[0-9a-z_]+"
+
+
+@query("f06_holds_identifiers", f"WITH {SQL_LOG}, q AS (SELECT DISTINCT id, source_event_id, raw_content FROM finalization_quarantine), w AS (SELECT q.id, list_distinct(regexp_extract_all(lower(concat_ws(' ', q.source_event_id, q.raw_content)), '{_ID}')) AS ids, lower(concat_ws(chr(10), l.id, l.content, l.payload_json)) AS hay FROM q JOIN log l ON l.id = q.source_event_id) SELECT id, len(ids) AS n_ids, len(list_filter(ids, lambda x: NOT contains(hay, x))) = 0 AS held FROM w")
 def f06(spark, d):
-    hay = F.lower(F.concat_ws("\n", "id", "source_event_id"))
-    wanted = F.array(F.lower("source_event_id"), F.lit("a"))
-    rows = read(spark, d, "finalization_quarantine").where("source_event_id is not null").where(F.forall(wanted, lambda x: F.contains(hay, x)) & F.contains(F.lower("source_event_id"), F.lit("a")))
-    return rows.select("id").distinct()
+    """Whether all identifiers of a quarantined record stand in the event that it comes from, whatever their case."""
+    rows = read(spark, d, "finalization_quarantine").select(F.col("id").alias("record"), F.col("source_event_id").alias("id"), "raw_content").distinct().join(log(spark, d).select("id", "content", "payload_json"), "id")
+    ids = F.array_distinct(F.regexp_extract_all(F.lower(F.concat_ws(" ", "id", "raw_content")), F.lit(_ID), F.lit(0)))
+    rows = rows.select("record", ids.alias("ids"), F.lower(F.concat_ws("\n", "id", "content", "payload_json")).alias("hay"))
+    return rows.select(F.col("record").alias("id"), F.size("ids").alias("n_ids"), F.forall("ids", lambda x: F.contains(F.col("hay"), x)).alias("held"))
 
 
 @query("f07_token_estimate", rf"SELECT doc_id, CASE WHEN length(text) = 0 THEN 0 ELSE CAST(greatest(ceil(strlen(text) / 3), ceil(len(list_filter(string_split_regex(text, '\s+'), lambda w: w <> '')) * CAST(1.35 AS DOUBLE)), 1) AS BIGINT) END AS tokens FROM documents WHERE text IS NOT NULL")
@@ -77,10 +81,19 @@ def f09(spark, d):
     return read(spark, d, "documents").select("doc_id", F.md5(X.redact_secrets(F.col("text"))).alias("digest"))
 
 
-@query("f13_redaction_counts", f"SELECT sum(len(regexp_extract_all(text, '{X.SECRET_RULES[4][1]}'))) AS assigned, count(*) AS n FROM documents")
+def _sql_counts() -> str:
+    text, out = "text", []
+    for name, pattern, by in X.SECRET_RULES:
+        out.append(f"sum(len(regexp_extract_all({text}, '{pattern}'))) AS {name}")
+        text = f"regexp_replace({text}, '{pattern}', '{by.replace('$1', chr(92) + '1')}', 'g')"
+    return ", ".join(out)
+
+
+@query("f13_redaction_counts", f"SELECT {_sql_counts()}, count(*) AS n FROM documents")
 def f13(spark, d):
-    counts = X.secret_counts(F.col("text"))
-    return read(spark, d, "documents").select(counts["assigned_secret"].alias("assigned")).agg(F.sum("assigned").alias("assigned"), F.count(F.lit(1)).alias("n"))
+    """How often each rule applies, over all texts; later rules see what earlier ones put in."""
+    counts = read(spark, d, "documents").select(X.secret_counts(F.col("text")).alias("c"))
+    return counts.agg(*[F.sum(f"c.{name}").alias(name) for name, _, _ in X.SECRET_RULES], F.count(F.lit(1)).alias("n"))
 
 
 @query("f12_framed_untrusted", f"WITH {SQL_LOG} SELECT id, md5('<untrusted>' || chr(10) || replace(content, '</untrusted>', '&lt;/untrusted&gt;') || chr(10) || '</untrusted>') AS digest FROM log WHERE kind = 'tool_output' AND content IS NOT NULL")
@@ -88,9 +101,11 @@ def f12(spark, d):
     return log(spark, d, "kind = 'tool_output' and content is not null").select("id", F.md5(X.escape_untrusted(F.col("content"))).alias("digest"))
 
 
-@query("f14_row_digests", f"WITH {SQL_LOG} SELECT seq, sha256(concat_ws(chr(31), id, branch_id, kind, coalesce(content, ''))) AS digest FROM log")
+@query("f14_row_digests", f"WITH {SQL_LOG} SELECT seq, sha256(CAST(json_object('branch_id', branch_id, 'content', content, 'files', files, 'id', id, 'kind', kind, 'seq', seq) AS VARCHAR)) AS digest FROM log")
 def f14(spark, d):
-    return log(spark, d).select("seq", F.sha2(F.concat_ws("\x1f", "id", "branch_id", "kind", F.coalesce("content", F.lit(""))), 256).alias("digest"))
+    """Digests of rows as canonical JSON: keys in order, no blanks, nulls written."""
+    row = F.struct("branch_id", "content", "files", "id", "kind", "seq")
+    return log(spark, d).select("seq", F.sha2(F.to_json(row, {"ignoreNullFields": "false"}), 256).alias("digest"))
 
 
 @query("f15_normalized_keys", rf"WITH {SQL_MEMORIES} SELECT lower(trim(regexp_replace(content, '[\s\p{{Z}}]+', ' ', 'g'))) AS key, count(*) AS n FROM mem GROUP BY 1")
@@ -109,9 +124,14 @@ def f17(spark, d):
     return lines.where(F.trim("line").startswith("- ")).select("doc_id", F.regexp_replace(F.trim("line"), "^- ", "").alias("entry"))
 
 
-@query("f18_path_suffix", f"WITH {SQL_LOG} SELECT id, f.file FROM (SELECT id, unnest(files) AS file FROM log) f WHERE ends_with('/' || f.file, '.py') AND starts_with(f.file, 'src/')")
+@query("f18_path_suffix", f"WITH {SQL_LOG}, f AS (SELECT DISTINCT file FROM (SELECT unnest(files) AS file FROM log)), w AS (SELECT DISTINCT array_to_string(string_split(file, '/')[-1:], '/') AS suffix FROM (SELECT unnest(files) AS file FROM log WHERE kind = 'tool_call')) SELECT w.suffix, count(*) AS n FROM w JOIN f ON f.file = w.suffix OR ends_with(f.file, '/' || w.suffix) GROUP BY 1")
 def f18(spark, d):
-    return log(spark, d).select("id", F.explode("files").alias("file")).where(F.concat(F.lit("/"), "file").endswith(".py") & F.col("file").startswith("src/"))
+    """Files that end with a wanted path on the border of a segment: every suffix of a file is looked up."""
+    files = log(spark, d, "size(files) > 0").select("kind", F.explode("files").alias("file"))
+    wanted = files.where("kind = 'tool_call'").select(F.substring_index("file", "/", -1).alias("suffix")).distinct()
+    parts = F.split("file", "/")
+    ends = files.select("file").distinct().select(F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, 1 << 20), "/"))).alias("suffix"))
+    return ends.join(wanted, "suffix").groupBy("suffix").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("f19_commands", f"WITH {SQL_LOG} SELECT content AS command, count(*) AS n FROM log WHERE kind = 'tool_call' AND (content = 'shell' OR starts_with(content, 'read_')) GROUP BY 1")
@@ -180,25 +200,70 @@ def f31(spark, d):
     return memories(spark, d).select("id", F.sha2(F.concat_ws("\x00", "id", "memory_type", "content"), 256).alias("fingerprint"))
 
 
-@query("f33_containment", f"WITH {SQL_MEMORIES}, p AS (SELECT id, content, lag(content) OVER (PARTITION BY example_id ORDER BY ord, id) AS before FROM mem), t AS (SELECT id, {terms_sql('content')} AS a, {terms_sql('before')} AS b FROM p WHERE before IS NOT NULL) SELECT id, round(CASE WHEN least(len(a), len(b)) > 0 THEN len(list_filter(a, lambda x: list_contains(b, x))) / least(len(a), len(b)) ELSE 0 END, 6) AS contained FROM t")
+# Words that say nothing about what a fact is of.
+FACT_STOPWORDS = "the a an of to in on at for with and or by from was were is are their they user assistant claude that this his her its as had have has been".split()
+_FACT_WORD = r"[\p{L}\p{N}:+-]+"
+_FACT_DATE = r"^\d{4}$|^\d{1,2}$|^\d{4}-\d{2}-\d{2}"
+
+
+def fact_terms(column):
+    """The words of a fact, three letters or more, without stopwords and what looks like a date."""
+    words = F.array_distinct(F.regexp_extract_all(F.lower(column), F.lit(_FACT_WORD), F.lit(0)))
+    return F.filter(words, lambda w: (F.length(w) > 2) & ~w.isin(*FACT_STOPWORDS) & ~w.rlike(_FACT_DATE))
+
+
+def fact_terms_sql(column: str) -> str:
+    return f"list_distinct(list_filter(regexp_extract_all(lower({column}), '{_FACT_WORD}'), lambda w: length(w) > 2 AND NOT list_contains([{', '.join(repr(w) for w in FACT_STOPWORDS)}], w) AND NOT regexp_matches(w, '{_FACT_DATE}')))"
+
+
+@query("f33_containment", f"WITH {SQL_MEMORIES}, t AS (SELECT m.id, {fact_terms_sql('m.content')} AS a, {fact_terms_sql('o.content')} AS b FROM mem m JOIN mem o ON o.id = m.supersedes_id WHERE m.content IS NOT NULL AND o.content IS NOT NULL) SELECT id, round(CASE WHEN least(len(a), len(b)) > 0 THEN len(list_filter(a, lambda x: list_contains(b, x))) / least(len(a), len(b)) ELSE 0 END, 6) AS contained FROM t")
 def f33(spark, d):
-    from pyspark.sql import Window
+    """How much of the smaller of each fact and the one that it supersedes the other holds, in words that say something."""
+    facts = memories(spark, d).where("content is not null").select("id", "supersedes_id", fact_terms(F.col("content")).alias("a"))
+    both = facts.join(facts.select(F.col("id").alias("supersedes_id"), F.col("a").alias("b")), "supersedes_id")
+    least = F.least(F.size("a"), F.size("b"))
+    return both.select("id", F.round(F.when(least > 0, F.size(F.array_intersect("a", "b")) / least).otherwise(0.0), 6).alias("contained"))
+
+
+_SQL_VARIANTS = r"""ans AS (SELECT DISTINCT question_id, question_type, original_correct, retrieval_hit, gold_coverage, model_answer, trim(regexp_replace(coalesce(gold_answer_or_rubric, ''), '\s+', ' ', 'g')) AS gold, lower(trim(regexp_replace(coalesce(model_answer, ''), '\s+', ' ', 'g'))) AS hay FROM rejudge_rows),
+av AS (SELECT *, list_filter([gold] || list_transform(regexp_extract_all(gold, '\(or ([^)]+)\)', 1), lambda x: trim(x)) || [trim(regexp_replace(gold, '\([^)]*\)', '', 'g'))], lambda x: length(x) >= 2) AS vs, regexp_full_match(gold, '[\d,.$ ]{1,12}') AS aggregate FROM ans),
+ax AS (SELECT *, len(list_filter(vs, lambda x: length(x) <= 30)) > 0 AS extractive, len(list_filter(vs, lambda x: contains(hay, lower(x)))) > 0 AS held FROM av)"""
+
 
-    before = F.lag("content").over(Window.partitionBy("example_id").orderBy("ord", "id"))
-    rows = memories(spark, d).withColumn("before", before).where("before is not null")
-    return rows.select("id", F.round(X.containment(F.col("content"), F.col("before")), 6).alias("contained"))
+def answers(spark, d):
+    """Rows of the evaluation with the gold answer's written variants: as it stands, its alternatives, and without brackets."""
+    flat = lambda c: F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), r"\s+", " "))
+    rows = read(spark, d, "rejudge_rows").select("question_id", "question_type", "original_correct", "retrieval_hit", "gold_coverage", "model_answer", flat("gold_answer_or_rubric").alias("gold"), F.lower(flat("model_answer")).alias("hay")).distinct()
+    gold = F.col("gold")
+    variants = F.concat(F.array(gold), F.transform(F.regexp_extract_all(gold, F.lit(r"\(or ([^)]+)\)"), F.lit(1)), lambda x: F.trim(x)), F.array(F.trim(F.regexp_replace(gold, r"\([^)]*\)", ""))))
+    rows = rows.withColumn("vs", F.filter(variants, lambda x: F.length(x) >= 2)).withColumn("aggregate", gold.rlike(r"^[\d,.$ ]{1,12}$"))
+    return rows.withColumn("extractive", F.exists("vs", lambda x: F.length(x) <= 30)).withColumn("held", F.exists("vs", lambda x: F.contains(F.col("hay"), F.lower(x))))
 
 
-@query("f36_answer_variants", "SELECT DISTINCT question_id, contains(lower(model_answer), lower(gold_answer_or_rubric)) AS extractive FROM rejudge_rows WHERE model_answer IS NOT NULL")
+@query("f36_answer_variants", f"WITH {_SQL_VARIANTS} SELECT DISTINCT question_id, extractive, aggregate, held FROM ax WHERE model_answer IS NOT NULL")
 def f36(spark, d):
-    rows = read(spark, d, "rejudge_rows").where("model_answer is not null")
-    return rows.select("question_id", F.contains(F.lower("model_answer"), F.lower("gold_answer_or_rubric")).alias("extractive")).distinct()
+    return answers(spark, d).where("model_answer is not null").select("question_id", "extractive", "aggregate", "held").distinct()
+
+
+@query("a29_deep_census", f"WITH {_SQL_VARIANTS} SELECT question_type, CASE WHEN NOT retrieval_hit THEN 'retrieval' WHEN gold_coverage < 1 THEN 'packing' WHEN gold = '' THEN 'passage:none' WHEN aggregate THEN 'passage:short_numeric' WHEN NOT extractive THEN 'passage:indeterminate' WHEN held THEN 'passage:yes' ELSE 'passage:no' END AS stage, count(*) AS n FROM ax WHERE NOT original_correct GROUP BY 1, 2")
+def a29(spark, d):
+    """At which stage each wrong answer was lost: not retrieved, not packed whole, or packed, by whether the answer holds a variant of the gold one."""
+    stage = F.when(~F.col("retrieval_hit"), "retrieval").when(F.col("gold_coverage") < 1, "packing").when(F.col("gold") == "", "passage:none").when(F.col("aggregate"), "passage:short_numeric")
+    stage = stage.when(~F.col("extractive"), "passage:indeterminate").when(F.col("held"), "passage:yes").otherwise("passage:no")
+    return answers(spark, d).where("not original_correct").groupBy("question_type", stage.alias("stage")).agg(F.count(F.lit(1)).alias("n"))
+
+
+# Prices of a million tokens, read and written.
+READ_PRICE, WRITTEN_PRICE = 3.0, 15.0
+_SQL_SIZE = r"CASE WHEN length(content) = 0 THEN 0 ELSE CAST(greatest(ceil(strlen(content) / 3), ceil(len(list_filter(string_split_regex(content, '\s+'), lambda w: w <> '')) * CAST(1.35 AS DOUBLE)), 1) AS BIGINT) END"
 
 
-@query("f38_model_cost", f"WITH {SQL_LOG} SELECT session_id, round(sum(strlen(content) * 3.0 / 1000000), 6) AS cost FROM log WHERE content IS NOT NULL AND role = 'assistant' GROUP BY 1")
+@query("f38_model_cost", f"WITH {SQL_LOG}, t AS (SELECT session_id, role = 'assistant' AS own, {_SQL_SIZE} AS tokens FROM log WHERE content IS NOT NULL), s AS (SELECT session_id, CAST(coalesce(sum(CASE WHEN own THEN 0 ELSE tokens END), 0) AS BIGINT) AS read_, CAST(coalesce(sum(CASE WHEN own THEN tokens ELSE 0 END), 0) AS BIGINT) AS written FROM t GROUP BY 1) SELECT session_id, read_, written, round((read_ * {READ_PRICE} + written * {WRITTEN_PRICE}) / 1000000, 9) AS cost FROM s")
 def f38(spark, d):
-    cost = F.sum(F.octet_length("content") * F.lit(3.0) / 1000000)
-    return log(spark, d, "content is not null and role = 'assistant'").groupBy("session_id").agg(F.round(cost, 6).alias("cost"))
+    """What each session costs: the assistant's tokens are written, all others read."""
+    own, tokens = F.coalesce(F.col("role") == "assistant", F.lit(False)), X.token_estimate(F.col("content"))
+    sums = log(spark, d, "content is not null").select("session_id", own.alias("own"), tokens.alias("tokens")).groupBy("session_id").agg(F.sum(F.when(F.col("own"), 0).otherwise(F.col("tokens"))).alias("read_"), F.sum(F.when(F.col("own"), F.col("tokens")).otherwise(0)).alias("written"))
+    return sums.withColumn("cost", F.round((F.col("read_") * READ_PRICE + F.col("written") * WRITTEN_PRICE) / 1000000, 9))
 
 
 @query("f39_trust", f"WITH {SQL_LOG} SELECT CASE WHEN origin_channel = 'hook' AND role = 'user' THEN 'host_logical_user' WHEN origin_channel = 'hook' AND role = 'assistant' AND origin_adapter IS NOT NULL THEN 'host_assistant' WHEN origin_channel = 'host' THEN 'local_operator' ELSE 'external_untrusted' END AS trust, count(*) AS n FROM log GROUP BY 1")

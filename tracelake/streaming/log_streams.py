@@ -66,3 +66,47 @@ def cumulative_counts(events: DataFrame) -> DataFrame:
 
     rows = events.where("session_id is not null").select("session_id", F.coalesce(F.octet_length("content"), F.lit(0)).cast("bigint").alias("size"))
     return rows.groupBy("session_id").applyInPandasWithState(step, "session_id string, events bigint, bytes bigint", "events bigint, bytes bigint", "append", GroupStateTimeout.NoTimeout)
+
+
+def paired_calls(events: DataFrame) -> DataFrame:
+    """(call_id, call, result): a call and its output as soon as both have come, in whichever order; later deliveries add nothing.
+
+    The state is one pair of ids per call that is still open.
+    """
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        call, result, told = state.get if state.exists else (None, None, False)
+        for batch in batches:
+            for kind, name in batch.sort_values("seq")[["kind", "id"]].itertuples(index=False):
+                if kind == "tool_call":
+                    call = call or name
+                else:
+                    result = result or name
+        whole = call is not None and result is not None
+        state.update((call, result, told or whole))
+        yield pd.DataFrame({"call_id": [key[0]], "call": [call], "result": [result]} if whole and not told else {"call_id": [], "call": [], "result": []}).astype(object)
+
+    rows = events.where(F.col("kind").isin("tool_call", "tool_output")).select(F.get_json_object("payload_json", "$.call_id").alias("call_id"), "kind", "id", "seq").where("call_id is not null")
+    return rows.groupBy("call_id").applyInPandasWithState(step, "call_id string, call string, result string", "call string, result string, told boolean", "append", GroupStateTimeout.NoTimeout)
+
+
+def snapshot_cadence(events: DataFrame, most: int) -> DataFrame:
+    """(branch_id, seq, bytes): where a branch's tail of events has grown to ``most`` bytes since its last snapshot.
+
+    The state is the size of the tail. Events count as they come, those of one Arrow batch in order of seq.
+    """
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        tail = state.get[0] if state.exists else 0
+        for batch in batches:
+            due = []
+            for seq, size in batch.sort_values("seq")[["seq", "size"]].itertuples(index=False):
+                tail += int(size)
+                if tail >= most:
+                    due.append((key[0], seq, tail))
+                    tail = 0
+            yield pd.DataFrame(due, columns=["branch_id", "seq", "bytes"]).astype({"branch_id": object})
+        state.update((tail,))
+
+    rows = events.select(F.coalesce(F.lower(F.trim("branch_id")), F.lit("")).alias("branch_id"), "seq", F.coalesce(F.octet_length("content"), F.lit(0)).cast("bigint").alias("size"))
+    return rows.groupBy("branch_id").applyInPandasWithState(step, "branch_id string, seq bigint, bytes bigint", "tail bigint", "append", GroupStateTimeout.NoTimeout)
