@@ -39,6 +39,26 @@ def verify(events: DataFrame) -> DataFrame:
     return linked.select("seq", "id", fault.alias("fault")).where("fault is not null")
 
 
+def witnessed(events: DataFrame, seen: DataFrame) -> DataFrame:
+    """(branch_id, verdict): branches against what a witness has (branch_id, seen, hash) of their heads.
+
+    new: not witnessed; rollback: the head lies before the witnessed one; replacement: its row is gone;
+    divergence: its row has another hash; else unchanged or extension.
+    """
+    heads = events.groupBy("branch_id").agg(F.max("seq").alias("head")).join(seen, "branch_id", "left")
+    now = events.select("branch_id", F.col("seq").alias("seen"), "id", "chain_hash")
+    both = heads.join(now, ["branch_id", "seen"], "left")
+    verdict = (
+        F.when(F.col("seen").isNull(), "new")
+        .when(F.col("head") < F.col("seen"), "rollback")
+        .when(F.col("id").isNull(), "replacement")
+        .when(~F.col("chain_hash").eqNullSafe(F.col("hash")), "divergence")
+        .when(F.col("head") == F.col("seen"), "unchanged")
+        .otherwise("extension")
+    )
+    return both.select("branch_id", verdict.alias("verdict"))
+
+
 def build(events: DataFrame, key: str) -> DataFrame:
     """(chain, piece, n, digest, link): each chain's rows folded in order of seq, piece by piece, and the pieces linked.
 

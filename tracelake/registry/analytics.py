@@ -67,13 +67,6 @@ def a06(spark, d):
     return last.groupBy("branch_id").agg(F.sum("last").alias("cumulative"), F.count(F.lit(1)).alias("sessions"))
 
 
-@query("a07_overcompression", rf"WITH {SQL_LOG}, t AS (SELECT origin_adapter, regexp_matches(content, '{X.FAILURE}') AS bad FROM log WHERE kind = 'tool_output' AND content IS NOT NULL) SELECT origin_adapter, count(*) AS n, count(CASE WHEN bad THEN 1 END) AS failures, count(*) >= 5 AND count(CASE WHEN bad THEN 1 END) / count(*) > 0.2 AS flagged FROM t GROUP BY 1")
-def a07(spark, d):
-    rows = log(spark, d, "kind = 'tool_output' and content is not null").withColumn("bad", F.col("content").rlike(X.FAILURE))
-    n, bad = F.count(F.lit(1)), F.count_if("bad")
-    return rows.groupBy("origin_adapter").agg(n.alias("n"), bad.alias("failures"), ((n >= 5) & (bad / n > 0.2)).alias("flagged"))
-
-
 @query("a08_extraction_status", f"WITH {SQL_MEMORIES} SELECT initial_status, count(*) AS n, count(DISTINCT run_id) AS runs, max(epoch_us(created_at)) AS newest_us, min(epoch_us(created_at)) AS oldest_us FROM mem GROUP BY 1")
 def a08(spark, d):
     us = F.expr("unix_micros(cast(created_at as timestamp))")
@@ -167,14 +160,6 @@ def a15(spark, d):
     return rows.groupBy("question_type", stage.alias("stage")).agg(F.count_if("original_correct").alias("right_"), F.count_if(~F.col("original_correct")).alias("wrong"))
 
 
-@query("a17_policy_ratio", f"WITH {_SQL_ROWS}, p AS (SELECT context_tokens // 5000 AS policy, avg(CAST(original_correct AS INT)) AS mean FROM r WHERE original_correct IS NOT NULL GROUP BY 1) SELECT policy, round(mean, 6) AS mean, round(mean / (SELECT mean FROM p WHERE policy = 0), 6) AS ratio FROM p")
-def a17(spark, d):
-    rows = read(spark, d, "rejudge_rows").select("question_id", "question_type", "original_correct", "retrieval_hit", "gold_coverage", "context_tokens").distinct().where("original_correct is not null")
-    per = rows.groupBy(F.expr("context_tokens div 5000").alias("policy")).agg(F.avg(F.col("original_correct").cast("int")).alias("mean"))
-    base = per.where("policy = 0").select(F.col("mean").alias("base"))
-    return per.join(F.broadcast(base)).select("policy", F.round("mean", 6).alias("mean"), F.round(F.col("mean") / F.col("base"), 6).alias("ratio"))
-
-
 @query("a18_conflicts", f"WITH {SQL_MEMORIES} SELECT example_id, memory_type, epoch_us(valid_from) AS from_us, epoch_us(valid_to) AS to_us, count(DISTINCT lower(trim(regexp_replace(content, '\\s+', ' ', 'g')))) AS variants FROM mem GROUP BY 1, 2, 3, 4 HAVING count(DISTINCT lower(trim(regexp_replace(content, '\\s+', ' ', 'g')))) > 1")
 def a18(spark, d):
     """Facts of one example, type and validity whose contents differ by more than case and blanks."""
@@ -239,10 +224,11 @@ def a28(spark, d):
 # ---- windows
 
 
-@query("w01_latest_by_position", f"WITH {SQL_LOG} SELECT session_id, arg_max(kind, seq) AS status, max(seq) AS seq FROM log WHERE session_id IS NOT NULL GROUP BY 1")
+@query("w01_latest_by_position", f"WITH {SQL_LOG}, r AS (SELECT session_id, kind AS status, seq, row_number() OVER (PARTITION BY session_id ORDER BY seq DESC) AS back FROM log WHERE session_id IS NOT NULL) SELECT session_id, status, seq, back FROM r WHERE back <= 3")
 def w01(spark, d):
-    """The last record of each session by position, not by time."""
-    return log(spark, d, "session_id is not null").groupBy("session_id").agg(F.max_by("kind", "seq").alias("status"), F.max("seq").alias("seq"))
+    """The last three records of each session by position, not by time."""
+    rows = log(spark, d, "session_id is not null").select("session_id", F.col("kind").alias("status"), "seq")
+    return O.last_of_each(rows, ["session_id"], "seq", 3)
 
 
 @query("w02_latest_version", f"WITH {SQL_MEMORIES} SELECT example_id, memory_type, arg_max(id, ord) AS id, count(*) AS version FROM mem GROUP BY 1, 2")

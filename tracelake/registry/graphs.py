@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tracelake.operators import assembly as A
 from tracelake.operators import hierarchy as H
+from tracelake.plans.cut import cut
 from tracelake.registry import query
 from tracelake.registry.hierarchies import _WALKS
 from tracelake.sources.tables import SQL_LOG, log, read
@@ -103,14 +104,14 @@ def _asked(both):
 @query("r08_neighbours", f"WITH {_SQL_RELATIONS}, {_SQL_TOP} SELECT e, o AS neighbour, count(*) AS n, max(confidence) AS confidence FROM both_ WHERE e IN (SELECT e FROM top) GROUP BY 1, 2")
 def r08(spark, d):
     """Neighbours of the entities with the most relations: a union of two equality lookups instead of an OR join."""
-    both = _both(relations(spark, d))
+    both = cut(_both(relations(spark, d)))
     return both.join(F.broadcast(_asked(both)), "e", "left_semi").groupBy("e", F.col("o").alias("neighbour")).agg(F.count(F.lit(1)).alias("n"), F.max("confidence").alias("confidence"))
 
 
 @query("a20_graph_scores", f"WITH {_SQL_RELATIONS}, {_SQL_TOP}, hit AS (SELECT id, e, max(confidence) AS confidence FROM both_ WHERE e IN (SELECT e FROM top) GROUP BY 1, 2), cut AS (SELECT *, row_number() OVER (PARTITION BY e ORDER BY confidence DESC, id) AS nth FROM hit) SELECT id, count(*) AS keys_, max(confidence) AS confidence, round(tanh(0.5 * count(*)) + max(confidence), 6) AS score FROM cut WHERE nth <= {FANOUT} GROUP BY 1")
 def a20(spark, d):
     """Events by the asked entities that they relate, each entity giving its two hundred surest events."""
-    both = _both(relations(spark, d))
+    both = cut(_both(relations(spark, d)))
     hits = both.join(F.broadcast(_asked(both)), "e", "left_semi").groupBy("id", "e").agg(F.max("confidence").alias("confidence"))
     near = A.first_of_each(hits, ["e"], [F.desc("confidence")], F.lit(FANOUT))
     keys = F.count(F.lit(1))
@@ -122,3 +123,21 @@ def g24(spark, d):
     """How many branches lie within three steps below each branch."""
     tree = H.hierarchy(read(spark, d, "branches")).where("kind = 'tree'")
     return H.descendants(tree).where("distance <= 3").groupBy(F.col("ancestor").alias("node")).agg(F.count(F.lit(1)).alias("affected"))
+
+
+#: Steps of the reverse walk.
+REACH = 2
+
+
+@query("g24_reverse_reach", f"WITH RECURSIVE {_SQL_RELATIONS}, {_SQL_TOP}, e AS (SELECT DISTINCT source, target FROM rel), w(node, depth) AS (SELECT e, 0 FROM top UNION SELECT e.source, w.depth + 1 FROM w JOIN e ON e.target = w.node WHERE w.depth < {REACH}) SELECT node, min(depth) AS depth FROM w GROUP BY 1")
+def g24_reach(spark, d):
+    """Every entity that leads to an asked one within two relations, at its least distance: each step goes on only from what it finds first."""
+    pairs = cut(relations(spark, d).select("id", "source", "target", "confidence"))
+    links = pairs.select("source", "target").distinct()
+    found = cut(_asked(_both(pairs)).select(F.col("e").alias("node"), F.lit(0).alias("depth")))
+    front = found
+    for step in range(1, REACH + 1):
+        front = links.join(front.select(F.col("node").alias("target")), "target", "left_semi").select(F.col("source").alias("node")).distinct().join(found.select("node"), "node", "left_anti").withColumn("depth", F.lit(step))
+        found = cut(found.unionByName(front), replaces=found)
+        front = found.where(F.col("depth") == step)
+    return found

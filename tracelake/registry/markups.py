@@ -90,13 +90,6 @@ def i01(spark, d):
     return chain.build(log(spark, d), "branch_id")
 
 
-@query("w16_latest_groups", f"WITH {SQL_LOG}, g AS (SELECT session_id, seq // 20 AS grp, count(*) AS n FROM log WHERE session_id IS NOT NULL GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY grp DESC) AS back FROM g) SELECT session_id, grp, n FROM r WHERE back <= 2")
-def w16(spark, d):
-    groups = log(spark, d, "session_id is not null").groupBy("session_id", F.expr("seq div 20").alias("grp")).agg(F.count(F.lit(1)).alias("n"))
-    back = F.row_number().over(Window.partitionBy("session_id").orderBy(F.desc("grp")))
-    return groups.withColumn("back", back).where("back <= 2").select("session_id", "grp", "n")
-
-
 @query("j08_changes_since", f"WITH {SQL_LOG}, c AS (SELECT unnest(files) AS file, seq FROM log WHERE kind = 'tool_output'), b AS (SELECT file, min(seq) AS baseline, count(*) AS n FROM c GROUP BY 1) SELECT file, baseline, n - 1 AS changes, n - 1 >= 3 AS over_threshold FROM b")
 def j08(spark, d):
     """Changes of each file after its first: a count per file, since the baseline is the file's own first change."""

@@ -230,3 +230,31 @@ def w10(spark, d):
     """The twenty best events by score, newer ones first among equals."""
     score = F.round(X.lexical_relevance(QUERY, F.col("content")) * 0.85 + _fresh() * 0.15, 6)
     return log(spark, d, "content is not null").select("id", "created_at", score.alias("score")).orderBy(F.desc("score"), F.desc("created_at"), "id").limit(20).select("id", "score")
+
+
+#: What is older than this many days before the last record is old; how far a fact may lie back.
+OLD_DAYS = 20
+
+
+@query("g20_hygiene", f"WITH {SQL_MEMORIES}, n AS (SELECT max(created_at) AS now FROM mem), k AS (SELECT DISTINCT unnest(files) AS file FROM log), x AS (SELECT id AS example_id, unnest(files) AS file FROM extraction_examples), g AS (SELECT DISTINCT example_id FROM x WHERE file NOT IN (SELECT file FROM k)) SELECT m.id, CASE WHEN g.example_id IS NOT NULL THEN 'missing_file' ELSE 'too_old' END AS finding FROM mem m LEFT JOIN g USING (example_id), n WHERE g.example_id IS NOT NULL OR m.created_at < n.now - INTERVAL {OLD_DAYS} DAY")
+def g20(spark, d):
+    """Facts whose example names a file that the log does not know, else those that are old."""
+    facts = memories(spark, d)
+    known = log(spark, d, "size(files) > 0").select(F.explode("files").alias("file")).distinct()
+    gone = read(spark, d, "extraction_examples").select(F.col("id").alias("example_id"), F.explode("files").alias("file")).join(known, "file", "left_anti").select("example_id").distinct().withColumn("gone", F.lit(True))
+    now = F.broadcast(facts.agg(F.max("created_at").alias("now")))
+    rows = facts.join(gone, "example_id", "left").crossJoin(now)
+    old = F.col("created_at") < F.col("now") - F.make_dt_interval(days=F.lit(OLD_DAYS))
+    return rows.where(F.coalesce("gone", F.lit(False)) | old).select("id", F.when(F.col("gone"), "missing_file").otherwise("too_old").alias("finding"))
+
+
+_SQL_CONTENT = "lower(trim(regexp_replace(content, '\\s+', ' ', 'g')))"
+
+
+@query("g14_consolidated", f"WITH {SQL_MEMORIES}, a AS (SELECT memory_type AS type, {_SQL_CONTENT} AS content, 0 AS turn, cursor_seq AS seq, id FROM mem WHERE content IS NOT NULL UNION ALL SELECT 'marker', {_SQL_CONTENT}, 1, seq, id FROM log WHERE kind = 'memory_block' AND content IS NOT NULL), r AS (SELECT *, row_number() OVER (PARTITION BY type, content ORDER BY turn, seq, id) AS nth, count(*) OVER (PARTITION BY type, content) AS n FROM a) SELECT type, content, id, n FROM r WHERE nth = 1")
+def g14(spark, d):
+    """Structured facts and marked blocks, each type and content once, at its first record."""
+    content = F.lower(F.trim(F.regexp_replace("content", r"\s+", " "))).alias("content")
+    facts = memories(spark, d).where("content is not null").select(F.col("memory_type").alias("type"), content, F.lit(0).alias("turn"), F.col("cursor_seq").alias("seq"), "id")
+    marks = log(spark, d, "kind = 'memory_block' and content is not null").select(F.lit("marker").alias("type"), content, F.lit(1).alias("turn"), "seq", "id")
+    return facts.unionByName(marks).groupBy("type", "content").agg(F.min(F.struct("turn", "seq", "id"))["id"].alias("id"), F.count(F.lit(1)).alias("n"))

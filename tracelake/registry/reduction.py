@@ -9,7 +9,7 @@ from tracelake.functions import views as V
 from tracelake.operators import markup
 from tracelake.registry import query
 from tracelake.registry.analytics import _SQL_TOKENS
-from tracelake.sources.tables import SQL_LOG, log, memories
+from tracelake.sources.tables import SQL_LOG, SQL_MEMORIES, log, memories
 
 
 def _hit(x: str, *patterns: str) -> str:
@@ -149,3 +149,36 @@ def g06(spark, d):
 def f41(spark, d):
     """Each run's facts as lossless CSV, null where they are not uniform."""
     return _arrays(spark, d).select("run_id", markup.lossless_csv("rows").alias("csv"))
+
+
+# the facts without the log, which the views have already
+_SQL_FACTS = "mem AS" + SQL_MEMORIES.split(", mem AS", 1)[1]
+#: From so many views and such a share of them that a fact had to be taken from the whole output, a family is shortened too much.
+LEAST_VIEWS, MOST_PROMOTED = 5, 0.2
+
+
+@query("a07_overcompression", f"WITH {_SQL_REDUCED}, {_SQL_FACTS}, s AS (SELECT DISTINCT source_event_id AS id FROM mem), k AS (SELECT family, count(*) AS views, count(s.id) AS promoted FROM rd LEFT JOIN s USING (id) WHERE reduced GROUP BY 1) SELECT family, views, promoted, round(promoted / views, 4) AS ratio, views >= {LEAST_VIEWS} AND promoted / views > {MOST_PROMOTED} AS flagged FROM k")
+def a07(spark, d):
+    """How many of the shortened outputs of each family a fact refers to all the same."""
+    sources = memories(spark, d).select(F.col("source_event_id").alias("id")).where("id is not null").distinct().withColumn("used", F.lit(True))
+    per = reduced(spark, d).where("reduced").join(sources, "id", "left").groupBy("family").agg(F.count(F.lit(1)).alias("views"), F.count("used").alias("promoted"))
+    share = F.col("promoted") / F.col("views")
+    return per.select("family", "views", "promoted", F.round(share, 4).alias("ratio"), ((F.col("views") >= LEAST_VIEWS) & (share > MOST_PROMOTED)).alias("flagged"))
+
+
+@query(
+    "a17_policy_ratio",
+    f"""WITH {_SQL_REDUCED}, ev AS (SELECT id, raw, list_filter({_SQL_PLAIN.format('l')}, {_SQL_SIGNALS}) AS need, {_SQL_PLAIN.format('l[1:5]')} AS head, {_SQL_PLAIN.format('view')} AS vw, shown FROM fr),
+q AS (SELECT 'whole' AS policy, 1.0 AS quality, raw AS tokens FROM ev UNION ALL SELECT 'view', CASE WHEN len(need) = 0 THEN 1.0 ELSE len(list_filter(need, lambda x: list_contains(vw, x))) / len(need) END, shown FROM ev UNION ALL SELECT 'head', CASE WHEN len(need) = 0 THEN 1.0 ELSE len(list_filter(need, lambda x: list_contains(head, x))) / len(need) END, NULL FROM ev),
+m AS (SELECT policy, avg(quality) AS quality, sum(tokens) AS tokens FROM q GROUP BY 1) SELECT policy, round(quality, 6) AS quality, CAST(tokens AS BIGINT) AS tokens, round(quality / (SELECT quality FROM m WHERE policy = 'whole'), 6) AS ratio FROM m""",
+)
+def a17(spark, d):
+    """How much of the evidence in tool outputs each policy of showing them keeps, and against showing them whole; tokens of heads are not counted."""
+    plain = lambda rows: F.array_distinct(F.filter(F.transform(rows, X.collapse), lambda x: x != ""))
+    rows = reduced(spark, d).select("raw", "shown", F.filter(plain(F.col("l")), lambda x: x.rlike(X.FAILURE) | x.rlike(X.SUMMARY)).alias("need"), plain(F.slice("l", 1, 5)).alias("head"), plain(F.col("view")).alias("vw"))
+    kept = lambda c: F.when(F.size("need") == 0, 1.0).otherwise(F.size(F.array_intersect("need", c)) / F.size("need"))
+    policies = [(F.lit("whole"), F.lit(1.0), F.col("raw")), (F.lit("view"), kept("vw"), F.col("shown")), (F.lit("head"), kept("head"), F.lit(None).cast("bigint"))]
+    each = rows.select(F.explode(F.array(*[F.struct(p.alias("policy"), q.alias("quality"), t.alias("tokens")) for p, q, t in policies])).alias("p"))
+    means = each.groupBy("p.policy").agg(F.avg("p.quality").alias("quality"), F.sum("p.tokens").alias("tokens"))
+    whole = F.broadcast(means.where("policy = 'whole'").select(F.col("quality").alias("base")))
+    return means.crossJoin(whole).select("policy", F.round("quality", 6).alias("quality"), "tokens", F.round(F.col("quality") / F.col("base"), 6).alias("ratio"))

@@ -11,7 +11,8 @@ from tracelake.operators import retrieval as R
 from tracelake.plans import ordered as O
 from tracelake.registry import query
 from tracelake.registry.texts import terms_sql
-from tracelake.sources.tables import SQL_LOG, SQL_MEMORIES, log, memories, read
+from tracelake.registry.visibility import SQL_SEEN, _leaf
+from tracelake.sources.tables import SQL_LOG, SQL_MEMORIES, branches, log, memories, read
 
 QUERY = "retrieval order packet"
 MEMORY_QUERY = "три снимка"
@@ -162,12 +163,15 @@ def r15(spark, d):
     return hits.join(events, "event_id").select("id", "event_id", "seq", "content")
 
 
-@query("r16_channel_health", f"WITH {SQL_LOG}, h AS (SELECT max(seq) AS head FROM log) SELECT origin_channel, max(seq) AS indexed_through, h.head - max(seq) AS lag, count(CASE WHEN content IS NULL THEN 1 END) AS failures FROM log, h GROUP BY origin_channel, h.head")
+@query("r16_channel_health", f"WITH {SQL_LOG}, h AS (SELECT max(seq) AS head FROM log) SELECT origin_channel, max(CASE WHEN content IS NOT NULL THEN seq END) AS indexed_through, h.head - max(CASE WHEN content IS NOT NULL THEN seq END) AS lag, count(CASE WHEN content IS NULL THEN 1 END) AS failures, epoch_us(date_trunc('minute', max(CASE WHEN content IS NOT NULL THEN created_at END))) AS succeeded_us, arg_max(CASE WHEN content IS NULL THEN id END, CASE WHEN content IS NULL THEN seq END) AS last_failed FROM log, h GROUP BY origin_channel, h.head")
 def r16(spark, d):
+    """How far each channel is indexed, the minute of its last success and its last failure; an event without text fails."""
     rows = log(spark, d)
     head = rows.agg(F.max("seq").alias("head"))
-    per = rows.groupBy("origin_channel").agg(F.max("seq").alias("indexed_through"), F.count_if(F.col("content").isNull()).alias("failures"))
-    return per.crossJoin(F.broadcast(head)).select("origin_channel", "indexed_through", (F.col("head") - F.col("indexed_through")).alias("lag"), "failures")
+    good, bad = F.col("content").isNotNull(), F.col("content").isNull()
+    minute = F.unix_micros(F.date_trunc("minute", F.max(F.when(good, F.col("created_at")))).cast("timestamp"))
+    per = rows.groupBy("origin_channel").agg(F.max(F.when(good, F.col("seq"))).alias("indexed_through"), F.count_if(bad).alias("failures"), minute.alias("succeeded_us"), F.max_by("id", F.when(bad, F.col("seq"))).alias("last_failed"))
+    return per.crossJoin(F.broadcast(head)).select("origin_channel", "indexed_through", (F.col("head") - F.col("indexed_through")).alias("lag"), "failures", "succeeded_us", "last_failed")
 
 
 @query(
@@ -200,3 +204,20 @@ def w09(spark, d):
     rows = log(spark, d)
     lexical = rows.where("content is not null").select("id", F.round(X.lexical_relevance(QUERY, F.col("content")), 6).alias("score"))
     return lexical.unionByName(rows.select("id", F.round(_fresh(), 6).alias("score"))).groupBy("id").agg(F.max("score").alias("score"))
+
+
+@query("r01_visible_hits", SQL_SEEN.rstrip() + f", txt AS (SELECT *, concat_ws(' ', content, array_to_string(files, ' ')) AS body FROM log), {_bm25_sql('txt', 'body', QUERY)} SELECT id, round(bm25, 6) AS score FROM bm WHERE id IN (SELECT id FROM seen) AND kind IN ('message', 'tool_output') AND created_at >= TIMESTAMP '{WINDOW[0]}'")
+def r01_visible(spark, d):
+    """Full-text hits in texts and file names that a branch sees, of two kinds and since an instant; the statistics are those of all events."""
+    hits = R.bm25(log(spark, d), F.concat_ws(" ", "content", F.array_join("files", " ")), QUERY)
+    hits = hits.where(F.col("kind").isin("message", "tool_output") & (F.col("created_at") >= F.lit(WINDOW[0]).cast("timestamp_ntz")))
+    return L.visible(hits, L.lineage(branches(spark, d), _leaf(log(spark, d)))).select("id", F.round("bm25", 6).alias("score"))
+
+
+@query("g34_exposures", f"WITH {SQL_LOG}, {_bm25_sql('log', 'content', QUERY)}, p AS (SELECT id, session_id, row_number() OVER (ORDER BY round(bm25, 9) DESC, id) AS place FROM bm), t AS (SELECT * FROM p WHERE place <= 50) SELECT id, place, session_id, count(*) OVER (PARTITION BY session_id) AS of_session FROM t")
+def g34(spark, d):
+    """What a search shows: one row per hit with its place, and how many hits its session has."""
+    best = R.bm25(log(spark, d), F.col("content"), QUERY).orderBy(F.desc(F.round("bm25", 9)), "id").limit(50)
+    shown = best.agg(F.sort_array(F.collect_list(F.struct((-F.round("bm25", 9)).alias("order"), "id", "session_id"))).alias("hits"))
+    rows = shown.select(F.posexplode("hits").alias("n", "h")).select("h.id", (F.col("n") + 1).alias("place"), "h.session_id")
+    return rows.select("id", "place", "session_id", F.count(F.lit(1)).over(Window.partitionBy("session_id")).alias("of_session"))

@@ -87,19 +87,35 @@ def pack05(spark, d):
     return A.folded(rows, "content", "seq").where("same_as is not null").select("id", "same_as")
 
 
-@query("pack07_index_lines", rf"WITH {SQL_LOG} SELECT id, seq || ' ' || kind || ' ' || substr(trim(regexp_replace(content, '[\s\p{{Z}}]+', ' ', 'g')), 1, 80) AS line FROM log WHERE content IS NOT NULL AND NOT regexp_matches(content, '{X.FAILURE}')")
+#: Tokens for the lines of an index and for a compaction; groups that a compaction leaves as they are.
+INDEX_TOKENS, COMPACT_TOKENS, KEPT_GROUPS = 200, 600, 8
+_SQL_LINE = r"seq || ' ' || kind || ' ' || substr(trim(regexp_replace(content, '[\s\p{Z}]+', ' ', 'g')), 1, 80)"
+
+
+@query("pack07_index_lines", f"WITH {SQL_LOG}, i AS (SELECT session_id, id, seq, {_SQL_LINE} AS line FROM log WHERE session_id IS NOT NULL AND content IS NOT NULL AND content <> '' AND NOT regexp_matches(content, '{X.FAILURE}')), t AS (SELECT *, {_SQL_TOKENS.replace('content', 'line')} AS tokens FROM i), s AS (SELECT *, sum(tokens) OVER (PARTITION BY session_id ORDER BY seq DESC, id) AS spent FROM t) SELECT session_id, id, line FROM s WHERE spent <= {INDEX_TOKENS}")
 def pack07(spark, d):
-    rows = log(spark, d, F.col("content").isNotNull() & ~F.col("content").rlike(X.FAILURE))
-    return rows.select("id", F.concat_ws(" ", F.col("seq").cast("string"), "kind", X.preview(F.col("content"), 80)).alias("line"))
+    """The newest events of each session as lines of an index, until its room is full; failures have no line."""
+    rows = log(spark, d, F.col("session_id").isNotNull() & (F.col("content") != "") & ~F.col("content").rlike(X.FAILURE))
+    lines = rows.select("session_id", "id", "seq", F.concat_ws(" ", F.col("seq").cast("string"), "kind", X.preview(F.col("content"), 80)).alias("line"))
+    lines = lines.withColumn("tokens", X.token_estimate(F.col("line")))
+    return A.prefix_within(lines, ["session_id"], [F.desc("seq")], "tokens", INDEX_TOKENS).select("session_id", "id", "line")
 
 
-@query("pack10_compaction", f"WITH {SQL_LOG}, r AS (SELECT id, session_id, seq, row_number() OVER (PARTITION BY session_id ORDER BY seq DESC) AS back FROM log WHERE session_id IS NOT NULL AND coalesce(role, '') <> 'assistant') SELECT session_id, count(*) AS n, min(seq) AS first_seq, max(seq) AS last_seq FROM r WHERE back > 8 GROUP BY 1")
+@query("pack10_compaction", f"WITH {_SQL_GROUPS}, o AS (SELECT session_id, grp, dense_rank() OVER (PARTITION BY session_id ORDER BY grp DESC) AS back FROM (SELECT DISTINCT session_id, grp FROM grp)), r AS (SELECT grp.session_id, grp.id, grp.seq, u.tokens FROM grp JOIN o ON o.session_id = grp.session_id AND o.grp = grp.grp JOIN u ON u.id = grp.id JOIN log l ON l.id = grp.id WHERE o.back > {KEPT_GROUPS} AND u.tokens > 0 AND NOT (l.kind = 'message' AND coalesce(l.role, '') = 'assistant')), s AS (SELECT *, sum(tokens) OVER (PARTITION BY session_id ORDER BY seq DESC, id) AS spent FROM r) SELECT session_id, id, CAST(spent AS BIGINT) AS spent FROM s WHERE spent <= {COMPACT_TOKENS}")
 def pack10(spark, d):
-    """What a compaction takes of each session: all but the last eight rows, without assistant messages."""
-    rows = log(spark, d, "session_id is not null and coalesce(role, '') <> 'assistant'").select("session_id", "seq")
-    ninth = O.last_of_each(rows, ["session_id"], "seq", 9).where("back = 9").select("session_id", F.col("seq").alias("last_seq"))
-    whole = rows.groupBy("session_id").agg((F.count(F.lit(1)) - 8).alias("n"), F.min("seq").alias("first_seq"))
-    return whole.join(ninth, "session_id").select("session_id", "n", "first_seq", "last_seq")
+    """What a compaction takes of each session: the newest of what is older than the last eight groups, without assistant messages, until its room is full."""
+    rows = groups(spark, d)
+    heads = O.last_of_each(rows.where("seq = grp").select("session_id", "seq", "grp"), ["session_id"], "seq", KEPT_GROUPS).select("session_id", "grp")
+    own = log(spark, d, "kind = 'message' and role = 'assistant'").select("id")
+    old = rows.join(heads, ["session_id", "grp"], "left_anti").join(own, "id", "left_anti").join(usage(spark, d).select("id", "tokens").where("tokens > 0"), "id")
+    return A.prefix_within(old, ["session_id"], [F.desc("seq")], "tokens", COMPACT_TOKENS).select("session_id", "id", "spent")
+
+
+@query("w16_latest_groups", f"WITH {_SQL_GROUPS}, g AS (SELECT session_id, grp, count(*) AS n FROM grp GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY grp DESC) AS back FROM g) SELECT session_id, grp, n FROM r WHERE back <= 2")
+def w16(spark, d):
+    """The two newest interaction groups of each session."""
+    sizes = groups(spark, d).groupBy("session_id", "grp").agg(F.count(F.lit(1)).alias("n"))
+    return O.last_of_each(sizes, ["session_id"], "grp", 2).select("session_id", "grp", "n")
 
 
 @query("pack11_without_assistant", f"WITH {SQL_MEMORIES} SELECT m.id FROM mem m JOIN log l ON l.id = m.source_event_id WHERE coalesce(l.role, '') <> 'assistant'")
@@ -286,21 +302,24 @@ def g23(spark, d):
     return memories(spark, d).groupBy("example_id").agg(F.min(F.when(cost.isNotNull(), F.struct(cost.alias("cost"), "id")))["id"].alias("id"))
 
 
-@query("g26_native_failures", f"WITH {SQL_LOG}, c AS (SELECT json_extract_string(payload_json, '$.call_id') AS call_id, * FROM log WHERE kind IN ('tool_call', 'tool_output')) SELECT b.id, a.content AS tool FROM c a JOIN c b ON a.call_id = b.call_id AND a.kind = 'tool_call' AND b.kind = 'tool_output' WHERE regexp_matches(b.content, '{X.FAILURE}')")
+@query("g26_native_failures", rf"WITH {SQL_LOG}, c AS (SELECT json_extract_string(payload_json, '$.call_id') AS call_id, * FROM log WHERE kind IN ('tool_call', 'tool_output')), f AS (SELECT b.id, b.seq, b.session_id, a.content AS tool, substr(list_filter(list_transform(string_split_regex(b.content, '\r\n?|\n'), lambda l: trim(regexp_replace(l, '[\s\p{{Z}}]+', ' ', 'g'))), lambda l: regexp_matches(l, '{X.FAILURE}'))[1], 1, 240) AS line FROM c a JOIN c b ON a.call_id = b.call_id AND a.kind = 'tool_call' AND b.kind = 'tool_output' WHERE regexp_matches(b.content, '{X.FAILURE}')) SELECT session_id, tool, line, arg_min(id, seq) AS id, count(*) AS times FROM f GROUP BY 1, 2, 3")
 def g26(spark, d):
+    """Failures of tools, each once per session, tool and first line that tells it, at its first output."""
     rows = log(spark, d, "kind in ('tool_call', 'tool_output')").withColumn("call_id", F.get_json_object("payload_json", "$.call_id"))
     calls = rows.where("kind = 'tool_call'").select("call_id", F.col("content").alias("tool"))
-    failed = rows.where((F.col("kind") == "tool_output") & F.col("content").rlike(X.FAILURE)).select("call_id", "id")
-    return failed.join(calls, "call_id").select("id", "tool")
+    failed = rows.where((F.col("kind") == "tool_output") & F.col("content").rlike(X.FAILURE)).select("call_id", "id", "seq", "session_id", X.first_failure_line(F.col("content")).alias("line"))
+    return failed.join(calls, "call_id").groupBy("session_id", "tool", "line").agg(F.min_by("id", "seq").alias("id"), F.count(F.lit(1)).alias("times"))
+
+
+_SQL_WITNESS = "created_at < TIMESTAMP '2024-01-15 00:00:00'"
 
 
-@query("g27_witness", f"WITH {SQL_LOG}, h AS (SELECT branch_id, max(seq) AS head FROM log GROUP BY 1), s AS (SELECT branch_id, max(seq) AS seen FROM log WHERE created_at < TIMESTAMP '2024-01-15 00:00:00' GROUP BY 1) SELECT h.branch_id, CASE WHEN s.seen IS NULL THEN 'new' WHEN s.seen = h.head THEN 'unchanged' WHEN s.seen < h.head THEN 'extension' ELSE 'rollback' END AS verdict FROM h LEFT JOIN s ON s.branch_id = h.branch_id")
+@query("g27_witness", f"WITH {SQL_LOG}, h AS (SELECT branch_id, max(seq) AS head FROM log GROUP BY 1), s AS (SELECT branch_id, max(seq) AS seen, arg_max(chain_hash, seq) AS hash FROM log WHERE {_SQL_WITNESS} GROUP BY 1) SELECT h.branch_id, CASE WHEN s.seen IS NULL THEN 'new' WHEN h.head < s.seen THEN 'rollback' WHEN l.id IS NULL THEN 'replacement' WHEN l.chain_hash IS DISTINCT FROM s.hash THEN 'divergence' WHEN h.head = s.seen THEN 'unchanged' ELSE 'extension' END AS verdict FROM h LEFT JOIN s ON s.branch_id = h.branch_id LEFT JOIN log l ON l.branch_id = h.branch_id AND l.seq = s.seen")
 def g27(spark, d):
-    """Branch heads against the heads that a witness saw earlier."""
-    old = F.when(F.col("created_at") < F.lit("2024-01-15").cast("timestamp_ntz"), F.col("seq"))
-    heads = log(spark, d).groupBy("branch_id").agg(F.max("seq").alias("head"), F.max(old).alias("seen"))
-    verdict = F.when(F.col("seen").isNull(), "new").when(F.col("seen") == F.col("head"), "unchanged").when(F.col("seen") < F.col("head"), "extension").otherwise("rollback")
-    return heads.select("branch_id", verdict.alias("verdict"))
+    """Branch heads against the heads and hashes that a witness saw earlier."""
+    events = log(spark, d).select("branch_id", "seq", "id", "chain_hash", "created_at")
+    seen = events.where(F.col("created_at") < F.lit("2024-01-15").cast("timestamp_ntz")).groupBy("branch_id").agg(F.max("seq").alias("seen"), F.max_by("chain_hash", "seq").alias("hash"))
+    return chain.witnessed(events, seen)
 
 
 @query("i02_chain_faults", f"WITH {SQL_LOG}, l AS (SELECT *, lag(chain_hash) OVER (ORDER BY seq) AS before FROM log) SELECT seq, id, CASE WHEN before IS NOT NULL AND previous_hash <> before THEN 'broken_link' ELSE 'broken_hash' END AS fault FROM l WHERE previous_hash IS NOT NULL AND ((before IS NOT NULL AND previous_hash <> before) OR sha256(previous_hash || content_hash) <> chain_hash)")

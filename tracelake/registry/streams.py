@@ -27,11 +27,16 @@ def x06(spark, d):
     return memories(spark, d).where("initial_status = 'rejected'").groupBy("run_id").agg(n.alias("attempts"), (n <= 3).alias("retryable"))
 
 
-@query("x07_unsynced", f"WITH {SQL_MEMORIES}, o AS (SELECT id, md5(content) AS f FROM mem WHERE ord % 2 = 0) SELECT m.id FROM mem m LEFT JOIN o ON o.id = m.id AND o.f = md5(m.content) WHERE o.id IS NULL")
+#: The instant at which the projection was last brought up to date.
+SYNCED_AT = "2024-01-15 00:00:00"
+
+
+@query("x07_unsynced", f"WITH {SQL_MEMORIES}, o AS (SELECT id, sha256(concat_ws(chr(0), id, memory_type, content)) AS f FROM mem WHERE created_at <= TIMESTAMP '{SYNCED_AT}') SELECT m.id FROM mem m LEFT JOIN o ON o.id = m.id AND o.f = sha256(concat_ws(chr(0), m.id, m.memory_type, m.content)) WHERE o.id IS NULL")
 def x07(spark, d):
-    """Facts that a projection does not hold with their present fingerprint; it holds every second one."""
-    rows = memories(spark, d).withColumn("f", F.md5("content"))
-    return rows.join(rows.where("ord % 2 = 0").select("id", "f"), ["id", "f"], "left_anti").select("id")
+    """Facts that a projection of an earlier instant does not hold with their present fingerprint."""
+    rows = memories(spark, d).withColumn("f", F.sha2(F.concat_ws("\0", "id", "memory_type", "content"), 256))
+    held = rows.where(F.col("created_at") <= F.lit(SYNCED_AT).cast("timestamp_ntz")).select("id", "f")
+    return rows.join(held, ["id", "f"], "left_anti").select("id")
 
 
 @query("x09_indexed_through", f"WITH {SQL_LOG} SELECT origin_channel, max(seq) AS indexed_through FROM log GROUP BY 1")

@@ -64,10 +64,14 @@ def f07(spark, d):
     return read(spark, d, "documents").where("text is not null").select("doc_id", X.token_estimate(F.col("text")).alias("tokens"))
 
 
-@query("f08_signals", f"WITH {SQL_LOG} SELECT id, monthname(created_at) || ' ' || day(created_at) || ' ' || year(created_at) AS day_words, files[1] AS first_file FROM log")
+_EN = "['January', 'February', 'March', 'April', 'May', 'June', 'July', 'August', 'September', 'October', 'November', 'December']"
+_RU = "['января', 'февраля', 'марта', 'апреля', 'мая', 'июня', 'июля', 'августа', 'сентября', 'октября', 'ноября', 'декабря']"
+
+
+@query("f08_signals", f"WITH {SQL_LOG}, b AS (SELECT id, created_at, list_filter(list_transform(coalesce(files, []), lambda f: string_split(replace(f, chr(92), '/'), '/')[-1]), lambda f: f <> '') AS fs FROM log) SELECT id, concat_ws(' ', {_EN}[month(created_at)], day(created_at), year(created_at), day(created_at), {_RU}[month(created_at)], year(created_at)) AS day_words, array_to_string(list_filter(fs, lambda f, i: list_position(fs, f) = i), ' ') AS names FROM b")
 def f08(spark, d):
-    words = F.array_join(F.slice(F.split(X.date_signals(F.col("created_at")), " "), 1, 3), " ")
-    return log(spark, d).select("id", words.alias("day_words"), F.try_element_at("files", F.lit(1)).alias("first_file"))
+    """What an event is found by besides its text: its date in words of two languages and the names of its files, each once."""
+    return log(spark, d).select("id", X.date_signals(F.col("created_at")).alias("day_words"), X.file_signals(F.coalesce("files", F.array().cast("array<string>"))).alias("names"))
 
 
 def _sql_redacted(column: str) -> str:
@@ -186,13 +190,20 @@ def f27(spark, d):
     return rows.select("id", F.lower(F.regexp_extract("line", _MARKER, 1)).alias("marker"), F.regexp_extract("line", _MARKER, 2).alias("said"))
 
 
-_TAG = r"^<finalize type=\"?([A-Za-z-]+)\"?>"
+_TAG = r'^<finalize type="?([A-Za-z-]+)"?>'
+# The types that a finalization may have.
+FINAL_TYPES = ("goal", "decision", "fact", "constraint", "todo", "preference", "failure", "lesson")
+_WHOLE_TAG = rf'(?is)^\s*<finalize type="?(?:{"|".join(FINAL_TYPES)})"?>\s*[^<\s][^<]*</finalize>\s*$'
+LONGEST_FINAL = 2000
+_LOOKALIKE = r"(?i)<finalize|\[\[[a-z-]+\]\]"
 
 
-@query("f28_finalization_tags", rf"SELECT q.id, lower(regexp_extract(q.raw_content, '{_TAG.replace(chr(92) + chr(34), chr(34))}', 1)) AS tag, contains(q.raw_content, '</finalize>') AS closed FROM (SELECT DISTINCT id, raw_content FROM finalization_quarantine) q")
+@query("f28_finalization_tags", f"SELECT q.id, lower(regexp_extract(q.raw_content, '{_TAG}', 1)) AS tag, contains(q.raw_content, '</finalize>') AS closed, CASE WHEN NOT regexp_matches(q.raw_content, '{_LOOKALIKE}') THEN 'untagged' WHEN regexp_matches(q.raw_content, '^\\s*(```|~~~|>)') THEN 'excluded' WHEN length(q.raw_content) <= {LONGEST_FINAL} AND regexp_matches(q.raw_content, '{_WHOLE_TAG}') THEN 'valid' ELSE 'malformed' END AS class FROM (SELECT DISTINCT id, raw_content FROM finalization_quarantine) q")
 def f28(spark, d):
-    rows = read(spark, d, "finalization_quarantine").select("id", "raw_content").distinct()
-    return rows.select("id", F.lower(F.regexp_extract("raw_content", _TAG.replace('\\"', '"'), 1)).alias("tag"), F.contains("raw_content", F.lit("</finalize>")).alias("closed"))
+    """Finalizations by the strict form of their tag: one element of a known type with text and nothing nested; what is fenced or quoted is excluded."""
+    rows, raw = read(spark, d, "finalization_quarantine").select("id", "raw_content").distinct(), F.col("raw_content")
+    kind = F.when(raw.isNotNull() & ~raw.rlike(_LOOKALIKE), "untagged").when(raw.rlike(r"^\s*(```|~~~|>)"), "excluded").when((F.length(raw) <= LONGEST_FINAL) & raw.rlike(_WHOLE_TAG), "valid").otherwise("malformed")
+    return rows.select("id", F.lower(F.regexp_extract("raw_content", _TAG, 1)).alias("tag"), F.contains("raw_content", F.lit("</finalize>")).alias("closed"), kind.alias("class"))
 
 
 @query("f31_fingerprints", f"WITH {SQL_MEMORIES} SELECT id, sha256(concat_ws(chr(0), id, memory_type, content)) AS fingerprint FROM mem")
