@@ -192,7 +192,7 @@ TEXT_ENDS = ("py", "ts", "sql", "json", "toml", "md")
 _SQL_SECRET = " OR ".join(f"regexp_matches(content, '{p}')" for _, p, _ in X.SECRET_RULES)
 
 
-@query("s20_artifact_rules", f"WITH {SQL_LOG}, a AS (SELECT id, regexp_matches(lower(content), '\.({'|'.join(TEXT_ENDS[:4])})$') AS textual, {_SQL_SECRET} AS secret FROM log WHERE kind = 'artifact' AND content IS NOT NULL) SELECT id, textual, CASE WHEN secret AND NOT textual THEN 'refused' WHEN secret THEN 'redacted' ELSE 'stored' END AS outcome FROM a")
+@query("s20_artifact_rules", f"WITH {SQL_LOG}, a AS (SELECT id, regexp_matches(lower(content), '[.]({'|'.join(TEXT_ENDS[:4])})$') AS textual, {_SQL_SECRET} AS secret FROM log WHERE kind = 'artifact' AND content IS NOT NULL) SELECT id, textual, CASE WHEN secret AND NOT textual THEN 'refused' WHEN secret THEN 'redacted' ELSE 'stored' END AS outcome FROM a")
 def s20(spark, d):
     """Artifacts that are text are stored redacted, others that hold a secret are refused."""
     secret = F.lit(False)
