@@ -161,3 +161,13 @@ def test_linked_pieces(spark):
     links = lambda r: {x.piece: x.link for x in chain.build(frame(r), "k").collect()}
     whole, without = links(rows), links([rows[0], rows[1], rows[3]])
     assert whole[0] == without[0] and whole[5] != without[5] and set(whole) == {0, 1, 5}
+
+
+def test_governed_stream(spark, tmp_path):
+    from tracelake.streaming import log_streams as S
+
+    spark.createDataFrame([("b", n, "x" * 300) for n in range(60)], "branch_id string, seq bigint, content string").coalesce(1).write.parquet(f"{tmp_path}/event_log.parquet")
+    got = sorted((r.seq, r.action) for r in S.drain(S.governed(S.source(spark, str(tmp_path), "event_log"), 4000, 20)).collect())
+    # 100 tokens an event: an action is due at its share of the window, and again twenty positions later
+    want = [(seq, action) for action, share in S.ACTIONS for seq in range(share * 40 // 100 - 1, 60, 20)]
+    assert got == sorted(want)

@@ -10,6 +10,7 @@ from tracelake.functions import temporal as T
 from tracelake.functions import text as X
 from tracelake.operators import assembly as A
 from tracelake.operators import markup
+from tracelake.plans.cut import cut
 from tracelake.registry import query
 from tracelake.registry.analytics import _SQL_TOKENS
 from tracelake.registry.retrieval import _SQL_FRESH, QUERY, _fresh, _rel_sql
@@ -258,3 +259,34 @@ def g14(spark, d):
     facts = memories(spark, d).where("content is not null").select(F.col("memory_type").alias("type"), content, F.lit(0).alias("turn"), F.col("cursor_seq").alias("seq"), "id")
     marks = log(spark, d, "kind = 'memory_block' and content is not null").select(F.lit("marker").alias("type"), content, F.lit(1).alias("turn"), "seq", "id")
     return facts.unionByName(marks).groupBy("type", "content").agg(F.min(F.struct("turn", "seq", "id"))["id"].alias("id"), F.count(F.lit(1)).alias("n"))
+
+
+#: Of a check section: versions before the last ones, how far back, conflicts, and its room.
+PRIOR, DEPTH, CONFLICTS, CHECK_TOKENS = 4, 2, 3, 600
+
+
+@query(
+    "pack09_check_material",
+    f"""WITH {_SQL_NEAR}, fx AS (SELECT id, example_id, supersedes_id, {_SQL_TOKENS} AS tokens FROM mem), la AS (SELECT * FROM fx WHERE id NOT IN (SELECT supersedes_id FROM fx WHERE supersedes_id IS NOT NULL)),
+o1 AS (SELECT b.example_id, b.id, b.tokens, 1 AS steps, b.supersedes_id FROM la JOIN fx b ON b.id = la.supersedes_id), o2 AS (SELECT b.example_id, b.id, b.tokens, 2 AS steps FROM o1 JOIN fx b ON b.id = o1.supersedes_id),
+pv AS (SELECT *, row_number() OVER (PARTITION BY example_id ORDER BY steps, id) AS nth FROM (SELECT example_id, id, tokens, steps FROM o1 UNION ALL SELECT * FROM o2)),
+cf AS (SELECT a.example_id, pr.old || ' / ' || pr.new AS id, a.tokens + b.tokens AS tokens, row_number() OVER (PARTITION BY a.example_id ORDER BY round(score, 6) DESC, old, new) AS nth FROM pr JOIN fx a ON a.id = pr.old JOIN fx b ON b.id = pr.new WHERE old < new AND day_a <> day_b),
+al AS (SELECT example_id, 0 AS section, nth, id, tokens FROM pv WHERE nth <= {PRIOR} UNION ALL SELECT example_id, 1, nth, id, tokens FROM cf WHERE nth <= {CONFLICTS}),
+sp AS (SELECT *, sum(greatest(tokens, 1)) OVER (PARTITION BY example_id ORDER BY section, nth, id) AS spent FROM al) SELECT example_id, section, id, CAST(spent AS BIGINT) AS spent FROM sp WHERE spent <= {CHECK_TOKENS}""",
+)
+def pack09(spark, d):
+    """What an answer about an example is checked against: the versions before its last facts and its nearest conflicts, until the room is full."""
+    facts = cut(memories(spark, d).select("id", "example_id", "supersedes_id", F.coalesce(X.token_estimate(F.col("content")), F.lit(0)).alias("tokens")))
+    front, prior = facts.join(facts.where("supersedes_id is not null").select(F.col("supersedes_id").alias("id")), "id", "left_anti"), None
+    for steps in range(1, DEPTH + 1):
+        front = front.select(F.col("supersedes_id").alias("id")).where("id is not null").join(facts, "id")
+        each = front.select("example_id", "id", "tokens", F.lit(steps).alias("order"))
+        prior = each if prior is None else prior.unionByName(each)
+    prior = A.first_of_each(prior, ["example_id"], [F.col("order")], F.lit(PRIOR)).select("example_id", F.lit(0).alias("section"), F.col("order").cast("double").alias("order"), "id", "tokens")
+    pairs = near_facts(spark, d).where("old < new and day_a <> day_b")
+    sizes = lambda name, tokens: facts.select(F.col("id").alias(name), "example_id", F.col("tokens").alias(tokens))
+    pairs = pairs.join(sizes("old", "t1"), "old").join(sizes("new", "t2").drop("example_id"), "new")
+    clash = pairs.select("example_id", (-F.round("score", 6)).alias("order"), F.concat_ws(" / ", "old", "new").alias("id"), (F.col("t1") + F.col("t2")).alias("tokens"))
+    clash = A.first_of_each(clash, ["example_id"], [F.col("order")], F.lit(CONFLICTS)).select("example_id", F.lit(1).alias("section"), "order", "id", "tokens")
+    rows = prior.unionByName(clash).withColumn("tokens", F.greatest("tokens", F.lit(1)))
+    return A.prefix_within(rows, ["example_id"], [F.col("section"), F.col("order")], "tokens", CHECK_TOKENS).select("example_id", "section", "id", "spent")

@@ -11,6 +11,7 @@ from tracelake.operators import chain
 from tracelake.operators import lineage as L
 from tracelake.operators import pairing as P
 from tracelake.plans import ordered as O
+from tracelake.plans.cut import cut
 from tracelake.registry import query
 from tracelake.registry.analytics import _SQL_TOKENS, _SQL_USE, usage
 from tracelake.registry.visibility import SQL_MSEEN, _leaf
@@ -118,6 +119,32 @@ def w16(spark, d):
     return O.last_of_each(sizes, ["session_id"], "grp", 2).select("session_id", "grp", "n")
 
 
+#: Room of a resume packet, and how many open questions it names.
+RESUME_TOKENS, PENDING = 1500, 3
+
+
+@query(
+    "pack08_resume",
+    f"""WITH {_SQL_GROUPS}, own AS (SELECT u.id, u.session_id, u.seq, u.tokens, l.kind, l.role, l.content FROM u JOIN log l ON l.id = u.id WHERE u.session_id IS NOT NULL AND u.tokens > 0),
+k AS (SELECT *, CASE WHEN kind = 'state' THEN 0 WHEN kind = 'memory_block' THEN 1 END AS section FROM own), st AS (SELECT session_id, section, id, seq, tokens, row_number() OVER (PARTITION BY session_id, section ORDER BY seq DESC) AS nth FROM k WHERE section IS NOT NULL),
+pe AS (SELECT session_id, 2 AS section, id, seq, tokens, row_number() OVER (PARTITION BY session_id ORDER BY seq DESC) AS nth FROM own WHERE kind = 'message' AND role = 'user' AND content LIKE '%?'),
+gr AS (SELECT own.session_id, 3 AS section, own.id, own.seq, own.tokens FROM own JOIN grp USING (id) WHERE NOT (own.kind = 'message' AND coalesce(own.role, '') = 'assistant') AND own.id NOT IN (SELECT id FROM pe WHERE nth <= {PENDING})),
+al AS (SELECT session_id, section, id, seq, tokens FROM st WHERE nth = 1 UNION ALL SELECT session_id, section, id, seq, tokens FROM pe WHERE nth <= {PENDING} UNION ALL SELECT * FROM gr),
+sp AS (SELECT *, sum(tokens) OVER (PARTITION BY session_id ORDER BY section, seq DESC, id) AS spent FROM al) SELECT session_id, section, id, CAST(spent AS BIGINT) AS spent FROM sp WHERE spent <= {RESUME_TOKENS}""",
+)
+def pack08(spark, d):
+    """What a session goes on from: its last snapshot, its last block, its newest open questions and the newest rows of its groups
+    without the assistant's own words, in this order until the room is full."""
+    sized = usage(spark, d).where("session_id is not null and tokens > 0").select("id", "session_id", "seq", "tokens")
+    own = cut(sized.join(log(spark, d, "session_id is not null").select("id", "kind", "role", F.col("content").like("%?").alias("asks")), "id"))
+    part = lambda rows, n: rows.select("session_id", F.lit(n).alias("section"), "id", "seq", "tokens")
+    last = lambda kind, n: part(O.last_of_each(own.where(F.col("kind") == kind), ["session_id"], "seq", 1), n)
+    pending = part(O.last_of_each(own.where("kind = 'message' and role = 'user' and asks"), ["session_id"], "seq", PENDING), 2)
+    rest = own.where(~((F.col("kind") == "message") & (F.coalesce("role", F.lit("")) == "assistant"))).join(groups(spark, d).select("id"), "id", "left_semi").join(pending.select("id"), "id", "left_anti")
+    rows = last("state", 0).unionByName(last("memory_block", 1)).unionByName(pending).unionByName(part(rest, 3))
+    return A.prefix_within(rows, ["session_id"], [F.col("section"), F.desc("seq")], "tokens", RESUME_TOKENS).select("session_id", "section", "id", "spent")
+
+
 @query("pack11_without_assistant", f"WITH {SQL_MEMORIES} SELECT m.id FROM mem m JOIN log l ON l.id = m.source_event_id WHERE coalesce(l.role, '') <> 'assistant'")
 def pack11(spark, d):
     events = log(spark, d, "coalesce(role, '') <> 'assistant'").select(F.col("id").alias("source_event_id"))

@@ -72,3 +72,9 @@ TAIL_BYTES = 4 * 512
 @query("x11_due_snapshots")
 def x11(spark, d):
     return S.drain(S.snapshot_cadence(S.source(spark, d, "event_log"), TAIL_BYTES))
+
+
+@query("x03_governed")
+def x03(spark, d):
+    """Actions that a window of 4000 tokens calls for, each at most every twenty positions."""
+    return S.drain(S.governed(S.source(spark, d, "event_log"), 4000, 20))

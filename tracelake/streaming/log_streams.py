@@ -16,8 +16,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from tracelake.functions.text import token_estimate
 from tracelake.plans.cut import shared_folder
 
+# Actions and the percentage of the window from which each is due.
+ACTIONS = (("snapshot", 45), ("compact", 60), ("handoff", 75), ("hard_stop", 90))
+
 
 def source(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     """A table as a stream of its files."""
@@ -110,3 +114,31 @@ def snapshot_cadence(events: DataFrame, most: int) -> DataFrame:
 
     rows = events.select(F.coalesce(F.lower(F.trim("branch_id")), F.lit("")).alias("branch_id"), "seq", F.coalesce(F.octet_length("content"), F.lit(0)).cast("bigint").alias("size"))
     return rows.groupBy("branch_id").applyInPandasWithState(step, "branch_id string, seq bigint, bytes bigint", "tail bigint", "append", GroupStateTimeout.NoTimeout)
+
+
+def governed(events: DataFrame, window: int, interval: int) -> DataFrame:
+    """(branch_id, seq, action, bucket): what a budget of ``window`` tokens calls for as a branch's context grows.
+
+    An action is taken again only ``interval`` positions after the last one of its kind and once per bucket of a twentieth of
+    the window. The state is the context's size and, of each action, the last position and bucket. Events count as they
+    come, those of one Arrow batch in order of seq.
+    """
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        size, *marks = state.get if state.exists else (0, *[-1] * (2 * len(ACTIONS)))
+        for batch in batches:
+            taken = []
+            for seq, tokens in batch.sort_values("seq")[["seq", "tokens"]].itertuples(index=False):
+                size += int(tokens)
+                bucket = size // max(1, -(-window // 20))
+                for n, (action, share) in enumerate(ACTIONS):
+                    last, told = marks[2 * n : 2 * n + 2]
+                    if size >= -(-window * share // 100) and (last < 0 or seq - last >= interval) and bucket != told:
+                        marks[2 * n : 2 * n + 2] = int(seq), bucket
+                        taken.append((key[0], int(seq), action, bucket))
+            yield pd.DataFrame(taken, columns=["branch_id", "seq", "action", "bucket"]).astype({"branch_id": object, "action": object})
+        state.update((size, *marks))
+
+    rows = events.select(F.coalesce(F.lower(F.trim("branch_id")), F.lit("")).alias("branch_id"), "seq", F.coalesce(token_estimate(F.col("content")), F.lit(0)).alias("tokens"))
+    fields = ", ".join(f"{action}_{x} bigint" for action, _ in ACTIONS for x in ("at", "bucket"))
+    return rows.groupBy("branch_id").applyInPandasWithState(step, "branch_id string, seq bigint, action string, bucket bigint", f"size bigint, {fields}", "append", GroupStateTimeout.NoTimeout)
