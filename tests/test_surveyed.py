@@ -16,7 +16,7 @@ WINDOWS = [
     ("what happened on 2024-02-29?", "2024-02-29", "2024-03-01"),
     ("number 2024-13-45, a few days ago", "2024-03-08", "2024-03-11"),
     ("пару дней назад и вчера", "2024-03-10", "2024-03-12"),
-    ("Yesterday or last week", "2024-03-12", "2024-03-13"),
+    ("Yesterday or last week, Вчера", "2024-03-12", "2024-03-13"),
     ("last week, last month", "2024-03-04", "2024-03-11"),
     ("в прошлом месяце", "2024-02-01", "2024-03-01"),
     ("last year", "2023-01-01", "2024-01-01"),

@@ -139,12 +139,13 @@ def _window(start: Column, end: Column, words: Column) -> Column:
 
 
 def query_window(text: Column, now: Column) -> Column:
-    """The window (start, end, expression) that a text names first by rank, half-open, null if none.
+    """The window (start, end, expression) that a text names first by rank, half-open, null if none; the expression is in lower case.
 
     Ranked: a written day, some time ago, a day by name, the period before this one, a month with or without a year;
     a month without one is the last that is not in the future. A written day that no calendar has is none.
     """
-    day = F.date_trunc("day", now)
+    # patterns without case know only Latin letters
+    text, day = F.lower(text), F.date_trunc("day", now)
     after = lambda start, n: start + F.make_dt_interval(days=F.lit(n))
     months = lambda start, n: F.add_months(start.cast("date"), n)
     written = F.regexp_extract(text, ISO_DAY, 2)

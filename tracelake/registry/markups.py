@@ -26,14 +26,14 @@ def f24(spark, d):
 
 # what was written of a fact's start: the expression, else its time to the precision that it is known to
 _SQL_RAW = "SELECT DISTINCT id, coalesce(temporal_expression, CASE valid_from_precision WHEN 'year' THEN strftime(valid_from, '%Y') WHEN 'month' THEN strftime(valid_from, '%Y-%m') WHEN 'day' THEN strftime(valid_from, '%Y-%m-%d') ELSE strftime(valid_from, '%Y-%m-%dT%H:%M:%S.%fZ') END, '') AS raw, created_at FROM candidates"
-_SQL_BOUND = f"""b AS (SELECT id, trim(raw) AS raw, lower(trim(raw)) AS low, date_trunc('day', created_at) AS day, created_at FROM ({_SQL_RAW})),
+_SQL_BOUND = rf"""b AS (SELECT id, trim(raw) AS raw, lower(trim(raw)) AS low, date_trunc('day', created_at) AS day, created_at FROM ({_SQL_RAW})),
 p AS (SELECT *, CASE {' '.join(f"WHEN low = '{w}' THEN {n}" for w, n in T.DAY_WORDS)} END AS off, try_strptime(raw || CASE WHEN regexp_matches(raw, '^\d{{4}}$') THEN '-01-01' WHEN regexp_matches(raw, '^\d{{4}}-\d{{2}}$') THEN '-01' ELSE '' END, '%Y-%m-%d') AS start,
   regexp_matches(raw, '^\d{{4}}-\d{{2}}-\d{{2}}[T ]\d{{2}}:\d{{2}}(?::\d{{2}}(?:\.\d{{1,6}})?)?(Z|[+-]\d{{2}}:\d{{2}})$') AS zoned, regexp_matches(raw, '^\d{{4}}-\d{{2}}-\d{{2}}[T ]\d{{2}}:\d{{2}}(?::\d{{2}}(?:\.\d{{1,6}})?)?$') AS naive FROM b)"""
 
 
 @query(
     "t08_normalized_bounds",
-    f"""WITH {_SQL_BOUND} SELECT id,
+    rf"""WITH {_SQL_BOUND} SELECT id,
   CASE WHEN raw = '' THEN 'unknown' WHEN off IS NOT NULL THEN 'day' WHEN start IS NOT NULL AND len(raw) = 4 THEN 'year' WHEN start IS NOT NULL AND len(raw) = 7 THEN 'month' WHEN start IS NOT NULL AND len(raw) = 10 THEN 'day' WHEN zoned THEN 'instant' END AS precision,
   CASE WHEN raw = '' OR off IS NOT NULL OR start IS NOT NULL OR zoned THEN NULL WHEN regexp_matches(raw, '^\d{{4}}(-\d{{2}}){{0,2}}$') THEN 'invalid_calendar_value' WHEN naive THEN 'naive_timestamp' ELSE 'unparseable_temporal' END AS error,
   epoch_us(CASE WHEN raw = '' THEN NULL WHEN off IS NOT NULL THEN day + off * INTERVAL 1 DAY WHEN start IS NOT NULL THEN start WHEN zoned THEN CAST(raw AS TIMESTAMP) END) AS lo_us FROM p""",
@@ -59,7 +59,7 @@ def _sql_windows() -> str:
     part = lambda *n: " || ".join(f"regexp_extract(content, '{T.MONTH}', {k})" for k in n)
     number = "CASE " + " ".join(f"WHEN name IN ({', '.join(repr(w) for w in names.split())}) THEN {n}" for n, names in enumerate(T.MONTH_NAMES, 1)) + " END"
     column = lambda k: "CASE " + " ".join(f"WHEN {c[0]} THEN {c[k]}" for c in cases) + " END"
-    return f"""{SQL_LOG}, q0 AS (SELECT id, content, created_at, date_trunc('day', created_at) AS day, try_strptime({said(r"\d{4}-\d{2}-\d{2}")}, '%Y-%m-%d') AS iso, lower({part(3, 5)}) AS name, {part(4, 6)} AS y FROM log WHERE kind = 'message' AND content IS NOT NULL),
+    return f"""{SQL_LOG}, q0 AS (SELECT id, content, created_at, date_trunc('day', created_at) AS day, try_strptime({said(r"\d{4}-\d{2}-\d{2}")}, '%Y-%m-%d') AS iso, lower({part(3, 5)}) AS name, {part(4, 6)} AS y FROM (SELECT id, kind, lower(content) AS content, created_at FROM log) WHERE kind = 'message' AND content IS NOT NULL),
 q1 AS (SELECT *, {number} AS m FROM q0), q2 AS (SELECT *, CASE WHEN m IS NOT NULL THEN try_strptime((CASE WHEN y <> '' THEN y ELSE CAST(year(created_at) - CASE WHEN m > month(created_at) THEN 1 ELSE 0 END AS VARCHAR) END) || '-' || m, '%Y-%m') END AS first FROM q1),
 qw AS (SELECT id, {column(3)} AS expression, CAST({column(1)} AS TIMESTAMP) AS start, CAST({column(2)} AS TIMESTAMP) AS until FROM q2)"""
 
