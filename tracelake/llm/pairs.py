@@ -190,7 +190,8 @@ def _copies(question: Column, answer: Column, least: float = 0.7) -> Column:
     def onward(said: Column) -> Column:
         """Whether the words stand in the question one after the other."""
         step = lambda at, w: F.when(at >= 0, F.coalesce(F.nullif(F.array_position(F.slice(asked, at + 1, F.size(asked)), w).cast("int"), F.lit(0)) + at, F.lit(-1))).otherwise(-1)
-        return (F.size(said) >= least * F.size(asked)) & (F.reduce(said, F.lit(0), step) > 0)
+        # an answer of more words than the question cannot: most drop out here, before any word is looked up
+        return (F.size(said) <= F.size(asked)) & (F.size(said) >= least * F.size(asked)) & (F.reduce(said, F.lit(0), step) > 0)
 
     return (F.length(q) > 0) & (whole | onward(F.split(a, " ")) | onward(F.split(bare, " ")))
 
