@@ -30,7 +30,7 @@ def shared_folder(spark: SparkSession) -> str:
     if not directory.isDefined():
         folder = spark.conf.get("spark.checkpoint.dir", None)
         if folder is None:
-            if not sc.master.startswith("local[") and sc.master != "local":
+            if not sc.master.startswith("local"):  # local-cluster runs on this machine too
                 raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             folder = tempfile.mkdtemp(prefix="tracelake-")
         sc.setCheckpointDir(folder)
